@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from markerlake.llm import bpe, repair, token_counts, topk
+from markerlake.llm import bpe, katz, neardup, repair, token_counts, topk
 from markerlake.llm.common import table
 
 #: Where the tokenizers' files are on every machine; a parameter of the operators, set here for the queries.
@@ -21,6 +21,10 @@ def op1_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.search(rows, rows.where(F.col("vec_id") % 50 == 0), k=5)
 
 
+def op2_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return katz.score(table(spark, sf_dir, "documents"))
+
+
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), BYTE_BPE)
 
@@ -29,14 +33,20 @@ def op6_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair.digests(table(spark, sf_dir, "documents"), WORD_BPE)
 
 
+def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.document_counts(table(spark, sf_dir, "documents"), BYTE_BPE)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_topk": op1_topk,
+    "op2_katz": op2_katz,
     "op4_bpe": op4_bpe,
     "op6_repair": op6_repair,
+    "op7_minhash": op7_minhash,
     "op8_token_counts": op8_token_counts,
 }
 

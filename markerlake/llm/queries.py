@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from markerlake.llm import bpe, katz, neardup, repair, token_counts, topk
+from markerlake.llm import bpe, katz, langid, neardup, repair, token_counts, topk, toxicity
 from markerlake.llm.common import table
 
 #: Where the tokenizers' files are on every machine; a parameter of the operators, set here for the queries.
@@ -29,6 +29,11 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), BYTE_BPE)
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    return toxicity.score(documents, toxicity.train(documents, table(spark, sf_dir, "labels")))
+
+
 def op6_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair.digests(table(spark, sf_dir, "documents"), WORD_BPE)
 
@@ -41,13 +46,20 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.document_counts(table(spark, sf_dir, "documents"), BYTE_BPE)
 
 
+def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = langid.train(table(spark, sf_dir, "documents"))
+    return langid.identify(table(spark, sf_dir, "pages"), model)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_topk": op1_topk,
     "op2_katz": op2_katz,
     "op4_bpe": op4_bpe,
+    "op5_toxicity": op5_toxicity,
     "op6_repair": op6_repair,
     "op7_minhash": op7_minhash,
     "op8_token_counts": op8_token_counts,
+    "op10_language": op10_language,
 }
 
 #: DuckDB SQL for the same rows, where SQL expresses them and whole tables aren't too slow for it.

@@ -15,7 +15,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from markerlake.llm.common import arrow_map, new_folder, partitions, read_only
+from markerlake.llm.common import arrow_map, new_folder, read_only
 from markerlake.llm.pieces import codec
 
 BLOCK_IDS = 1 << 20
@@ -25,10 +25,10 @@ SCHEMA = "shard int, block int, tokens binary, names array<long>"
 
 
 def write_flat(documents: DataFrame, tokenizer: str, folder: str, end_id: int = END_ID, block_ids: int = BLOCK_IDS) -> None:
-    """Write flat token files in ascending doc_id order: one file's blocks share `shard`.
+    """Write flat token files: one for each partition of the documents, in its order; a file's blocks share `shard`.
 
     names, apart from the tokens, holds the ids of the documents that end in a block. Null texts are empty documents,
-    null doc_ids come first, repeated doc_ids are documents of their own.
+    null doc_ids stay null, repeated doc_ids are documents of their own. Nothing is shuffled.
     """
     read_only(tokenizer)
     arrow = pa.schema([("shard", pa.int32()), ("block", pa.int32()), ("tokens", pa.binary()), ("names", pa.list_(pa.int64()))])
@@ -54,8 +54,8 @@ def write_flat(documents: DataFrame, tokenizer: str, folder: str, end_id: int =
                     yield from rows(last=False)
         yield from rows(last=True)
 
-    ordered = documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).repartitionByRange(partitions(documents.sparkSession), "doc_id").sortWithinPartitions("doc_id")
-    arrow_map(ordered, work, SCHEMA).write.mode("overwrite").parquet(folder)
+    rows = documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    arrow_map(rows, work, SCHEMA).write.mode("overwrite").option("compression", "zstd").parquet(folder)
 
 
 def scan(tokens: np.ndarray, end_id: int) -> tuple[np.ndarray, int]:

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from markerlake.llm import bpe, katz, langid, neardup, repair, token_counts, topk, toxicity
+from markerlake.llm import bpe, decontaminate, katz, langid, neardup, repair, token_counts, topk, toxicity
 from markerlake.llm.common import table
 
 #: Where the tokenizers' files are on every machine; a parameter of the operators, set here for the queries.
@@ -25,6 +25,10 @@ def op2_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
     return katz.score(table(spark, sf_dir, "documents"))
 
 
+def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), BYTE_BPE)
 
@@ -54,6 +58,7 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_topk": op1_topk,
     "op2_katz": op2_katz,
+    "op3_decontaminate": op3_decontaminate,
     "op4_bpe": op4_bpe,
     "op5_toxicity": op5_toxicity,
     "op6_repair": op6_repair,

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
+import time
 import uuid
 from collections.abc import Callable, Iterator
 from pathlib import Path
@@ -49,6 +51,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files behind what has been cut: it does so when the driver's JVM collects garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+    time.sleep(0.5)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -86,3 +95,16 @@ def read_only(path: str) -> str:
     if not os.path.exists(path):
         raise FileNotFoundError(path)
     return path
+
+
+def keep_rows(df: DataFrame, make: Callable[[], Callable[[list[str]], list[bool]]]) -> DataFrame:
+    """The rows, with all their columns, of which a test of whole texts holds. make() gives each task its test."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        test = make()
+        for batch in batches:
+            yield batch.filter(pa.array(test(texts(batch)), pa.bool_()))
+
+    small_batches(df.sparkSession)
+    importable(df.sparkSession)
+    return df.mapInArrow(work, df.schema)

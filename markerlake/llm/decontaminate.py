@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from markerlake.llm.common import arrow_map, texts
+from markerlake.llm.common import arrow_map, keep_rows, texts
 
 PASSAGE, STEP = 40, 20  # words in a window, and between windows; of documents and of long items
 RANK, OVERSAMPLE = 128, 16
@@ -190,16 +190,30 @@ def contaminated(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     benchmark gives no rows. The benchmark is read in blocks of ITEMS_AT_ONCE items, each with its own pass.
     """
     rows = documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    wanted = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("long"), F.col("text").cast("string")).distinct()
     schema = "doc_id long, item_id long, cosine double, lcs_share double, answer boolean"
     out = documents.sparkSession.createDataFrame([], schema)
+    for model in models(documents, benchmark):
+        out = out.union(found_in(rows, model, schema))
+    return out
+
+
+def models(documents: DataFrame, benchmark: DataFrame) -> Iterator[Model]:
+    """A model for each block of the benchmark's items."""
+    wanted = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("long"), F.col("text").cast("string")).distinct()
     passes = -(-wanted.count() // ITEMS_AT_ONCE)
     for k in range(passes):
         block = wanted.where(F.pmod(F.xxhash64("item_id"), F.lit(passes)) == k).orderBy("item_id", "text").collect()
         items = [(r["item_id"], plain_words(r["text"])) for r in block if plain_words(r["text"])]
         if items:
-            out = out.union(found_in(rows, fit(documents, items), schema))
-    return out
+            yield fit(documents, items)
+
+
+def without_items(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The rows, with all their columns, of documents that hold no benchmark item."""
+    for model in models(documents, benchmark):
+        kept = documents.sparkSession.sparkContext.broadcast(model)
+        documents = keep_rows(documents, lambda kept=kept: lambda some: [not matches(kept.value, plain_words(x)) for x in some])
+    return documents
 
 
 def found_in(rows: DataFrame, model: Model, schema: str) -> DataFrame:

@@ -226,3 +226,10 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     found = found.select("doc_id", "n_shingles", "first").join(first.withColumnRenamed("node", "first"), "first", "left")
     found = found.withColumn("component_id", F.coalesce("component", "first"))
     return found.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
+
+
+def without_copies(documents: DataFrame) -> DataFrame:
+    """The rows, with all their columns, of the first document of each group and of all that are in no group."""
+    found = near_duplicates(documents)
+    gone = cut(found.where("not kept").select("doc_id").distinct())
+    return documents.join(gone, documents["doc_id"].cast("long") == gone["doc_id"], "left_anti")

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from markerlake.llm import bpe, decontaminate, katz, langid, neardup, repair, token_counts, topk, toxicity
+from markerlake.llm import bpe, decontaminate, katz, langid, neardup, pii, repair, token_counts, topk, toxicity
 from markerlake.llm.common import table
 
 #: Where the tokenizers' files are on every machine; a parameter of the operators, set here for the queries.
@@ -50,6 +50,10 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.document_counts(table(spark, sf_dir, "documents"), BYTE_BPE)
 
 
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(table(spark, sf_dir, "documents"))
+
+
 def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = langid.train(table(spark, sf_dir, "documents"))
     return langid.identify(table(spark, sf_dir, "pages"), model)
@@ -64,6 +68,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_repair": op6_repair,
     "op7_minhash": op7_minhash,
     "op8_token_counts": op8_token_counts,
+    "op9_pii": op9_pii,
     "op10_language": op10_language,
 }
 

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from markerlake.llm.common import arrow_map, crc32_mod, texts
+from markerlake.llm.common import arrow_map, crc32_mod, keep_rows, texts
 
 ORDER, BITS = 5, 12  # characters in a gram; bits of a character
 PAD, LAST = 1, 2
@@ -224,3 +224,14 @@ def score(documents: DataFrame, models: Models, modulus: int = 4, held: int = 2)
 
     rows = arrow_map(documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), work, "doc_id long, score double, predicted int")
     return rows.select("doc_id", F.coalesce(crc32_mod(F.col("doc_id"), modulus) == held, F.lit(False)).alias("held_out"), "score", "predicted")
+
+
+def without_toxic(documents: DataFrame, models: Models) -> DataFrame:
+    """The rows, with all their columns, whose score is under THRESHOLD."""
+    kept = documents.sparkSession.sparkContext.broadcast(models)
+
+    def make():
+        reader = Reader(kept.value)
+        return lambda some: (kept.value.score(reader.features(some)) < THRESHOLD).tolist()
+
+    return keep_rows(documents, make)

@@ -2,7 +2,8 @@
 
 Benchmark items are cut into passages, weighted by TF-IDF (document frequencies over all documents), and a randomised
 singular value decomposition, its products summed over partitions, gives a latent space. Each document's windows are
-held against the passages by cosine in that space; of the candidates, the longest common subsequence of words with the
+held against the passages by cosine in that space, if they share enough weight of rare words with a passage for the next check to pass; of the
+candidates, the longest common subsequence of words with the
 item decides, and for paraphrases also whether the item's answer is there.
 """
 
@@ -23,6 +24,8 @@ from markerlake.llm.common import arrow_map, keep_rows, texts
 PASSAGE, STEP = 40, 20  # words in a window, and between windows; of documents and of long items
 RANK, OVERSAMPLE = 128, 16
 LEAST_COSINE = 0.4
+ANCHOR = 8  # a word in at most so many passages is an anchor of each; a passage with few takes its rarest words
+LEAST_ANCHORED = 0.15  # share of a passage's anchors' weight in half a window from which the window is projected
 SAME = 0.8  # share of an item's words, in order, from which a document holds it
 ALIKE = 0.6  # from which it holds it if the answer is there too
 ANSWER_WORDS = 3  # an item's rarest words stand for its answer; all but one must be there
@@ -56,11 +59,13 @@ class Model:
     idf: np.ndarray
     space: np.ndarray  # a row for each word
     passages: np.ndarray  # unit rows in the latent space
-    weights: np.ndarray  # squared TF-IDF length of each passage
     item_of: np.ndarray  # of each passage
     items: list[int]
     words: list[list[int]]  # of each item
     answers: list[list[int]]
+    posts: np.ndarray  # anchors' passages, by word
+    posts_at: np.ndarray  # where each word's begin
+    anchored: np.ndarray  # squared TF-IDF length of each passage's anchors
 
 
 def pieces(words: list[int]) -> list[list[int]]:
@@ -113,10 +118,10 @@ def latent(rows: DataFrame, idf: np.ndarray) -> np.ndarray:
                         total += np.outer(image, image)
                     else:
                         total[at] += np.outer(value, image)
-            yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["part"])
+            yield pa.RecordBatch.from_arrays([pa.array([total.astype(np.float32).tobytes()], pa.binary())], ["part"])
 
-        parts = arrow_map(rows, work, "part binary").toLocalIterator()
-        return sum(np.frombuffer(x["part"]).reshape((width, width) if gram else q.shape) for x in parts)
+        parts = arrow_map(rows, work, "part binary").toArrow().column("part").to_pylist()
+        return sum(np.frombuffer(x, np.float32).astype(float).reshape((width, width) if gram else q.shape) for x in parts)
 
     for _ in range(2):
         basis, _ = np.linalg.qr(product(basis, gram=False))
@@ -135,51 +140,71 @@ def fit(documents: DataFrame, items: list[tuple[int, list[bytes]]]) -> Model:
     coded = [[vocabulary[w] for w in words] for _, words in items]
     cut = [(i, p) for i, words in enumerate(coded) for p in pieces(words)]
     spark = documents.sparkSession
-    space = latent(spark.createDataFrame([(p,) for _, p in cut], "words array<long>"), idf)
+    space = latent(spark.createDataFrame([(p,) for _, p in cut], "words array<long>").coalesce(4), idf)  # a few parts hold all passages of a block of items
     vectors = np.zeros((len(cut), space.shape[1]))
-    weights = np.zeros(len(cut))
     for i, (_, p) in enumerate(cut):
         at, tf = np.unique(p, return_counts=True)
         vectors[i] = (tf * idf[at]) @ space[at]
-        weights[i] = ((tf * idf[at]) ** 2).sum()
     vectors /= np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-12)
     answers = [sorted(set(words), key=lambda w: (-idf[w], w))[:ANSWER_WORDS] for words in coded]
-    return Model(vocabulary, idf, space.astype(np.float32), vectors.astype(np.float32), weights, np.array([i for i, _ in cut]), [i for i, _ in items], coded, answers)
-
-
-def matches(model: Model, words: list[bytes]) -> list[tuple[int, float, float, bool]]:
-    """(item, cosine, share of the item's words in order, answer there) of the items that a text holds."""
-    ids = np.array(list(map(model.vocabulary.get, words, repeat(-1))), np.int64)
-    begins = np.arange(0, max(1, len(ids) - PASSAGE + STEP), STEP)
-    value = np.where(ids >= 0, model.idf[ids], 0.0)
-    mass = np.append(0.0, np.cumsum(value**2))
-    # a window that holds a passage is at least about as heavy as the passage
-    begins = begins[mass[np.minimum(begins + PASSAGE, len(ids))] - mass[begins] >= 0.3 * model.weights.min()]
-    best: dict[tuple[int, int], float] = {}
-    for at in np.array_split(begins, len(begins) // 2048 + 1):
-        if not len(at):
-            continue
-        vectors = np.zeros((len(at), model.space.shape[1]), np.float32)
-        lengths = np.zeros(len(at))
-        for i, b in enumerate(at.tolist()):
-            own, tf = np.unique(ids[b : b + PASSAGE], return_counts=True)
+    pairs = anchors([np.unique(p) for _, p in cut], idf)
+    posts_at = np.searchsorted([w for w, _ in pairs], np.arange(len(idf) + 1))
+    anchored = np.bincount([p for _, p in pairs], weights=[idf[w] ** 2 for w, _ in pairs], minlength=len(cut))
+    return Model(vocabulary, idf, space.astype(np.float32), vectors.astype(np.float32), np.array([i for i, _ in cut]), [i for i, _ in items], coded, answers, np.array([p for _, p in pairs], np.int64), posts_at, anchored)
+
+
+def anchors(passages: list[np.ndarray], idf: np.ndarray) -> list[tuple[int, int]]:
+    """(word, passage) by word: words of few passages; where they make up less than half of a passage, its rarest too."""
+    spread = np.bincount(np.concatenate(passages), minlength=len(idf))
+    out = []
+    for i, words in enumerate(passages):
+        weight = idf[words] ** 2
+        order = np.lexsort((words, -weight))
+        few = spread[words] <= ANCHOR
+        need = weight.sum() / 2 - weight[few].sum()
+        for k in order:
+            if not few[k] and need > 0:
+                few[k], need = True, need - weight[k]
+        out += [(int(w), i) for w in words[few]]
+    return sorted(out)
+
+
+def matches(model: Model, some: list[list[bytes]]) -> list[list[tuple[int, float, float, bool]]]:
+    """Of each text: (item, cosine, share of the item's words in order, answer there) of the items that it holds."""
+    out: list[dict[int, tuple[int, float, float, bool]]] = [{} for _ in some]
+    coded = [np.array(list(map(model.vocabulary.get, words, repeat(-1))), np.int64) for words in some]
+    halves = np.array([-(-len(x) // STEP) for x in coded])
+    first = np.cumsum(halves) - halves
+    flat = np.full(halves.sum() * STEP, -1, np.int64)
+    for x, at in zip(coded, first.tolist(), strict=True):
+        flat[at * STEP : at * STEP + len(x)] = x
+    # weight that each half window shares with each passage through anchors
+    at = np.flatnonzero(flat >= 0)
+    word = flat[at]
+    n = (model.posts_at[1:] - model.posts_at[:-1])[word]
+    at, word, n = at[n > 0], word[n > 0], n[n > 0]
+    post = model.posts[np.repeat(model.posts_at[word] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+    keys, which = np.unique(np.repeat(at // STEP, n) * len(model.anchored) + post, return_inverse=True)
+    shared = np.bincount(which, weights=np.repeat(model.idf[word] ** 2, n), minlength=len(keys))
+    near = np.unique(keys[shared >= LEAST_ANCHORED * model.anchored[keys % len(model.anchored)]] // len(model.anchored))
+    for half in near.tolist():
+        i = int(np.searchsorted(first, half, side="right")) - 1
+        ids = coded[i]
+        for begin in {max(0, half - 1 - int(first[i])) * STEP, (half - int(first[i])) * STEP}:
+            own, tf = np.unique(ids[begin : begin + PASSAGE], return_counts=True)
             own, tf = (own[1:], tf[1:]) if own[0] < 0 else (own, tf)
             weight = tf * model.idf[own]
-            vectors[i], lengths[i] = weight.astype(np.float32) @ model.space[own], np.sqrt((weight**2).sum())
-        cosine = vectors @ model.passages.T / np.maximum(lengths, 1e-9)[:, None]
-        for i, j in np.argwhere(cosine >= LEAST_COSINE).tolist():
-            item = int(model.item_of[j])
-            key = (item, int(at[i]))
-            best[key] = max(best.get(key, 0.0), float(cosine[i, j]))
-    out: dict[int, tuple[int, float, float, bool]] = {}
-    for (item, b), cosine in best.items():
-        own = model.words[item]
-        near = ids[max(0, b - len(own)) : b + PASSAGE + len(own)].tolist()
-        share = common_length(own, near) / len(own)
-        answered = len(set(model.answers[item]) & set(near)) >= max(1, len(model.answers[item]) - 1)
-        if (share >= SAME or (share >= ALIKE and answered)) and share >= out.get(item, (0, 0.0, 0.0, False))[2]:
-            out[item] = (model.items[item], max(cosine, out.get(item, (0, 0.0, 0.0, False))[1]), share, answered)
-    return sorted(out.values())
+            cosine = model.passages @ (weight.astype(np.float32) @ model.space[own]) / max(1e-9, np.sqrt((weight**2).sum()))
+            for j in np.flatnonzero(cosine >= LEAST_COSINE).tolist():
+                item = int(model.item_of[j])
+                words = model.words[item]
+                region = ids[max(0, begin - len(words)) : begin + PASSAGE + len(words)].tolist()
+                share = common_length(words, region) / len(words)
+                answered = len(set(model.answers[item]) & set(region)) >= max(1, len(model.answers[item]) - 1)
+                if share >= SAME or (share >= ALIKE and answered):
+                    old = out[i].get(item, (0, 0.0, 0.0, False))
+                    out[i][item] = (model.items[item], max(float(cosine[j]), old[1]), max(share, old[2]), answered or old[3])
+    return [sorted(x.values()) for x in out]
 
 
 def contaminated(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -212,7 +237,7 @@ def without_items(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows, with all their columns, of documents that hold no benchmark item."""
     for model in models(documents, benchmark):
         kept = documents.sparkSession.sparkContext.broadcast(model)
-        documents = keep_rows(documents, lambda kept=kept: lambda some: [not matches(kept.value, plain_words(x)) for x in some])
+        documents = keep_rows(documents, lambda kept=kept: lambda some: [not x for x in matches(kept.value, [plain_words(x) for x in some])])
     return documents
 
 
@@ -221,7 +246,8 @@ def found_in(rows: DataFrame, model: Model, schema: str) -> DataFrame:
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [(d, *x) for d, text in zip(batch.column("doc_id").to_pylist(), texts(batch), strict=True) for x in matches(kept.value, plain_words(text))]
+            held = matches(kept.value, [plain_words(x) for x in texts(batch)])
+            found = [(d, *x) for d, own in zip(batch.column("doc_id").to_pylist(), held, strict=True) for x in own]
             columns = list(zip(*found, strict=True)) if found else [[]] * 5
             yield pa.RecordBatch.from_arrays([pa.array(list(x), t) for x, t in zip(columns, (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.bool_()), strict=True)], ["doc_id", "item_id", "cosine", "lcs_share", "answer"])
 

@@ -28,7 +28,7 @@ WORDS = 5
 BANDS, ROWS, BITS = 32, 4, 4
 HASHES = BANDS * ROWS
 PERCENT = 75  # least share of the union, in hundredths
-LEAST_ESTIMATE = 0.5  # 5 standard errors below 0.75
+LEAST_ESTIMATE = 0.55  # more than 4 standard errors below 0.75
 SMALL, BLOCK = 24, 256  # members of a bucket that is paired by a join; of a block otherwise
 
 _numbers = np.random.Generator(np.random.PCG64(7))
@@ -139,55 +139,79 @@ def estimate(a: str, b: str) -> Column:
     return ((1 - differ / F.lit(float(HASHES))) - chance) / (1 - chance)
 
 
-def confirmed(pairs: DataFrame, documents: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """Those of the pairs (a, b) whose full sets hold 100 * intersection >= percent * union."""
+def full_sets(documents: DataFrame, wanted: DataFrame) -> DataFrame:
+    """doc_id and set (binary, sorted 64-bit hashes) of the documents whose doc_id is wanted, each once."""
 
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler()
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([x.tobytes() for x in shingler.sets(texts(batch))], pa.binary())], ["doc_id", "set"])
 
+    rows = documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(wanted, "doc_id", "left_semi")
+    return cut(arrow_map(rows, work, "doc_id long, set binary").dropDuplicates(["doc_id"]))
+
+
+def linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return 100 * both >= percent * (len(x) + len(y) - both)
+
+
+def confirmed(pairs: DataFrame, documents: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """Those of the pairs (a, b) whose full sets hold 100 * intersection >= percent * union."""
+
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, b = ([np.frombuffer(x, np.uint64) for x in batch.column(c).to_pylist()] for c in ("x", "y"))
-            both = [len(np.intersect1d(x, y, assume_unique=True)) for x, y in zip(a, b, strict=True)]
-            keep = [100 * n >= percent * (len(x) + len(y) - n) for n, x, y in zip(both, a, b, strict=True)]
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            x, y = ([np.frombuffer(x, np.uint64) for x in batch.column(c).to_pylist()] for c in ("x", "y"))
+            yield batch.select(["a", "b"]).filter(pa.array([linked(*p, percent) for p in zip(x, y, strict=True)], pa.bool_()))
 
-    wanted = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    rows = documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(wanted, "doc_id", "left_semi")
-    kept = cut(arrow_map(rows, sets, "doc_id long, set binary").dropDuplicates(["doc_id"]))
+    kept = full_sets(documents, pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct())
     x, y = (kept.select(F.col("doc_id").alias(end), F.col("set").alias(name)) for end, name in (("a", "x"), ("b", "y")))
     return arrow_map(pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y"), work, "a long, b long")
 
 
-def across(rows: DataFrame) -> DataFrame:
-    """Pairs (a, b) of rows (key, n, doc_id, component, planes) that share a key, differ in component and are likely."""
-    small = rows.where(F.col("n") <= SMALL)
-    other = small.select("key", F.col("doc_id").alias("b"), F.col("component").alias("other"), F.col("planes").alias("q"))
-    near = small.join(other, "key").where("doc_id < b and component <> other").where(estimate("planes", "q") >= LEAST_ESTIMATE).select(F.col("doc_id").alias("a"), "b")
+def across_small(rows: DataFrame) -> DataFrame:
+    """Pairs (a, b) of rows (key, doc_id, component, planes) that share a key, differ in component and are likely."""
+    other = rows.select("key", F.col("doc_id").alias("b"), F.col("component").alias("other"), F.col("planes").alias("q"))
+    near = rows.join(other, "key").where("doc_id < b and component <> other").where(estimate("planes", "q") >= LEAST_ESTIMATE)
+    return near.select(F.col("doc_id").alias("a"), "b").distinct()
 
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    large = rows.where(F.col("n") > SMALL).withColumn("own", F.pmod(F.xxhash64("doc_id"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    large = large.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "doc_id", "component", "planes")
 
-    def work(batch: pa.Table) -> pa.Table:
-        ids, part, own = (np.array(batch.column(c).to_numpy()) for c in ("doc_id", "component", "own"))
-        bits = np.array(batch.column("planes").to_pylist(), np.int64).view(np.uint64).reshape(len(ids), BITS, -1)
-        i, j = batch.column("i")[0].as_py(), batch.column("j")[0].as_py()
+def across_large(rows: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """Confirmed links (a, b) across components among rows (key, n, doc_id, component, planes, bands) that share a key.
+
+    A bucket is dealt out as pairs of blocks. Within a pair of blocks the likeliest partners come first, and what a
+    confirmed link has joined isn't held against each other again; only links leave. Two texts that share several
+    buckets meet in the first of them only.
+    """
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    dealt = rows.withColumn("own", F.pmod(F.xxhash64("doc_id"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    dealt = dealt.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "doc_id", "component", "planes", "bands")
+    dealt = dealt.join(sets, "doc_id")
+
+    def work(table: pa.Table) -> pa.Table:
+        ids, part, own = (np.array(table.column(c).to_numpy()) for c in ("doc_id", "component", "own"))
+        bits = np.array(table.column("planes").to_pylist(), np.int64).view(np.uint64).reshape(len(ids), BITS, -1)
+        bands = np.array(table.column("bands").to_pylist(), np.int64)
+        held = [np.frombuffer(x, np.uint64) for x in table.column("set").to_pylist()]
+        i, j, key = (table.column(c)[0].as_py() for c in ("i", "j", "key"))
+        band = int(np.flatnonzero(bands[0] == key)[0])
         left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
-        a: list[np.ndarray] = []
-        b: list[np.ndarray] = []
-        chance = 2.0**-BITS
+        chance, found = 2.0**-BITS, []
         for x in left:
-            differ = np.bitwise_count(np.bitwise_or.reduce(bits[right] ^ bits[x], axis=1)).sum(axis=1)
-            near = ((1 - differ / HASHES) - chance) / (1 - chance) >= LEAST_ESTIMATE
-            found = right[near & (part[right] != part[x]) & ((ids[right] > ids[x]) | (i != j))]
-            a.append(np.minimum(ids[found], ids[x]))
-            b.append(np.maximum(ids[found], ids[x]))
-        return pa.table({"a": np.concatenate([np.empty(0, np.int64), *a]), "b": np.concatenate([np.empty(0, np.int64), *b])})
+            some = right[(part[right] != part[x]) & ((ids[right] > ids[x]) | (i != j))]
+            some = some[~(bands[some, :band] == bands[x, :band]).any(axis=1)]
+            if not len(some):
+                continue
+            differ = np.bitwise_count(np.bitwise_or.reduce(bits[some] ^ bits[x], axis=1)).sum(axis=1)
+            alike = ((1 - differ / HASHES) - chance) / (1 - chance)
+            order = np.argsort(-alike, kind="stable")
+            for y in some[order[alike[order] >= LEAST_ESTIMATE]]:
+                if part[x] != part[y] and linked(held[x], held[y], percent):
+                    found.append(sorted((int(ids[x]), int(ids[y]))))
+                    part[part == part[y]] = part[x]
+        return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
 
-    return near.union(large.groupBy("key", "i", "j").applyInArrow(work, "a long, b long")).distinct()
+    return dealt.groupBy("key", "i", "j").applyInArrow(work, "a long, b long")
 
 
 def near_duplicates(documents: DataFrame) -> DataFrame:
@@ -206,7 +230,7 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     rows = cut(unlike.select("doc_id", "planes", F.explode("bands").alias("key")).select("key", "doc_id"))
     buckets = cut(rows.groupBy("key").agg(F.min("doc_id").alias("pivot"), F.count("*").alias("n")).where("n > 1"))
     members = cut(rows.join(buckets, "key").select("key", "doc_id", "pivot", "n"))
-    bits = unlike.select("doc_id", "planes").dropDuplicates(["doc_id"])
+    bits = unlike.select("doc_id", "planes", "bands").dropDuplicates(["doc_id"])
 
     stars = members.where("pivot < doc_id").select(F.col("pivot").alias("a"), F.col("doc_id").alias("b")).distinct()
     p, q = bits.select(F.col("doc_id").alias("a"), F.col("planes").alias("p")), bits.select(F.col("doc_id").alias("b"), F.col("planes").alias("q"))
@@ -218,9 +242,15 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     placed = cut(placed.select("key", "doc_id", "n", "component"))
     open_ = cut(placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key"))
     rest = placed.join(open_, "key", "left_semi")
-    more = cut(across(rest.join(bits, "doc_id")))
+    rest = cut(rest.join(bits, "doc_id"))
+    small, large = rest.where(F.col("n") <= SMALL), rest.where(F.col("n") > SMALL)
+    more = cut(across_small(small))
+    more = confirmed(more, documents) if not more.isEmpty() else more
+    if not large.isEmpty():
+        more = more.union(across_large(large, full_sets(documents, large.select("doc_id").distinct())))
+    more = cut(more)
     if not more.isEmpty():
-        first = components(links.union(confirmed(more, documents)))
+        first = components(links.union(more))
 
     found = base.select("doc_id", "n_shingles", "copy").join(copies, "copy", "left").withColumn("first", F.coalesce("first", "doc_id"))
     found = found.select("doc_id", "n_shingles", "first").join(first.withColumnRenamed("node", "first"), "first", "left")

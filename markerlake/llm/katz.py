@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from markerlake.llm.common import arrow_map, cut, importable, partitions, words_of
+from markerlake.llm.common import arrow_map, cut, importable, partitions, release, words_of
 
 BLOCK_TOKENS = 1 << 20
 LARGEST = 5  # counts above it are not discounted
@@ -112,8 +112,12 @@ class Unigrams:
 
 
 # -- blocks -----------------------------------------------------------------------------------------------------------
-def blocks(documents: DataFrame, modulus: int, held: int) -> DataFrame:
-    """Tokenised blocks: a document ids, b flags (1 trains, 2 null id), c lengths, d local words, e hashes, f training counts."""
+def blocks(documents: DataFrame, modulus: int, held: int, buckets: int) -> DataFrame:
+    """Tokenised blocks, and what each asks about its words.
+
+    Blocks have bucket -1: a document ids, b flags (1 trains, 2 null id), c lengths, d local words, e their order by
+    hash. Questions: a the hashes of a bucket in order, b their training counts in the block.
+    """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         class Index(dict):
@@ -124,13 +128,18 @@ def blocks(documents: DataFrame, modulus: int, held: int) -> DataFrame:
         part, number = TaskContext.get().partitionId(), 0
         index, names, flags, lengths, tokens, size = Index({END_WORD: 0}), [], [], [], [], 0
 
-        def row() -> pa.RecordBatch:
+        def rows() -> Iterator[pa.RecordBatch]:
             sequence = np.concatenate(tokens)
             trains = np.repeat(np.array(flags) & 1, lengths)
             counts = np.bincount(sequence, weights=trains, minlength=len(index))
             hashes = np.array([xxhash.xxh64_intdigest(x) for x in index], np.uint64)
-            values = [np.array(names, "<i8").tobytes(), bytes(flags), pack(np.array(lengths)), pack(sequence), hashes.tobytes(), pack(counts)]
-            return pa.RecordBatch.from_pylist([dict(zip(FIELDS, values, strict=True)) | {"bucket": -1, "block": (part << 32) + number}], schema=ARROW)
+            order, block = np.argsort(hashes), (part << 32) + number
+            values = [np.array(names, "<i8").tobytes(), bytes(flags), pack(np.array(lengths)), pack(sequence), pack(order), None]
+            yield pa.RecordBatch.from_pylist([dict(zip(FIELDS, values, strict=True)) | {"bucket": -1, "block": block}], schema=ARROW)
+            hashes, counts = hashes[order], counts[order]
+            found, begins = np.unique(bucket_of(hashes, buckets), return_index=True)
+            for b, i, j in zip(found.tolist(), begins, [*begins[1:], len(hashes)], strict=True):
+                yield pa.RecordBatch.from_pylist([{"bucket": b, "block": block, "a": pack_sorted(hashes[i:j]), "b": pack(counts[i:j])}], schema=ARROW)
 
         for batch in batches:
             for name, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
@@ -143,10 +152,10 @@ def blocks(documents: DataFrame, modulus: int, held: int) -> DataFrame:
                 tokens.append(np.array(own, np.uint32))
                 size += len(own)
                 if size >= BLOCK_TOKENS:
-                    yield row()
+                    yield from rows()
                     index, names, flags, lengths, tokens, size, number = Index({END_WORD: 0}), [], [], [], [], 0, number + 1
         if names:
-            yield row()
+            yield from rows()
 
     return arrow_map(documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), work, SCHEMA)
 
@@ -210,17 +219,8 @@ def score(documents: DataFrame, modulus: int = 7, held: int = 2) -> DataFrame:
     """
     spark, buckets = documents.sparkSession, partitions(documents.sparkSession)
     importable(spark)
-    made = cut(blocks(documents, modulus, held))
-
-    def ask_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for x in batch.to_pylist():
-                hashes, counts = np.frombuffer(x["e"], np.uint64), unpack(x["f"])
-                order = np.argsort(hashes)
-                hashes, counts = hashes[order], counts[order]
-                found, begins = np.unique(bucket_of(hashes, buckets), return_index=True)
-                for b, i, j in zip(found.tolist(), begins, [*begins[1:], len(hashes)], strict=True):
-                    yield pa.RecordBatch.from_pylist([{"bucket": b, "block": x["block"], "a": pack_sorted(hashes[i:j]), "b": pack(counts[i:j])}], schema=ARROW)
+    read = cut(blocks(documents, modulus, held, buckets))
+    made = read.where("bucket = -1")
 
     def count_words(table: pa.Table) -> pa.Table:
         asked = table.to_pylist()
@@ -237,7 +237,7 @@ def score(documents: DataFrame, modulus: int = 7, held: int = 2) -> DataFrame:
             out.append({"bucket": x["bucket"], "block": x["block"], "a": pack(number[at]), "b": pack(total[at])})
         return whole(out)
 
-    words = cut(arrow_map(made, ask_words, SCHEMA).groupBy("bucket").applyInArrow(count_words, SCHEMA))
+    words = cut(read.where("bucket >= 0").groupBy("bucket").applyInArrow(count_words, SCHEMA))
     sums = arrow_map(words.where("block = -1"), unpacked(LARGEST + 3), f"h double, {named(LARGEST + 3)}")
     tokens, types, *of_counts = (int(x or 0) for x in sums.agg(*(F.sum(f"x{i}") for i in range(LARGEST + 3))).first())
     unigrams = Unigrams(tokens, types, of_counts)
@@ -246,7 +246,7 @@ def score(documents: DataFrame, modulus: int = 7, held: int = 2) -> DataFrame:
     def local(block: dict, answers: list[dict]) -> tuple[np.ndarray, np.ndarray]:
         """Number and count of each word of a block: answers are in order of hash."""
         answers = sorted((x for x in answers if x["c"] is None), key=lambda x: x["bucket"])
-        order = np.argsort(np.frombuffer(block["e"], np.uint64))
+        order = unpack(block["e"]).astype(np.int64)
         number, count = np.empty(len(order), np.uint64), np.empty(len(order), np.uint64)
         number[order], count[order] = (np.concatenate([unpack(x[f]) for x in answers]) for f in ("a", "b"))
         return number, count
@@ -282,6 +282,7 @@ def score(documents: DataFrame, modulus: int = 7, held: int = 2) -> DataFrame:
             out.append({"bucket": bucket, "block": x["block"], "c": pack(total[which[end - run.sum() : end]]), "d": pack(n[at].T.ravel()), "e": zstandard.ZstdCompressor(level=1).compress(mass[at].tobytes())})
         return whole(out)
 
+    release(spark)
     answered = words.where("block >= 0")
     pairs = cut(made.groupBy("block").cogroup(answered.groupBy("block")).applyInArrow(ask_pairs, SCHEMA).groupBy("bucket").applyInArrow(count_pairs, SCHEMA))
     sums = arrow_map(pairs.where("block = -1"), unpacked(LARGEST + 1), f"h double, {named(LARGEST + 1)}")
@@ -289,6 +290,8 @@ def score(documents: DataFrame, modulus: int = 7, held: int = 2) -> DataFrame:
     parts = arrow_map(pairs.where("block = -2"), unpacked(LARGEST + 1), f"h double, {named(LARGEST + 1)}")
     hot = {int(x["x0"]): x for x in parts.groupBy("x0").agg(F.sum("h").alias("h"), *(F.sum(f"x{i}").alias(f"x{i}_") for i in range(1, LARGEST + 1))).collect()}  # at most 4 to a partition
 
+    release(spark)
+
     def finish(left: pa.Table, right: pa.Table) -> pa.Table:
         block, answers = left.to_pylist()[0], right.to_pylist()
         number, count = local(block, answers)

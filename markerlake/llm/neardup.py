@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from markerlake.llm.common import arrow_map, cut, texts, words_of
+from markerlake.llm.common import arrow_map, cut, release, texts, words_of
 from markerlake.llm.graph import components
 from markerlake.llm.pieces import Parts
 
@@ -29,7 +29,7 @@ BANDS, ROWS, BITS = 32, 4, 4
 HASHES = BANDS * ROWS
 PERCENT = 75  # least share of the union, in hundredths
 LEAST_ESTIMATE = 0.55  # more than 4 standard errors below 0.75
-SMALL, BLOCK = 24, 256  # members of a bucket that is paired by a join; of a block otherwise
+SMALL, BLOCK = 24, 1024  # members of a bucket that is paired by a join; of a block otherwise
 
 _numbers = np.random.Generator(np.random.PCG64(7))
 #: 64-bit multipliers (odd) and offsets of the hash functions, two 32-bit minima to each.
@@ -237,6 +237,7 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     likely = cut(stars.join(p, "a").join(q, "b").where(estimate("p", "q") >= LEAST_ESTIMATE).select("a", "b"))
     links = cut(confirmed(likely, documents))
     first = components(links)
+    release(documents.sparkSession)
 
     placed = members.join(first.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
     placed = cut(placed.select("key", "doc_id", "n", "component"))
@@ -245,7 +246,8 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     rest = cut(rest.join(bits, "doc_id"))
     small, large = rest.where(F.col("n") <= SMALL), rest.where(F.col("n") > SMALL)
     more = cut(across_small(small))
-    more = confirmed(more, documents) if not more.isEmpty() else more
+    more = cut(confirmed(more, documents)) if not more.isEmpty() else more
+    release(documents.sparkSession)
     if not large.isEmpty():
         more = more.union(across_large(large, full_sets(documents, large.select("doc_id").distinct())))
     more = cut(more)

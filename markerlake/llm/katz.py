@@ -197,7 +197,7 @@ class Pairs:
 
     def questions(self, block: int) -> Iterator[dict]:
         found, begins = np.unique(self.list_bucket, return_index=True)
-        ends = np.append(begins[1:], len(self.list_h))
+        ends = np.append(begins[1:], len(self.list_h))[: len(begins)]  # none where no word of the block was seen in training
         runs = np.bincount(self.pair_list, minlength=len(self.list_h))
         first = np.append(0, np.cumsum(runs))
         for b, i, j in zip(found.tolist(), begins.tolist(), ends.tolist(), strict=True):

@@ -254,7 +254,7 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     if not more.isEmpty():
         first = components(links.union(more))
 
-    found = base.select("doc_id", "n_shingles", "copy").join(copies, "copy", "left").withColumn("first", F.coalesce("first", "doc_id"))
+    found = base.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("copy")).alias("copy")).join(copies, "copy", "left").withColumn("first", F.coalesce("first", "doc_id"))
     found = found.select("doc_id", "n_shingles", "first").join(first.withColumnRenamed("node", "first"), "first", "left")
     found = found.withColumn("component_id", F.coalesce("component", "first"))
     return found.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))

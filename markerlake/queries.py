@@ -158,7 +158,7 @@ def overlap_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OUT = "CASE WHEN (cx - h) / 1920 < -1e-6 OR (cy - h) / 1080 < -1e-6 OR (cx + h) / 1920 > 1 + 1e-6 OR (cy + h) / 1080 > 1 + 1e-6 THEN true ELSE false END"
 POINTS_IN_MARGIN = " + ".join(f"CASE WHEN seq % 71 = 0 OR {IN.format(x=f'x{i}', y=f'y{i}')} THEN 0 ELSE 1 END" for i in range(1, 5))
-TAGS_SQL = f"{PAIRS_SQL}, t AS (SELECT image_id, bool_or({OUT}) AS out_of_bounds, bool_or(h > 60 AND 2 * h / 1920 * 2 * h / 1080 < 0.01) AS scale_drift, sum({POINTS_IN_MARGIN}) > 0 AS edge_case FROM det GROUP BY image_id) SELECT t.image_id, out_of_bounds, scale_drift, coalesce(o.image_id IS NOT NULL, false) AS overlap, edge_case FROM t LEFT JOIN (SELECT DISTINCT image_id FROM o) o ON t.image_id = o.image_id"
+TAGS_SQL = f"{PAIRS_SQL}, t AS (SELECT image_id, bool_or({OUT}) AS out_of_bounds, bool_or(h > 60 AND (2 * h / 1920) * (2 * h / 1080) < 0.01) AS scale_drift, sum({POINTS_IN_MARGIN}) > 0 AS edge_case FROM det GROUP BY image_id) SELECT t.image_id, out_of_bounds, scale_drift, coalesce(o.image_id IS NOT NULL, false) AS overlap, edge_case FROM t LEFT JOIN (SELECT DISTINCT image_id FROM o) o ON t.image_id = o.image_id"
 
 
 def tagged(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -240,11 +240,11 @@ def provenance_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merge.merge_provenance(rows).select("image_id", "seed")
 
 
-TELEMETRY_SQL = "t AS (SELECT user_id AS worker_id, epoch_ms(ts) / 1000.0 AS timestamp, value AS vram, event_id FROM events)"
+TELEMETRY_SQL = "t AS (SELECT user_id AS worker_id, epoch_us(ts) / 1000000.0 AS timestamp, value AS vram, event_id FROM events)"
 
 
 def telemetry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "events").select(F.col("user_id").alias("worker_id"), (F.unix_millis(F.col("ts").cast("timestamp")) / 1000.0).alias("timestamp"), F.col("value").alias("vram"), "event_id")
+    return read(spark, sf_dir, "events").select(F.col("user_id").alias("worker_id"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1000000.0).alias("timestamp"), F.col("value").alias("vram"), "event_id")
 
 
 @query(f"WITH {TELEMETRY_SQL} SELECT worker_id, event_id, round(vram, 6) AS vram FROM (SELECT *, row_number() OVER (PARTITION BY worker_id ORDER BY timestamp DESC, vram DESC, event_id DESC) AS rn FROM t) WHERE rn = 1")
@@ -252,15 +252,15 @@ def worker_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(relate.latest(telemetry(spark, sf_dir)).select("worker_id", "event_id", "vram"))
 
 
-@query(f"WITH {TELEMETRY_SQL}, g AS (SELECT worker_id, timestamp AS a, lead(timestamp) OVER (PARTITION BY worker_id ORDER BY timestamp) AS b FROM t) SELECT worker_id, count(*) AS gaps, round(max(b - a), 3) AS longest FROM g WHERE b - a > 10 GROUP BY worker_id")
+@query(f"WITH {TELEMETRY_SQL}, g AS (SELECT worker_id, timestamp AS a, lead(timestamp) OVER (PARTITION BY worker_id ORDER BY timestamp) AS b FROM t) SELECT worker_id, count(*) AS gaps, round(max(b - a), 5) AS longest FROM g WHERE b - a > 10 GROUP BY worker_id")
 def liveness_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = relate.silences(telemetry(spark, sf_dir))
-    return found.groupBy("worker_id").agg(F.count("*").alias("gaps"), F.round(F.max("silence"), 3).alias("longest"))
+    return found.groupBy("worker_id").agg(F.count("*").alias("gaps"), F.round(F.max("silence"), 5).alias("longest"))
 
 
-@query(f"WITH {TELEMETRY_SQL} SELECT round(max(timestamp) - min(timestamp), 3) AS duration, count(*) AS events, round(avg(vram), 4) AS mean_vram, round(max(vram), 4) AS max_vram FROM t")
+@query(f"WITH {TELEMETRY_SQL} SELECT round(max(timestamp) - min(timestamp), 5) AS duration, count(*) AS events, round(avg(vram), 4) AS mean_vram, round(max(vram), 4) AS max_vram FROM t")
 def throughput(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return relate.throughput(telemetry(spark, sf_dir)).select(F.round("duration", 3).alias("duration"), "events", F.round("mean_vram", 4).alias("mean_vram"), F.round("max_vram", 4).alias("max_vram"))
+    return relate.throughput(telemetry(spark, sf_dir)).select(F.round("duration", 5).alias("duration"), "events", F.round("mean_vram", 4).alias("mean_vram"), F.round("max_vram", 4).alias("max_vram"))
 
 
 @query("SELECT event_id FROM events WHERE upper(event_type) = 'CLICK' AND TRY_CAST(json_extract_string(props, '$.k') AS INTEGER) > 50")
@@ -293,14 +293,15 @@ def vec(*names: str) -> list[Column]:
     return [F.col(n) for n in names]
 
 
-@query("WITH p AS (SELECT p_partkey, p_size / 10.0 - 2 AS x, p_partkey % 17 / 8.0 - 1 AS y, 1 + p_partkey % 5 / 2.0 AS z FROM part) SELECT p_partkey, round(x / z * (1 + 0.1 * (x * x + y * y) / (z * z)) * 500 + 320, 4) AS u, round(y / z * (1 + 0.1 * (x * x + y * y) / (z * z)) * 500 + 240, 4) AS v, round(sqrt(x * x + y * y + z * z), 6) AS distance, round(degrees(acos(greatest(-1, least(1, z / sqrt(x * x + y * y + z * z))))), 4) AS angle, round(500 * 0.1 / (z * 8), 6) AS ppm FROM p")
+@query("WITH p AS (SELECT p_partkey, p_size / 10.0 - 2 AS x, p_partkey % 17 / 8.0 - 1 AS y, 1 + p_partkey % 5 / 2.0 AS z FROM part) SELECT p_partkey, round(x / z * (1 + 0.1 * (x * x + y * y) / (z * z)) * 500 + 320 + 1e-7, 4) AS u, round(y / z * (1 + 0.1 * (x * x + y * y) / (z * z)) * 500 + 240 + 1e-7, 4) AS v, round(sqrt(x * x + y * y + z * z), 6) AS distance, round(degrees(acos(greatest(-1, least(1, z / sqrt(x * x + y * y + z * z))))), 4) AS angle, round(500 * 0.1 / (z * 8), 6) AS ppm FROM p")
 def projection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """u and v are moved off exact halves of the last digit, which engines round differently."""
     key = F.col("p_partkey")
     rows = read(spark, sf_dir, "part").select("p_partkey", (F.col("p_size") / 10.0 - 2).alias("x"), (key % 17 / 8.0 - 1).alias("y"), (1 + key % 5 / 2.0).alias("z"))
     zero, one = F.lit(0.0), F.lit(1.0)
     k = [[F.lit(500.0), zero, F.lit(320.0)], [zero, F.lit(500.0), F.lit(240.0)], [zero, zero, one]]
     u, v = g.project(vec("x", "y", "z"), k, F.lit("brown_conrady"), F.array(F.lit(0.1), zero, zero, zero, zero))
-    return rows.select("p_partkey", F.round(u, 4).alias("u"), F.round(v, 4).alias("v"), F.round(g.distance((zero, zero, zero), vec("x", "y", "z")), 6).alias("distance"), F.round(g.angle_of_incidence((zero, zero, zero), vec("x", "y", "z"), (zero, zero, one)), 4).alias("angle"), F.round(g.pixels_per_module(F.lit(500.0), F.lit(0.1), F.col("z"), F.lit(8)), 6).alias("ppm"))
+    return rows.select("p_partkey", F.round(u + 1e-7, 4).alias("u"), F.round(v + 1e-7, 4).alias("v"), F.round(g.distance((zero, zero, zero), vec("x", "y", "z")), 6).alias("distance"), F.round(g.angle_of_incidence((zero, zero, zero), vec("x", "y", "z"), (zero, zero, one)), 4).alias("angle"), F.round(g.pixels_per_module(F.lit(500.0), F.lit(0.1), F.col("z"), F.lit(8)), 6).alias("ppm"))
 
 
 BOARD_SQL = "b AS (SELECT p_partkey AS board_id, 2 + p_size % 5 AS rows, 2 + p_partkey % 4 AS cols, CASE WHEN p_partkey % 2 = 0 THEN 'charuco' ELSE 'aprilgrid' END AS type, 0.25::DOUBLE AS square_size FROM part)"
@@ -322,7 +323,7 @@ def board_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return boards.checks(rows, boards.squares(rows))
 
 
-@query("SELECT CAST(i AS BIGINT) AS i, round((i % 5 - 2) * 0.125, 6) AS x, round((2.5 - i // 5) * 0.125, 6) AS y, 0.001::DOUBLE AS z FROM (SELECT unnest(range(30)) AS i)")
+@query("SELECT CAST(i AS BIGINT) AS i, CAST((i % 5 - 2) * 0.125 AS DOUBLE) AS x, CAST((2.5 - i // 5) * 0.125 AS DOUBLE) AS y, 0.001::DOUBLE AS z FROM (SELECT unnest(range(30)) AS i)")
 def grid_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(boards.grid(spark.range(30).withColumnRenamed("id", "i"), 5, 6, 0.125))
 

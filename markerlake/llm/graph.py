@@ -11,18 +11,22 @@ from markerlake.llm.common import cut
 def components(links: DataFrame) -> DataFrame:
     """node, component (the smallest node that is reachable) for every node of the links (a, b).
 
-    In each round a node takes its smallest neighbour, if that is smaller, as its parent; parents' parents shorten the
-    chains; links are then drawn between parents. Links that join a node to itself leave. Rounds end when no link is
-    left: their number grows with the logarithm of the longest path.
+    In each round a node takes its smallest neighbour, if that is smaller, as its parent; parents' parents are taken until
+    each node points at one that has none, in as many steps as the longest way doubles. Links are then drawn between
+    those, and links that join a node to itself leave. Nodes without a parent are never neighbours, so each round at
+    least halves the nodes that still have links.
     """
     edges = cut(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct())
     nodes = edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct()
     root = cut(nodes.select("node", F.col("node").alias("component")))
     while not edges.isEmpty():
         parent = cut(edges.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("parent")))
-        for _ in range(2):
+        while True:
             up = parent.select(F.col("node").alias("parent"), F.col("parent").alias("above"))
-            parent = cut(parent.join(up, "parent", "left").select("node", F.coalesce("above", "parent").alias("parent")))
+            jumped = cut(parent.join(up, "parent", "left").select("node", F.coalesce("above", "parent").alias("parent"), F.col("above").isNotNull().alias("moved")))
+            parent = jumped.select("node", "parent")
+            if jumped.where("moved").isEmpty():
+                break
         moved = parent.select(F.col("node").alias("component"), F.col("parent").alias("to"))
         root = cut(root.join(moved, "component", "left").select("node", F.coalesce("to", "component").alias("component")))
         for end in ("a", "b"):

@@ -1,10 +1,10 @@
 """Benchmark decontamination by latent semantic retrieval (operator 3).
 
 Benchmark items are cut into passages, weighted by TF-IDF (document frequencies over all documents), and a randomised
-singular value decomposition, its products summed over partitions, gives a latent space. Each document's windows are
-held against the passages by cosine in that space, if they share enough weight of rare words with a passage for the next check to pass; of the
-candidates, the longest common subsequence of words with the
-item decides, and for paraphrases also whether the item's answer is there.
+singular value decomposition, its products summed over partitions, gives a latent space. Regions of documents that hold
+so many of an item's rarest words that they can pass the next check are its candidates: none that passes is missed,
+however many items there are. The longest common subsequence of words with the item decides, and for paraphrases also
+whether the item's answer is there; the cosine of window and passage, both projected, is the score of what is found.
 """
 
 from __future__ import annotations
@@ -23,11 +23,9 @@ from markerlake.llm.common import arrow_map, keep_rows, texts
 
 PASSAGE, STEP = 40, 20  # words in a window, and between windows; of documents and of long items
 RANK, OVERSAMPLE = 128, 16
-LEAST_COSINE = 0.4
-ANCHOR = 8  # a word in at most so many passages is an anchor of each; a passage with few takes its rarest words
-LEAST_ANCHORED = 0.15  # share of a passage's anchors' weight in half a window from which the window is projected
 SAME = 0.8  # share of an item's words, in order, from which a document holds it
 ALIKE = 0.6  # from which it holds it if the answer is there too
+HITS = 3  # different words of an item's rarest, at most, that a region must hold to be a candidate
 ANSWER_WORDS = 3  # an item's rarest words stand for its answer; all but one must be there
 ITEMS_AT_ONCE = 2_000  # items whose model is broadcast together: bounds it to some MB
 PUNCTUATION = bytes(range(33, 48)) + bytes(range(58, 65)) + bytes(range(91, 97)) + bytes(range(123, 127))
@@ -59,13 +57,14 @@ class Model:
     idf: np.ndarray
     space: np.ndarray  # a row for each word
     passages: np.ndarray  # unit rows in the latent space
-    item_of: np.ndarray  # of each passage
+    passages_at: np.ndarray  # where each item's begin
     items: list[int]
     words: list[list[int]]  # of each item
+    counted: list[tuple[np.ndarray, np.ndarray]]  # each item's different words and how often each is there
     answers: list[list[int]]
-    posts: np.ndarray  # anchors' passages, by word
-    posts_at: np.ndarray  # where each word's begin
-    anchored: np.ndarray  # squared TF-IDF length of each passage's anchors
+    gates: np.ndarray  # gates that a word counts for, by word: 2 * item for its answer, 2 * item + 1 for its rarest words
+    gates_at: np.ndarray  # where each word's begin
+    hits: np.ndarray  # different words that each gate needs
 
 
 def pieces(words: list[int]) -> list[list[int]]:
@@ -147,26 +146,65 @@ def fit(documents: DataFrame, items: list[tuple[int, list[bytes]]]) -> Model:
         vectors[i] = (tf * idf[at]) @ space[at]
     vectors /= np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-12)
     answers = [sorted(set(words), key=lambda w: (-idf[w], w))[:ANSWER_WORDS] for words in coded]
-    pairs = anchors([np.unique(p) for _, p in cut], idf)
-    posts_at = np.searchsorted([w for w, _ in pairs], np.arange(len(idf) + 1))
-    anchored = np.bincount([p for _, p in pairs], weights=[idf[w] ** 2 for w, _ in pairs], minlength=len(cut))
-    return Model(vocabulary, idf, space.astype(np.float32), vectors.astype(np.float32), np.array([i for i, _ in cut]), [i for i, _ in items], coded, answers, np.array([p for _, p in pairs], np.int64), posts_at, anchored)
-
-
-def anchors(passages: list[np.ndarray], idf: np.ndarray) -> list[tuple[int, int]]:
-    """(word, passage) by word: words of few passages; where they make up less than half of a passage, its rarest too."""
-    spread = np.bincount(np.concatenate(passages), minlength=len(idf))
-    out = []
-    for i, words in enumerate(passages):
-        weight = idf[words] ** 2
-        order = np.lexsort((words, -weight))
-        few = spread[words] <= ANCHOR
-        need = weight.sum() / 2 - weight[few].sum()
-        for k in order:
-            if not few[k] and need > 0:
-                few[k], need = True, need - weight[k]
-        out += [(int(w), i) for w in words[few]]
-    return sorted(out)
+    gates, hits = [], []
+    for i, words in enumerate(coded):
+        rarest, least = prefix(words, idf)
+        gates += [(w, 2 * i) for w in answers[i]] + [(w, 2 * i + 1) for w in rarest]
+        hits += [answers_needed(answers[i]), least]
+    gates.sort()
+    gates_at = np.searchsorted([w for w, _ in gates], np.arange(len(idf) + 1))
+    passages_at = np.searchsorted([i for i, _ in cut], np.arange(len(items) + 1))
+    return Model(vocabulary, idf, space.astype(np.float32), vectors.astype(np.float32), passages_at, [i for i, _ in items], coded, [np.unique(words, return_counts=True) for words in coded], answers, np.array([g for _, g in gates], np.int64), gates_at, np.array(hits, np.int64))
+
+
+def answers_needed(answer: list[int]) -> int:
+    return max(1, len(answer) - 1)
+
+
+def prefix(words: list[int], idf: np.ndarray) -> tuple[list[int], int]:
+    """An item's rarest words, and how many different ones a text must hold to share SAME of the item's words with it.
+
+    A text with fewer has, of the item's words, at most those outside the prefix and the most frequent of the prefix.
+    """
+    need = next(n for n in range(1, len(words) + 1) if n / len(words) >= SAME)
+    own, times = np.unique(words, return_counts=True)
+    order = np.lexsort((own, -idf[own]))
+    for least in range(min(HITS, len(own)), 0, -1):
+        held = 0
+        for n, k in enumerate(order, 1):
+            held += int(times[k])
+            if n >= least and len(words) - held + np.sort(times[order[:n]])[n - least + 1 :].sum() < need:
+                return own[order[:n]].tolist(), least
+    raise AssertionError("a text without any of an item's words shares none with it")
+
+
+def candidates(model: Model, coded: list[np.ndarray], flat: np.ndarray, first: np.ndarray) -> dict[tuple[int, int], set[int]]:
+    """Items whose gates pass in the region around a window, by text and the window's begin."""
+    at = np.flatnonzero(flat >= 0)
+    word = flat[at]
+    n = (model.gates_at[1:] - model.gates_at[:-1])[word]
+    at, word, n = at[n > 0], word[n > 0], n[n > 0]
+    gate = model.gates[np.repeat(model.gates_at[word] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+    text = np.repeat(np.searchsorted(first, at // STEP, side="right") - 1, n)
+    place, word = np.repeat(at, n) - first[text] * STEP, np.repeat(word, n)
+    key = text * len(model.hits) + gate
+    different = np.unique(np.stack([key, word], axis=1), axis=0)[:, 0]
+    keys, counts = np.unique(different, return_counts=True)
+    keys = keys[counts >= model.hits[keys % len(model.hits)]]
+    kept = np.flatnonzero(np.isin(key, keys))
+    kept = kept[np.argsort(key[kept], kind="stable")]
+    out: dict[tuple[int, int], set[int]] = {}
+    for own in np.split(kept, np.flatnonzero(np.diff(key[kept])) + 1) if len(kept) else []:
+        i, g = divmod(int(key[own[0]]), len(model.hits))
+        size, last = len(model.words[g // 2]), -(-len(coded[i]) // STEP) - 1
+        held: dict[int, set[int]] = {}
+        for p, w in zip(place[own].tolist(), word[own].tolist(), strict=True):
+            for half in range(max(0, -((size + PASSAGE - 1 - p) // STEP)), min(last, (p + size) // STEP) + 1):
+                held.setdefault(half, set()).add(w)
+        for half, words in held.items():
+            if len(words) >= model.hits[g]:
+                out.setdefault((i, half * STEP), set()).add(g // 2)
+    return out
 
 
 def matches(model: Model, some: list[list[bytes]]) -> list[list[tuple[int, float, float, bool]]]:
@@ -178,32 +216,25 @@ def matches(model: Model, some: list[list[bytes]]) -> list[list[tuple[int, float
     flat = np.full(halves.sum() * STEP, -1, np.int64)
     for x, at in zip(coded, first.tolist(), strict=True):
         flat[at * STEP : at * STEP + len(x)] = x
-    # weight that each half window shares with each passage through anchors
-    at = np.flatnonzero(flat >= 0)
-    word = flat[at]
-    n = (model.posts_at[1:] - model.posts_at[:-1])[word]
-    at, word, n = at[n > 0], word[n > 0], n[n > 0]
-    post = model.posts[np.repeat(model.posts_at[word] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
-    keys, which = np.unique(np.repeat(at // STEP, n) * len(model.anchored) + post, return_inverse=True)
-    shared = np.bincount(which, weights=np.repeat(model.idf[word] ** 2, n), minlength=len(keys))
-    near = np.unique(keys[shared >= LEAST_ANCHORED * model.anchored[keys % len(model.anchored)]] // len(model.anchored))
-    for half in near.tolist():
-        i = int(np.searchsorted(first, half, side="right")) - 1
+    for (i, begin), gated in candidates(model, coded, flat, first).items():
         ids = coded[i]
-        for begin in {max(0, half - 1 - int(first[i])) * STEP, (half - int(first[i])) * STEP}:
-            own, tf = np.unique(ids[begin : begin + PASSAGE], return_counts=True)
-            own, tf = (own[1:], tf[1:]) if own[0] < 0 else (own, tf)
-            weight = tf * model.idf[own]
-            cosine = model.passages @ (weight.astype(np.float32) @ model.space[own]) / max(1e-9, np.sqrt((weight**2).sum()))
-            for j in np.flatnonzero(cosine >= LEAST_COSINE).tolist():
-                item = int(model.item_of[j])
-                words = model.words[item]
-                region = ids[max(0, begin - len(words)) : begin + PASSAGE + len(words)].tolist()
-                share = common_length(words, region) / len(words)
-                answered = len(set(model.answers[item]) & set(region)) >= max(1, len(model.answers[item]) - 1)
-                if share >= SAME or (share >= ALIKE and answered):
-                    old = out[i].get(item, (0, 0.0, 0.0, False))
-                    out[i][item] = (model.items[item], max(float(cosine[j]), old[1]), max(share, old[2]), answered or old[3])
+        own, tf = np.unique(ids[begin : begin + PASSAGE], return_counts=True)
+        own, tf = (own[1:], tf[1:]) if own[0] < 0 else (own, tf)
+        image = (tf * model.idf[own]).astype(np.float32) @ model.space[own]
+        image /= max(1e-9, float(np.linalg.norm(image)))
+        for item in sorted(gated):
+            words = model.words[item]
+            region = ids[max(0, begin - len(words)) : begin + PASSAGE + len(words)]
+            different, times = model.counted[item]
+            if np.minimum((region[:, None] == different).sum(axis=0), times).sum() / len(words) < ALIKE:
+                continue  # fewer words in common, in any order, than the check wants in order
+            region = region.tolist()
+            share = common_length(words, region) / len(words)
+            answered = len(set(model.answers[item]) & set(region)) >= answers_needed(model.answers[item])
+            if share >= SAME or (share >= ALIKE and answered):
+                old = out[i].get(item, (0, -1.0, 0.0, False))
+                cosine = float((model.passages[model.passages_at[item] : model.passages_at[item + 1]] @ image).max())
+                out[i][item] = (model.items[item], max(cosine, old[1]), max(share, old[2]), answered or old[3])
     return [sorted(x.values()) for x in out]
 
 

@@ -78,19 +78,30 @@ def bucket_of(hashed: np.ndarray, buckets: int) -> np.ndarray:
 def discounts(of_counts: list[int]) -> np.ndarray:
     """d(0..LARGEST) by Good-Turing from the number of events seen 1, 2, .. LARGEST + 1 times; d(0) is unused.
 
-    Where they don't give values between 0 and 1 (few or odd counts), absolute discounting takes their place.
+    The numbers are smoothed first: a line is fitted to their logarithms over those of the counts, each number weighted
+    by itself (the inverse of its logarithm's variance) after gaps are averaged out. Smoothed numbers n_r = r^b give
+    r*/r = (1 + 1/r)^(b + 1). Discounts lie between 0 and 1 for any b under -1; a flatter line is taken as that limit,
+    where r*/r is 1 - e log(1 + 1/r) as e goes to 0. Where only one of the numbers isn't 0 there is no line: absolute
+    discounting takes its place. Without events seen once, nothing is discounted.
     """
-    n = [0, *of_counts]
+    n = np.array(of_counts, float)
     out = np.ones(LARGEST + 1)
-    if all(n[1:]):
-        cut_off = (LARGEST + 1) * n[LARGEST + 1] / n[1]
-        found = [((r + 1) * n[r + 1] / (n[r] * r) - cut_off) / (1 - cut_off) if cut_off < 1 else 0 for r in range(1, LARGEST + 1)]
-        if all(0 < x < 1 for x in found):
-            out[1:] = found
-            return out
-    if n[1]:
-        size = n[1] / (n[1] + 2 * n[2]) if n[2] else 0.5
-        out[1:] = [(r - size) / r for r in range(1, LARGEST + 1)]
+    r = np.arange(1.0, LARGEST + 1)
+    seen = np.flatnonzero(n) + 1.0
+    if not n[0]:
+        return out
+    if len(seen) == 1:
+        out[1:] = (r - 0.5) / r
+        return out
+    before, after = np.append(0, seen[:-1]), np.append(seen[1:], 2 * seen[-1] - seen[-2])
+    x, y, weight = np.log(seen), np.log(n[n > 0] / ((after - before) / 2)), n[n > 0]
+    x, y = x - np.average(x, weights=weight), y - np.average(y, weights=weight)
+    power = (weight * x * y).sum() / (weight * x * x).sum() + 1
+    if power > -1e-6:
+        out[1:] = 1 - np.log1p(1 / r) / np.log(LARGEST + 1)
+    else:
+        cut_off = (LARGEST + 1) ** power
+        out[1:] = ((1 + 1 / r) ** power - cut_off) / (1 - cut_off)
     return out
 
 

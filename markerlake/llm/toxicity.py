@@ -142,22 +142,25 @@ class Reader:
         return out
 
 
-def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.01) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Mean, scale and weights of a logistic curve, by Newton's method with a small ridge."""
-    mean, scale = x.mean(axis=0), np.maximum(x.std(axis=0), 1e-6)
+def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 0.01) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Mean, scale and weights of a logistic curve over weighted rows, by Newton's method with a small ridge."""
+    weight = weight * (len(x) / weight.sum())
+    mean = np.average(x, axis=0, weights=weight)
+    scale = np.maximum(np.sqrt(np.average((x - mean) ** 2, axis=0, weights=weight)), 1e-6)
     a = np.concatenate([np.ones((len(x), 1)), (x - mean) / scale], axis=1)
     w = np.zeros(a.shape[1])
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
-        h = (a.T * np.maximum(p * (1 - p), 1e-9)) @ a + ridge * len(x) / 100 * np.eye(len(w))
-        w = w + np.clip(np.linalg.solve(h, a.T @ (y - p) - ridge * len(x) / 100 * w), -5, 5)
+        h = (a.T * (weight * np.maximum(p * (1 - p), 1e-9))) @ a + ridge * len(x) / 100 * np.eye(len(w))
+        w = w + np.clip(np.linalg.solve(h, a.T @ (weight * (y - p)) - ridge * len(x) / 100 * w), -5, 5)
     return mean, scale, w
 
 
 def train(documents: DataFrame, labels: DataFrame, modulus: int = 4, held: int = 2, toxic_rows: int = TOXIC_ROWS, ordinary_rows: int = ORDINARY_ROWS) -> Models:
     """Models from labelled rows whose crc32(doc_id as text) mod `modulus` isn't `held`.
 
-    The models learn from two of three such rows and the curve from the third. Rows without a label, id or text are
+    The models learn from two of three such rows and the curve from the third, in which each class has the weight that
+    it has among all such labels: however small a share of a class is sampled, a score means the same. Rows without a label, id or text are
     passed over; of several labels of a document, toxic holds. Without both classes every text gets a low score.
     """
     marked = labels.where("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg((F.max("toxic") > 0).cast("int").alias("toxic"))
@@ -193,7 +196,7 @@ def train(documents: DataFrame, labels: DataFrame, modulus: int = 4, held: int =
     if 0 < y.sum() < len(y):
         x = np.array(curve.column("features").to_pylist())
         order = np.lexsort((*x.T, y))  # sums must not depend on the order in which rows arrive
-        models.mean, models.scale, models.weights = logistic(x[order], y[order])
+        models.mean, models.scale, models.weights = logistic(x[order], y[order], np.where(y[order] > 0, 1 / share[1], 1 / share[0]))
     return models
 
 

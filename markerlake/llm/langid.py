@@ -28,7 +28,10 @@ EFFECTIVE = 60  # trigrams as which a longer text counts: neighbours aren't inde
 SMOOTH = 20.0  # pages as which the prior of all pages counts against a host's own
 
 HIDDEN = re.compile(r"<!--.*?-->|<(script|style|template|noscript)\b.*?</\1\s*>|<[^>]*>", re.S | re.I)
-DECLARED = re.compile(r"<html\b[^>]*?\blang\s*=\s*[\"']?\s*([A-Za-z]{2,3})", re.I)
+#: What holds no tags of the page: comments (also "<!-->" and those that never end) and raw text.
+UNTAGGED = re.compile(r"<!--(?:-?>|.*?(?:--!?>|\Z))|<(script|style|template|noscript)\b.*?(?:</\1\s*>|\Z)", re.S | re.I)
+ROOT = re.compile(r"<html\b[^>]*", re.I)
+DECLARED = re.compile(r"\blang\s*=\s*[\"']?\s*([A-Za-z]{2,3})", re.I)
 SPACE = re.compile(r"[\W\d_]+")
 
 
@@ -37,9 +40,11 @@ def visible(page: str) -> str:
 
 
 def declared(page: str) -> str | None:
-    """Main language subtag of the html element."""
-    found = DECLARED.search(page, 0, 4096)
-    return found[1].lower() if found else None
+    """Main language subtag of the html element, wherever in the page it stands."""
+    for tag in ROOT.finditer(UNTAGGED.sub(" ", page)):
+        if found := DECLARED.search(tag[0]):
+            return found[1].lower()
+    return None
 
 
 def address(url: str | None) -> tuple[str | None, str | None]:

@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import gc
 import os
-import tempfile
-import time
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 import pyarrow as pa
@@ -31,13 +29,13 @@ def small_batches(spark: SparkSession) -> None:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a new one where that is unset (tests)."""
+    """The folder that driver and executors share, as spark.checkpoint.dir or the context's checkpoint folder names it."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         kept = spark.sparkContext._jsc.sc().getCheckpointDir()
-        found = kept.get() if kept.isDefined() else tempfile.mkdtemp(prefix="markerlake-")
         if not kept.isDefined():
-            spark.sparkContext.setCheckpointDir(found)
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        found = kept.get()
     return found.rstrip("/")
 
 
@@ -46,16 +44,39 @@ def new_folder(spark: SparkSession, name: str) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """The same rows with their lineage cut, in the shared folder; Spark removes them once nothing refers to them."""
+    """The same rows with their lineage cut, in the shared folder."""
     shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files behind what has been cut: it does so when the driver's JVM collects garbage."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-    time.sleep(0.5)
+@contextmanager
+def clean_shuffles(spark: SparkSession) -> Iterator[None]:
+    """Within it, Spark deletes the shuffle files of a query when the query has ended."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
+def stored(df: DataFrame, name: str, rows_a_file: int = 0) -> tuple[DataFrame, str]:
+    """The rows written as Parquet in the shared folder and read again, and where they are; their shuffles are gone.
+
+    What is written here is packed already, so it isn't compressed again.
+    """
+    spark = df.sparkSession
+    folder = new_folder(spark, name)
+    with clean_shuffles(spark):
+        df.write.option("compression", "none").option("maxRecordsPerFile", rows_a_file).parquet(folder)
+    return spark.read.schema(df.schema).parquet(folder), folder
+
+
+def remove(spark: SparkSession, folder: str) -> None:
+    """Delete a folder that an operator wrote in the shared folder, once all that was read from it is written elsewhere."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def partitions(spark: SparkSession) -> int:

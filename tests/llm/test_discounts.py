@@ -7,26 +7,18 @@ import pytest
 from pyspark.sql import functions as F
 
 from markerlake.llm.katz import LARGEST, discounts
-from test_models import tokens
-
-
-def good_turing(n):
-    """Katz's discounts from counts of counts smoothed by a weighted line, by numpy's fit."""
-    r = np.arange(1, LARGEST + 2)
-    slope, level = np.polyfit(np.log(r), np.log(n), 1, w=np.sqrt(n))
-    s = np.exp(level + slope * np.log(np.arange(1, LARGEST + 3)))
-    cut = (LARGEST + 1) * s[LARGEST] / s[0]
-    return [((i + 1) * s[i] / (i * s[i - 1]) - cut) / (1 - cut) for i in range(1, LARGEST + 1)]
+from test_models import good_turing, tokens
 
 
 def counts_of_counts(folder, spark):
     docs = spark.read.parquet(f"{folder}/documents.parquet").where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 != 2)
-    one, two = Counter(), Counter()
+    one, two, three = Counter(), Counter(), Counter()
     for r in docs.select("text").collect():
         seq = tokens(r["text"])
         one.update(seq)
         two.update(zip(["\n\n", *seq], seq))
-    return [[sum(v == r for v in c.values()) for r in range(1, LARGEST + 2)] for c in (one, two)]
+        three.update(zip(["\n\n", "\n\n", *seq], ["\n\n", *seq], seq))
+    return [[sum(v == r for v in c.values()) for r in range(1, LARGEST + 2)] for c in (one, two, three)]
 
 
 def test_good_turing_holds_on_the_tables(spark, small, middle):

@@ -12,8 +12,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows in one Arrow batch: documents may hold 100,000 characters and more.
-BATCH_ROWS = 512
+#: Rows and bytes in one Arrow batch: documents may hold 100,000 characters and more.
+BATCH_ROWS, BATCH_BYTES = 512, 64 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,9 +23,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def small_batches(spark: SparkSession) -> None:
     """Keep Arrow batches small enough for long texts. Only lowers the session's setting."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(key)) > BATCH_ROWS or int(spark.conf.get(key)) <= 0:
-        spark.conf.set(key, str(BATCH_ROWS))
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        before = int(spark.conf.get(key).rstrip("b"))
+        if before > most or before <= 0:
+            spark.conf.set(key, str(most))
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -79,6 +80,29 @@ def remove(spark: SparkSession, folder: str) -> None:
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+class Scratch:
+    """Tables between the steps of an operator, as Parquet in the shared folder; cleared when its result is written."""
+
+    def __init__(self, spark: SparkSession, name: str) -> None:
+        self.spark, self.name, self.folders = spark, name, []
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        """The same rows with their lineage cut and their shuffle files gone."""
+        folder = new_folder(self.spark, self.name)
+        with clean_shuffles(self.spark):
+            df.write.option("compression", "zstd").parquet(folder)
+        self.folders.append(folder)
+        return self.spark.read.schema(df.schema).parquet(folder)
+
+    def result(self, df: DataFrame) -> DataFrame:
+        """The rows in a folder that stays; all others go."""
+        kept = self.keep(df)
+        for folder in self.folders[:-1]:
+            remove(self.spark, folder)
+        self.folders = []
+        return kept
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -7,7 +7,7 @@ bit counts estimate the similarity of two texts that share a band. What passes i
 Within a band's bucket a member is first held against the smallest member only. A bucket whose members then lie in more
 than one component has all its pairs across components estimated: as a join where it is small, else between blocks of
 BLOCK members, so that no task takes a whole bucket. With 32 bands of 4 minima, a link at similarity 0.75 shares no band
-in 5 of a million cases, and at 0.8 in 5 of a hundred million.
+in 5 of a million cases, and at 0.8 in 5 of a hundred million; an exact way, by shared rare shingles, has no such cases.
 """
 
 from __future__ import annotations
@@ -17,10 +17,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from markerlake.llm.common import arrow_map, cut, texts, words_of
+from markerlake.llm.common import Scratch, arrow_map, texts, words_of
 from markerlake.llm.graph import components
 from markerlake.llm.pieces import Parts
 
@@ -29,7 +29,9 @@ BANDS, ROWS, BITS = 32, 4, 4
 HASHES = BANDS * ROWS
 PERCENT = 75  # least share of the union, in hundredths
 LEAST_ESTIMATE = 0.55  # more than 4 standard errors below 0.75
-SMALL, BLOCK = 24, 1024  # members of a bucket that is paired by a join; of a block otherwise
+SMALL, BLOCK = 24, 4096  # members of a bucket that is paired by a join; of a block otherwise
+SENT_IDS = 2_000_000  # ids, of 8 bytes, that are sent to every task at most
+MOST_PIVOTS = 50_000  # rows of the list of pivots that have too many partners for one task
 
 _numbers = np.random.Generator(np.random.PCG64(7))
 #: 64-bit multipliers (odd) and offsets of the hash functions, two 32-bit minima to each.
@@ -140,23 +142,43 @@ def estimate(a: str, b: str) -> Column:
 
 
 def full_sets(documents: DataFrame, wanted: DataFrame) -> DataFrame:
-    """doc_id and set (binary, sorted 64-bit hashes) of the documents whose doc_id is wanted, each once."""
+    """doc_id and set (binary, sorted 64-bit hashes) of the documents whose doc_id is wanted; equal ones once.
+
+    Texts are filtered where they are read while the wanted ids are few enough to be sent to every task; beyond that, ids
+    and texts meet by a shuffle.
+    """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler()
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([x.tobytes() for x in shingler.sets(texts(batch))], pa.binary())], ["doc_id", "set"])
 
-    rows = documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(wanted, "doc_id", "left_semi")
-    return cut(arrow_map(rows, work, "doc_id long, set binary").dropDuplicates(["doc_id"]))
+    few = wanted.count() <= SENT_IDS
+    rows = documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(F.broadcast(wanted) if few else wanted, "doc_id", "left_semi")
+    return arrow_map(rows, work, "doc_id long, set binary").where(F.length("set") > 0).dropDuplicates(["doc_id", "set"])
 
 
 def linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    if 100 * min(len(x), len(y)) < percent * max(len(x), len(y)):
+        return False
     both = len(np.intersect1d(x, y, assume_unique=True))
     return 100 * both >= percent * (len(x) + len(y) - both)
 
 
-def confirmed(pairs: DataFrame, documents: DataFrame, percent: int = PERCENT) -> DataFrame:
+def with_pivots(pairs: DataFrame, right: DataFrame) -> DataFrame:
+    """Pairs (a, ..) joined by `a` with rows (a, ..), of which a has few.
+
+    Where more than `line` pairs have one a, they are dealt over several tasks, and that a's row goes to each of them. The
+    list of such a is broadcast: it has at most MOST_PIVOTS rows.
+    """
+    line = max(1024, pairs.count() // MOST_PIVOTS)
+    many = F.broadcast(pairs.groupBy("a").agg(F.ceil(F.count("*") / line).cast("int").alias("ways")).where("ways > 1"))
+    left = pairs.join(many, "a", "left").withColumn("way", F.pmod(F.xxhash64("b"), F.coalesce("ways", F.lit(1)))).drop("ways")
+    dealt = right.join(many, "a", "left").withColumn("way", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("ways", F.lit(1)).cast("long") - 1))).drop("ways")
+    return left.join(dealt, ["a", "way"]).drop("way")
+
+
+def confirmed(pairs: DataFrame, documents: DataFrame, scratch: Scratch, percent: int = PERCENT) -> DataFrame:
     """Those of the pairs (a, b) whose full sets hold 100 * intersection >= percent * union."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -164,24 +186,32 @@ def confirmed(pairs: DataFrame, documents: DataFrame, percent: int = PERCENT) ->
             x, y = ([np.frombuffer(x, np.uint64) for x in batch.column(c).to_pylist()] for c in ("x", "y"))
             yield batch.select(["a", "b"]).filter(pa.array([linked(*p, percent) for p in zip(x, y, strict=True)], pa.bool_()))
 
-    kept = full_sets(documents, pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct())
-    x, y = (kept.select(F.col("doc_id").alias(end), F.col("set").alias(name)) for end, name in (("a", "x"), ("b", "y")))
-    return arrow_map(pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y"), work, "a long, b long")
+    wanted = scratch.keep(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct())
+    sets = scratch.keep(full_sets(documents, wanted))
+    right = pairs.join(sets.select(F.col("doc_id").alias("b"), F.col("set").alias("y")), "b")
+    both = with_pivots(right, sets.select(F.col("doc_id").alias("a"), F.col("set").alias("x")))
+    return scratch.keep(arrow_map(both.select("a", "b", "x", "y"), work, "a long, b long"))
+
 
+def likely(pairs: DataFrame, bits: DataFrame, least: float) -> DataFrame:
+    """Those of the pairs (a, b) of which the packed low bits say so."""
+    right = pairs.join(bits.select(F.col("doc_id").alias("b"), F.col("planes").alias("q")), "b")
+    return with_pivots(right, bits.select(F.col("doc_id").alias("a"), F.col("planes").alias("p"))).where(estimate("p", "q") >= least).select("a", "b").distinct()
 
-def across_small(rows: DataFrame) -> DataFrame:
+
+def across_small(rows: DataFrame, least: float) -> DataFrame:
     """Pairs (a, b) of rows (key, doc_id, component, planes) that share a key, differ in component and are likely."""
     other = rows.select("key", F.col("doc_id").alias("b"), F.col("component").alias("other"), F.col("planes").alias("q"))
-    near = rows.join(other, "key").where("doc_id < b and component <> other").where(estimate("planes", "q") >= LEAST_ESTIMATE)
+    near = rows.join(other, "key").where("doc_id < b and component <> other").where(estimate("planes", "q") >= least)
     return near.select(F.col("doc_id").alias("a"), "b").distinct()
 
 
-def across_large(rows: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
+def across_large(rows: DataFrame, sets: DataFrame, least: float, percent: int = PERCENT) -> DataFrame:
     """Confirmed links (a, b) across components among rows (key, n, doc_id, component, planes, bands) that share a key.
 
-    A bucket is dealt out as pairs of blocks. Within a pair of blocks the likeliest partners come first, and what a
-    confirmed link has joined isn't held against each other again; only links leave. Two texts that share several
-    buckets meet in the first of them only.
+    A bucket is dealt out as pairs of blocks of BLOCK members. Within a pair of blocks the likeliest partners come first,
+    and what a confirmed link has joined isn't held against each other again; only links leave. Two texts that share
+    several buckets meet in the first of them only.
     """
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     dealt = rows.withColumn("own", F.pmod(F.xxhash64("doc_id"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
@@ -194,7 +224,7 @@ def across_large(rows: DataFrame, sets: DataFrame, percent: int = PERCENT) -> Da
         bands = np.array(table.column("bands").to_pylist(), np.int64)
         held = [np.frombuffer(x, np.uint64) for x in table.column("set").to_pylist()]
         i, j, key = (table.column(c)[0].as_py() for c in ("i", "j", "key"))
-        band = int(np.flatnonzero(bands[0] == key)[0])
+        band = int(np.flatnonzero(bands[0] == key)[0]) if bands.shape[1] else 0
         left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
         chance, found = 2.0**-BITS, []
         for x in left:
@@ -205,7 +235,7 @@ def across_large(rows: DataFrame, sets: DataFrame, percent: int = PERCENT) -> Da
             differ = np.bitwise_count(np.bitwise_or.reduce(bits[some] ^ bits[x], axis=1)).sum(axis=1)
             alike = ((1 - differ / HASHES) - chance) / (1 - chance)
             order = np.argsort(-alike, kind="stable")
-            for y in some[order[alike[order] >= LEAST_ESTIMATE]]:
+            for y in some[order[alike[order] >= least]]:
                 if part[x] != part[y] and linked(held[x], held[y], percent):
                     found.append(sorted((int(ids[x]), int(ids[y]))))
                     part[part == part[y]] = part[x]
@@ -214,52 +244,69 @@ def across_large(rows: DataFrame, sets: DataFrame, percent: int = PERCENT) -> Da
     return dealt.groupBy("key", "i", "j").applyInArrow(work, "a long, b long")
 
 
-def near_duplicates(documents: DataFrame) -> DataFrame:
+def rarest(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """key, doc_id: so many of each set's rarest members that two sets which are alike enough always share one."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, raw in zip(batch.column("doc_id").to_pylist(), batch.column("set").to_pylist(), strict=True):
+                own = np.frombuffer(raw, np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array([name] * len(own), pa.int64()), pa.array(own), pa.array([len(own)] * len(own), pa.int64())], ["doc_id", "key", "size"])
+
+    each = arrow_map(sets, work, "doc_id long, key long, size long")
+    often = each.groupBy("key").agg(F.count("*").alias("often")).where("often > 1")  # what one set alone holds joins nothing
+    place = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.coalesce("often", F.lit(1)), "key"))
+    return each.join(often, "key", "left").withColumn("place", place).where(F.col("place") <= F.col("size") - F.ceil(F.col("size") * percent / 100) + 1).select("key", "doc_id").distinct()
+
+
+def near_duplicates(documents: DataFrame, exact: bool = False) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reachable over links), kept (doc_id = component_id).
 
     One row for each row. Null, empty and blank texts have empty sets and are linked with nothing; rows with a null
-    doc_id are linked with nothing, have a null component_id and are kept. Rows that repeat a doc_id are one document.
+    doc_id are linked with nothing, have a null component_id and are kept. Rows that repeat a doc_id are one document,
+    linked with what any of its texts is linked with. exact: propose pairs by shared rare shingles in place of bands, and
+    estimate nothing, so that no link at all can be missed, at several times the shuffle.
     """
-    base = cut(signed(documents))
-    texts_ = base.where(F.col("doc_id").isNotNull() & F.col("copy").isNotNull())
-    groups = texts_.groupBy("copy").agg(F.min("doc_id").alias("first"), F.count("*").alias("n"))
-    copies = cut(groups.where("n > 1").select("copy", "first"))
-    own = cut(groups.select(F.col("first").alias("doc_id"), "copy"))
-
-    unlike = texts_.join(own.select("doc_id", "copy"), ["doc_id", "copy"], "left_semi")
-    rows = cut(unlike.select("doc_id", "planes", F.explode("bands").alias("key")).select("key", "doc_id"))
-    buckets = cut(rows.groupBy("key").agg(F.min("doc_id").alias("pivot"), F.count("*").alias("n")).where("n > 1"))
-    members = cut(rows.join(buckets, "key").select("key", "doc_id", "pivot", "n"))
-    bits = unlike.select("doc_id", "planes", "bands").dropDuplicates(["doc_id"])
-
-    stars = members.where("pivot < doc_id").select(F.col("pivot").alias("a"), F.col("doc_id").alias("b")).distinct()
-    p, q = bits.select(F.col("doc_id").alias("a"), F.col("planes").alias("p")), bits.select(F.col("doc_id").alias("b"), F.col("planes").alias("q"))
-    likely = cut(stars.join(p, "a").join(q, "b").where(estimate("p", "q") >= LEAST_ESTIMATE).select("a", "b"))
-    links = cut(confirmed(likely, documents))
-    first = components(links)
+    scratch = Scratch(documents.sparkSession, "neardup")
+    base = scratch.keep(signed(documents))
+    held = base.where(F.col("doc_id").isNotNull() & F.col("copy").isNotNull())
+    own = scratch.keep(held.groupBy("copy").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n"), F.first("planes").alias("planes"), F.first("bands").alias("bands")))
+    copies = own.where("n > 1").select("copy", F.col("doc_id").alias("first"))
+    bits = own.select("doc_id", "planes", "bands")
+    least = LEAST_ESTIMATE
+    rows = own.select(F.explode("bands").alias("key"), "doc_id").distinct()
+    if exact:
+        rows = scratch.keep(rarest(full_sets(documents, own.select("doc_id").distinct())))
+        bits, least = bits.withColumn("bands", F.array().cast("array<long>")), -1.0
+    several = held.groupBy("doc_id").agg(F.min("copy").alias("x"), F.max("copy").alias("y")).where("x <> y").select("doc_id")
+    same = held.join(several, "doc_id", "left_semi").join(copies, "copy").select(F.col("first").alias("a"), F.col("doc_id").alias("b"))
+
+    buckets = scratch.keep(rows.groupBy("key").agg(F.min("doc_id").alias("pivot"), F.count("*").alias("n")).where("n > 1"))
+    members = scratch.keep(rows.join(buckets, "key").select("key", "doc_id", "pivot", "n"))
+    stars = scratch.keep(members.where("pivot < doc_id").select(F.col("pivot").alias("a"), F.col("doc_id").alias("b")).distinct())
+    links = confirmed(scratch.keep(likely(stars, bits, least)), documents, scratch).union(same)
+    first = components(links, scratch)
 
     placed = members.join(first.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-    placed = cut(placed.select("key", "doc_id", "n", "component"))
-    open_ = cut(placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key"))
-    rest = placed.join(open_, "key", "left_semi")
-    rest = cut(rest.join(bits, "doc_id"))
+    placed = scratch.keep(placed.select("key", "doc_id", "n", "component"))
+    open_ = scratch.keep(placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key"))
+    rest = scratch.keep(placed.join(open_, "key", "left_semi").join(bits, "doc_id"))
     small, large = rest.where(F.col("n") <= SMALL), rest.where(F.col("n") > SMALL)
-    more = cut(across_small(small))
-    more = cut(confirmed(more, documents)) if not more.isEmpty() else more
+    more = scratch.keep(across_small(small, least))
+    more = confirmed(more, documents, scratch) if not more.isEmpty() else more
     if not large.isEmpty():
-        more = more.union(across_large(large, full_sets(documents, large.select("doc_id").distinct())))
-    more = cut(more)
+        more = more.union(scratch.keep(across_large(large, full_sets(documents, large.select("doc_id").distinct()), least)))
     if not more.isEmpty():
-        first = components(links.union(more))
+        first = components(links.union(more), scratch)
 
     found = base.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("copy")).alias("copy")).join(copies, "copy", "left").withColumn("first", F.coalesce("first", "doc_id"))
     found = found.select("doc_id", "n_shingles", "first").join(first.withColumnRenamed("node", "first"), "first", "left")
     found = found.withColumn("component_id", F.coalesce("component", "first"))
-    return found.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
+    return scratch.result(found.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept")))
 
 
 def without_copies(documents: DataFrame) -> DataFrame:
     """The rows, with all their columns, of the first document of each group and of all that are in no group."""
-    found = near_duplicates(documents)
-    gone = cut(found.where("not kept").select("doc_id").distinct())
-    return documents.join(gone, documents["doc_id"].cast("long") == gone["doc_id"], "left_anti")
+    gone = near_duplicates(documents).where("not kept").select("doc_id").distinct()
+    few = gone.count() <= SENT_IDS
+    return documents.join(F.broadcast(gone) if few else gone, documents["doc_id"].cast("long") == gone["doc_id"], "left_anti")

@@ -6,6 +6,7 @@ from collections import Counter
 import pytest
 
 from markerlake.llm import neardup
+from markerlake.llm.common import Scratch
 from markerlake.llm.graph import components
 
 
@@ -42,10 +43,19 @@ def test_on_the_table(spark, middle):
     docs = spark.read.parquet(f"{middle}/documents.parquet")
     got = sorted(map(tuple, neardup.near_duplicates(docs).collect()))
     assert got == brute([(r["doc_id"], r["text"]) for r in docs.collect()])
+    assert sorted(map(tuple, neardup.near_duplicates(docs, exact=True).collect())) == got
 
 
-@pytest.mark.parametrize("small", [2, 24])
-def test_large_groups_at_the_line(spark, prose, small, monkeypatch):
+def test_a_repeated_id_joins_what_its_texts_are_like(spark, prose):
+    a, b, c = prose(40, 11), prose(40, 12), prose(40, 13)
+    rows = [(9, a), (9, b), (9, b), (6, a), (7, b), (5, b + " more"), (1, c), (1, prose(40, 14)), (2, c)]
+    for exact in (False, True):
+        got = {(r["doc_id"], r["component_id"]) for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), exact).collect()}
+        assert got == {(9, 5), (6, 5), (7, 5), (5, 5), (1, 1), (2, 1)}
+
+
+@pytest.mark.parametrize(("small", "exact"), [(2, False), (24, False), (2, True)])
+def test_large_groups_at_the_line(spark, prose, small, exact, monkeypatch):
     """Chains of texts each near the next, a group of copies, texts just over and under the least similarity."""
     monkeypatch.setattr(neardup, "SMALL", small)
     monkeypatch.setattr(neardup, "BLOCK", 8)
@@ -60,7 +70,7 @@ def test_large_groups_at_the_line(spark, prose, small, monkeypatch):
     rows += [(at + i, " ".join(base)) for i in range(40)]
     rows += [(at + 50 + i, " ".join([*base[:60], f"tail{i}", *base[60:]])) for i in range(40)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    assert sorted(map(tuple, neardup.near_duplicates(df).collect())) == brute(rows)
+    assert sorted(map(tuple, neardup.near_duplicates(df, exact).collect())) == brute(rows)
 
 
 def test_odd_rows(spark, odd, empty):
@@ -79,6 +89,6 @@ def test_odd_rows(spark, odd, empty):
 def test_components(spark):
     links = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 30)] + [(7, 7), (201, 200)]
     df = spark.createDataFrame(links, "a long, b long")
-    got = {r["node"]: r["component"] for r in components(df).collect()}
+    got = {r["node"]: r["component"] for r in components(df, Scratch(spark, "t")).collect()}
     assert got == {**dict.fromkeys(range(41), 0), **dict.fromkeys(range(100, 130), 100), 200: 200, 201: 200}
-    assert components(df.where("a < 0")).count() == 0
+    assert components(df.where("a < 0"), Scratch(spark, "t")).count() == 0

@@ -35,8 +35,8 @@ from pyspark.sql import functions as F
 
 from markerlake.llm.common import arrow_map, clean_shuffles, importable, partitions, remove, stored, words_of
 
-BLOCK_TOKENS = 1 << 21
-PART_TOKENS = 1 << 21  # tokens to a part of the table
+BLOCK_TOKENS = 1 << 20
+PART_TOKENS = 1 << 20  # tokens to a part of the table
 LARGEST = 5  # counts above it are not discounted
 END_WORD = b"\n"  # no word holds it
 UNKNOWN, START, FIRST = 0, 1, 2  # numbers of the unknown word and the start; words begin at the third

@@ -1,10 +1,14 @@
 """Benchmark decontamination by latent semantic retrieval (operator 3).
 
 Benchmark items are cut into passages, weighted by TF-IDF (document frequencies over all documents), and a randomised
-singular value decomposition, its products summed over partitions, gives a latent space. Regions of documents that hold
-so many of an item's rarest words that they can pass the next check are its candidates: none that passes is missed,
+singular value decomposition, its products summed over the partitions of the passages, gives a latent space. Windows of
+documents are projected into it and searched for the passages whose cosine reaches LEAST_COSINE: their items are the
+window's candidates. Both sides are divided by their length in the latent space, so that an exact copy has cosine 1
 however many items there are. The longest common subsequence of words with the item decides, and for paraphrases also
-whether the item's answer is there; the cosine of window and passage, both projected, is the score of what is found.
+whether the item's answer is there.
+
+Only windows around which a text holds so many of some item's rarest words that it can pass that check are projected: no
+other window could lead to a row, so this loses nothing.
 """
 
 from __future__ import annotations
@@ -25,9 +29,10 @@ PASSAGE, STEP = 40, 20  # words in a window, and between windows; of documents a
 RANK, OVERSAMPLE = 128, 16
 SAME = 0.8  # share of an item's words, in order, from which a document holds it
 ALIKE = 0.6  # from which it holds it if the answer is there too
+LEAST_COSINE = 0.25  # of a window and a passage; tests measure what it loses against all windows and items
 HITS = 3  # different words of an item's rarest, at most, that a region must hold to be a candidate
 ANSWER_WORDS = 3  # an item's rarest words stand for its answer; all but one must be there
-ITEMS_AT_ONCE = 2_000  # items whose model is broadcast together: bounds it to some MB
+ITEMS_AT_ONCE, WORDS_AT_ONCE = 2_000, 200_000  # items, and words in them, whose model is broadcast together: some MB
 PUNCTUATION = bytes(range(33, 48)) + bytes(range(58, 65)) + bytes(range(91, 97)) + bytes(range(123, 127))
 
 
@@ -57,7 +62,7 @@ class Model:
     idf: np.ndarray
     space: np.ndarray  # a row for each word
     passages: np.ndarray  # unit rows in the latent space
-    passages_at: np.ndarray  # where each item's begin
+    passage_items: np.ndarray  # the item of each passage
     items: list[int]
     words: list[list[int]]  # of each item
     counted: list[tuple[np.ndarray, np.ndarray]]  # each item's different words and how often each is there
@@ -129,7 +134,20 @@ def latent(rows: DataFrame, idf: np.ndarray) -> np.ndarray:
     return basis @ vectors[:, order[values[order] > 1e-9]]
 
 
-def fit(documents: DataFrame, items: list[tuple[int, list[bytes]]]) -> Model:
+def passages_of(block: DataFrame, vocabulary: dict[bytes, int]) -> DataFrame:
+    """The passages of items (text) as arrays of word numbers."""
+    kept = block.sparkSession.sparkContext.broadcast(vocabulary)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cut = [p for x in texts(batch) if (words := plain_words(x)) for p in pieces([kept.value[w] for w in words])]
+            yield pa.RecordBatch.from_arrays([pa.array(cut, pa.list_(pa.int64()))], ["words"])
+
+    return arrow_map(block.select("text"), work, "words array<long>")
+
+
+def fit(documents: DataFrame, block: DataFrame, items: list[tuple[int, list[bytes]]]) -> Model:
+    """The model of a block of items: the block's rows, and the same items as the driver has them."""
     vocabulary: dict[bytes, int] = {}
     for _, words in items:
         for w in words:
@@ -138,13 +156,8 @@ def fit(documents: DataFrame, items: list[tuple[int, list[bytes]]]) -> Model:
     idf = np.log((total + 1) / (df + 1)) + 0.01
     coded = [[vocabulary[w] for w in words] for _, words in items]
     cut = [(i, p) for i, words in enumerate(coded) for p in pieces(words)]
-    spark = documents.sparkSession
-    space = latent(spark.createDataFrame([(p,) for _, p in cut], "words array<long>").coalesce(4), idf)  # a few parts hold all passages of a block of items
-    vectors = np.zeros((len(cut), space.shape[1]))
-    for i, (_, p) in enumerate(cut):
-        at, tf = np.unique(p, return_counts=True)
-        vectors[i] = (tf * idf[at]) @ space[at]
-    vectors /= np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-12)
+    space = latent(passages_of(block, vocabulary), idf)
+    vectors = unit(np.stack([image_of(*np.unique(p, return_counts=True), idf, space) for _, p in cut]))
     answers = [sorted(set(words), key=lambda w: (-idf[w], w))[:ANSWER_WORDS] for words in coded]
     gates, hits = [], []
     for i, words in enumerate(coded):
@@ -153,8 +166,15 @@ def fit(documents: DataFrame, items: list[tuple[int, list[bytes]]]) -> Model:
         hits += [answers_needed(answers[i]), least]
     gates.sort()
     gates_at = np.searchsorted([w for w, _ in gates], np.arange(len(idf) + 1))
-    passages_at = np.searchsorted([i for i, _ in cut], np.arange(len(items) + 1))
-    return Model(vocabulary, idf, space.astype(np.float32), vectors.astype(np.float32), passages_at, [i for i, _ in items], coded, [np.unique(words, return_counts=True) for words in coded], answers, np.array([g for _, g in gates], np.int64), gates_at, np.array(hits, np.int64))
+    return Model(vocabulary, idf, space.astype(np.float32), vectors.astype(np.float32), np.array([i for i, _ in cut]), [i for i, _ in items], coded, [np.unique(words, return_counts=True) for words in coded], answers, np.array([g for _, g in gates], np.int64), gates_at, np.array(hits, np.int64))
+
+
+def image_of(words: np.ndarray, tf: np.ndarray, idf: np.ndarray, space: np.ndarray) -> np.ndarray:
+    return (tf * idf[words]) @ space[words]
+
+
+def unit(rows: np.ndarray) -> np.ndarray:
+    return rows / np.maximum(np.linalg.norm(rows, axis=1, keepdims=True), 1e-12)
 
 
 def answers_needed(answer: list[int]) -> int:
@@ -178,8 +198,8 @@ def prefix(words: list[int], idf: np.ndarray) -> tuple[list[int], int]:
     raise AssertionError("a text without any of an item's words shares none with it")
 
 
-def candidates(model: Model, coded: list[np.ndarray], flat: np.ndarray, first: np.ndarray) -> dict[tuple[int, int], set[int]]:
-    """Items whose gates pass in the region around a window, by text and the window's begin."""
+def gated(model: Model, coded: list[np.ndarray], flat: np.ndarray, first: np.ndarray) -> dict[tuple[int, int], set[int]]:
+    """Items that the region around a window can hold, going by their rarest words; by text and the window's begin."""
     at = np.flatnonzero(flat >= 0)
     word = flat[at]
     n = (model.gates_at[1:] - model.gates_at[:-1])[word]
@@ -216,34 +236,49 @@ def matches(model: Model, some: list[list[bytes]]) -> list[list[tuple[int, float
     flat = np.full(halves.sum() * STEP, -1, np.int64)
     for x, at in zip(coded, first.tolist(), strict=True):
         flat[at * STEP : at * STEP + len(x)] = x
-    for (i, begin), gated in candidates(model, coded, flat, first).items():
-        ids = coded[i]
-        own, tf = np.unique(ids[begin : begin + PASSAGE], return_counts=True)
-        own, tf = (own[1:], tf[1:]) if own[0] < 0 else (own, tf)
-        image = (tf * model.idf[own]).astype(np.float32) @ model.space[own]
-        image /= max(1e-9, float(np.linalg.norm(image)))
-        for item in sorted(gated):
-            words = model.words[item]
-            region = ids[max(0, begin - len(words)) : begin + PASSAGE + len(words)]
-            different, times = model.counted[item]
-            if np.minimum((region[:, None] == different).sum(axis=0), times).sum() / len(words) < ALIKE:
-                continue  # fewer words in common, in any order, than the check wants in order
-            region = region.tolist()
-            share = common_length(words, region) / len(words)
-            answered = len(set(model.answers[item]) & set(region)) >= answers_needed(model.answers[item])
-            if share >= SAME or (share >= ALIKE and answered):
-                old = out[i].get(item, (0, -1.0, 0.0, False))
-                cosine = float((model.passages[model.passages_at[item] : model.passages_at[item + 1]] @ image).max())
-                out[i][item] = (model.items[item], max(cosine, old[1]), max(share, old[2]), answered or old[3])
+    for (i, begin), item, cosine in retrieved(model, coded, gated(model, coded, flat, first)):
+        words = model.words[item]
+        region = coded[i][max(0, begin - len(words)) : begin + PASSAGE + len(words)]
+        different, times = model.counted[item]
+        if np.minimum((region[:, None] == different).sum(axis=0), times).sum() / len(words) < ALIKE:
+            continue  # fewer words in common, in any order, than the check wants in order
+        region = region.tolist()
+        share = common_length(words, region) / len(words)
+        answered = len(set(model.answers[item]) & set(region)) >= answers_needed(model.answers[item])
+        if share >= SAME or (share >= ALIKE and answered):
+            name = model.items[item]
+            old = out[i].get(name, (name, -1.0, 0.0, False))
+            out[i][name] = (name, max(cosine, old[1]), max(share, old[2]), answered or old[3])
     return [sorted(x.values()) for x in out]
 
 
+def retrieved(model: Model, coded: list[np.ndarray], windows: dict[tuple[int, int], set[int]]) -> Iterator[tuple[tuple[int, int], int, float]]:
+    """Latent search: windows with the items of passages near them, and the cosine; items that a window can't hold go."""
+    keys = list(windows)
+    for lo in range(0, len(keys), 1024):
+        some = keys[lo : lo + 1024]
+        images = np.zeros((len(some), model.passages.shape[1]), np.float32)
+        for row, (i, begin) in enumerate(some):
+            own, tf = np.unique(coded[i][begin : begin + PASSAGE], return_counts=True)
+            known = own >= 0
+            images[row] = image_of(own[known], tf[known], model.idf, model.space)
+        cosines = unit(images) @ model.passages.T
+        rows, passages = np.nonzero(cosines >= LEAST_COSINE)
+        best: dict[tuple[int, int], float] = {}
+        for row, item, cosine in zip(rows.tolist(), model.passage_items[passages].tolist(), cosines[rows, passages].tolist(), strict=True):
+            if item in windows[some[row]]:
+                best[row, item] = max(best.get((row, item), -1.0), cosine)
+        for (row, item), cosine in best.items():
+            yield some[row], item, cosine
+
+
 def contaminated(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, item_id, cosine, lcs_share, answer for each document and benchmark item that the document holds.
 
     A document is there once for each of its items, and not at all if it holds none. Null texts hold nothing; items
-    that are null, blank or without an id are passed over; repeated items count once, repeated documents each. An empty
-    benchmark gives no rows. The benchmark is read in blocks of ITEMS_AT_ONCE items, each with its own pass.
+    that are null, blank or without an id are passed over; repeated items count once, several texts of one item as one item,
+    repeated documents each. An empty benchmark gives no rows. The benchmark is read in blocks of about ITEMS_AT_ONCE items
+    or WORDS_AT_ONCE words, each with its own pass.
     """
     rows = documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     schema = "doc_id long, item_id long, cosine double, lcs_share double, answer boolean"
@@ -256,12 +291,14 @@ def contaminated(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
 def models(documents: DataFrame, benchmark: DataFrame) -> Iterator[Model]:
     """A model for each block of the benchmark's items."""
     wanted = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("long"), F.col("text").cast("string")).distinct()
-    passes = -(-wanted.count() // ITEMS_AT_ONCE)
+    items, words = wanted.agg(F.count("*"), F.sum(F.size(F.split("text", r"\s+")))).first()
+    passes = max(-(-items // ITEMS_AT_ONCE), -(-(words or 0) // WORDS_AT_ONCE))
     for k in range(passes):
-        block = wanted.where(F.pmod(F.xxhash64("item_id"), F.lit(passes)) == k).orderBy("item_id", "text").collect()
-        items = [(r["item_id"], plain_words(r["text"])) for r in block if plain_words(r["text"])]
+        block = wanted.where(F.pmod(F.xxhash64("item_id"), F.lit(passes)) == k)
+        items = [(r["item_id"], plain_words(r["text"])) for r in block.orderBy("item_id", "text").collect()]
+        items = [x for x in items if x[1]]
         if items:
-            yield fit(documents, items)
+            yield fit(documents, block, items)
 
 
 def without_items(documents: DataFrame, benchmark: DataFrame) -> DataFrame:

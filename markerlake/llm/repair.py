@@ -1,7 +1,7 @@
 """Token files under Re-Pair grammars (operator 6).
 
 Documents are encoded in ascending order of doc_id and cut into blocks. In each block, frequent pairs of ids are
-replaced by new symbols, round after round; a block holds its rules, the lengths to which symbols expand, the remaining
+replaced by new symbols, round after round, until none is left that is worth a rule; a block holds its rules, the lengths to which symbols expand, the remaining
 sequence, and the ids and lengths of its documents, so that any range can be decoded without the rest. Blocks are rows
 of a Parquet table: it can lie in any store that Spark reaches, and lost tasks write theirs anew.
 """
@@ -20,45 +20,45 @@ from pyspark.sql import functions as F
 from markerlake.llm.common import arrow_map, new_folder, partitions, read_only
 from markerlake.llm.pieces import codec
 
+AT_ONCE = 256  # documents whose range is decoded together
 BLOCK_IDS = 1 << 21  # ids after which a block ends, at the end of a document
-ROUNDS = 4
-PAIRS_PER_ROUND = 1024
-LEAST_COUNT = 16  # occurrences from which a pair is worth a rule
-SLOTS = 1 << 18
+#: Occurrences from which a pair is worth a rule: a rule takes 12 bytes (two symbols and a length), an occurrence saves 4.
+LEAST_COUNT = 4
+SLOTS = 1 << 21
 
-SCHEMA = "shard int, block int, doc_ids binary, lengths binary, symbols long, rules binary, expansions binary, sequence binary, n_ids long"
+SCHEMA = "shard int, block int, doc_ids array<long>, lengths binary, symbols long, rules binary, expansions binary, sequence binary, n_ids long"
 
 
-def compress(ids: np.ndarray, symbols: int, rounds: int = ROUNDS, per_round: int = PAIRS_PER_ROUND, least: int = LEAST_COUNT) -> tuple[np.ndarray, np.ndarray]:
-    """Rules, as rows of two symbols each, and the remaining sequence. Rule i makes the symbol `symbols` + i."""
-    sequence, rules = ids.astype(np.uint32), [np.empty((0, 2), np.uint32)]
-    top = symbols
-    for _ in range(rounds):
-        if len(sequence) < 2:
-            break
+def compress(ids: np.ndarray, symbols: int, least: int = LEAST_COUNT) -> tuple[np.ndarray, np.ndarray]:
+    """Rules, as rows of two symbols each, and the remaining sequence. Rule i makes the symbol `symbols` + i.
+
+    In each round all pairs that occur `least` times or more are replaced side by side, until there is none: where
+    occurrences touch, the more frequent pair goes first. A pair that loses too many of its occurrences to its neighbours
+    waits for the next round, so every rule is used `least` times at least.
+    """
+    sequence, rules, top = ids.astype(np.uint32), [np.empty((0, 2), np.uint32)], symbols
+    while len(sequence) > 1:
         a, b = sequence[:-1], sequence[1:]
-        slot = ((a * np.uint32(2654435761)) ^ (b * np.uint32(2246822519))) >> np.uint32(14)
-        counts = np.bincount(slot, minlength=SLOTS)
-        line = max(least, int(np.partition(counts, SLOTS - per_round)[SLOTS - per_round]))
-        near = np.flatnonzero((counts >= line)[slot])  # positions whose pair may be frequent
+        slot = ((a * np.uint32(2654435761)) ^ (b * np.uint32(2246822519))) >> np.uint32(11)
+        near = np.flatnonzero((np.bincount(slot, minlength=SLOTS) >= least)[slot])  # positions whose pair may be frequent
+        pairs, which, n = np.unique((a[near].astype(np.uint64) << np.uint64(32)) | b[near], return_inverse=True, return_counts=True)
+        often = n[which]
+        near, which, often = near[often >= least], which[often >= least], often[often >= least]
         if not len(near):
             break
-        keys = (a[near].astype(np.uint64) << np.uint64(32)) | b[near]
-        pairs, which, n = np.unique(keys, return_inverse=True, return_counts=True)
-        chosen = np.flatnonzero(n >= least)
-        if not len(chosen):
-            break
-        if len(chosen) > per_round:
-            chosen = np.sort(chosen[np.argpartition(-n[chosen], per_round)[:per_round]])
+        taken = apart(near, often)
+        used = np.bincount(which[taken], minlength=len(pairs))
+        chosen = np.flatnonzero(used >= least)
+        if not len(chosen):  # all lose occurrences to each other: the most frequent pair alone can't
+            chosen = np.array([n.argmax()])
+            taken = np.flatnonzero(which == chosen[0])
+            taken = taken[apart(near[taken], often[taken])]
+            if len(taken) < least:
+                break
         number = np.full(len(pairs), -1, np.int64)
         number[chosen] = top + np.arange(len(chosen))
-        new = number[which]
-        at, new = near[new >= 0], new[new >= 0]
-        # of occurrences that touch, every second one from the left is replaced
-        first = np.concatenate([[True], np.diff(at) != 1])
-        begins = np.maximum.accumulate(np.where(first, np.arange(len(at)), 0))
-        taken = (np.arange(len(at)) - begins) % 2 == 0
-        at, new = at[taken], new[taken]
+        new = number[which[taken]]
+        at, new = near[taken][new >= 0], new[new >= 0]
         sequence = sequence.copy()
         sequence[at] = new
         keep = np.ones(len(sequence), bool)
@@ -69,36 +69,59 @@ def compress(ids: np.ndarray, symbols: int, rounds: int = ROUNDS, per_round: int
     return np.concatenate(rules), sequence
 
 
+def apart(at: np.ndarray, often: np.ndarray) -> np.ndarray:
+    """Which of the ascending positions are taken so that no two are neighbours: peaks of `often` first, then every second
+    one of what is left between them.
+    """
+    joined = np.zeros(len(at) + 1, bool)
+    joined[1:-1] = np.diff(at) == 1
+    before, after = np.where(joined[:-1], np.append(0, often[:-1]), 0), np.where(joined[1:], np.append(often[1:], 0), 0)
+    peak = (often > before) & (often > after)
+    free = ~peak & ~(np.append(False, peak[:-1]) & joined[:-1]) & ~(np.append(peak[1:], False) & joined[1:])
+    rest = np.flatnonzero(free)
+    first = np.ones(len(rest), bool)
+    first[1:] = at[rest][1:] - at[rest][:-1] != 1
+    begins = np.maximum.accumulate(np.where(first, np.arange(len(rest)), 0))
+    return np.sort(np.concatenate([np.flatnonzero(peak), rest[(np.arange(len(rest)) - begins) % 2 == 0]]))
+
+
 def expansion_lengths(rules: np.ndarray, symbols: int) -> np.ndarray:
     """To how many ids each rule's symbol expands."""
-    out = np.ones(len(rules), np.uint32)
+    out = [1] * len(rules)
     for i, (a, b) in enumerate(rules.tolist()):
-        out[i] = sum(1 if x < symbols else out[x - symbols] for x in (a, b))
-    return out
+        out[i] = (1 if a < symbols else out[a - symbols]) + (1 if b < symbols else out[b - symbols])
+    return np.array(out, np.uint32)
 
 
 def expand(sequence: np.ndarray, rules: np.ndarray, symbols: int) -> np.ndarray:
-    """The ids that a sequence stands for."""
-    wide: list[list[int]] = []
-    for a, b in rules.tolist():
-        wide.append([y for x in (a, b) for y in ([x] if x < symbols else wide[x - symbols])])
-    flat = np.concatenate([np.arange(symbols), np.array([y for x in wide for y in x], np.int64)]).astype(np.uint32)
-    lengths = np.concatenate([np.ones(symbols, np.int64), np.array([len(x) for x in wide], np.int64)])
-    begins = np.cumsum(lengths) - lengths
-    each = lengths[sequence]
-    ends = np.cumsum(each)
-    return flat[np.repeat(begins[sequence] - (ends - each), each) + np.arange(ends[-1] if len(ends) else 0)]
-
-
-def decode_range(block: dict, start: int, stop: int) -> np.ndarray:
-    """The ids [start, stop) of a block, from the few symbols of its sequence that cover them."""
-    symbols = int(block["symbols"])
-    rules, sequence = np.frombuffer(block["rules"], "<u4").reshape(-1, 2), np.frombuffer(block["sequence"], "<u4")
-    lengths = np.concatenate([np.ones(symbols, np.int64), np.frombuffer(block["expansions"], "<u4")])
-    ends = np.cumsum(lengths[sequence])
-    i, j = np.searchsorted(ends, start, side="right"), np.searchsorted(ends, stop, side="left") + 1
-    before = int(ends[i - 1]) if i else 0
-    return expand(sequence[i:j], rules, symbols)[start - before : stop - before]
+    """The ids that a sequence stands for: each round replaces all nonterminals by their rules."""
+    out = sequence.astype(np.uint32)
+    while True:
+        wide = out >= symbols
+        if not wide.any():
+            return out
+        rule = rules[out[wide] - symbols]
+        out = np.repeat(out, 1 + wide)
+        at = np.flatnonzero(wide) + np.arange(len(rule))
+        out[at], out[at + 1] = rule[:, 0], rule[:, 1]
+
+
+class Block:
+    """A block of which any range of ids can be decoded from the few symbols of its sequence that cover it."""
+
+    def __init__(self, block: dict) -> None:
+        self.symbols = int(block["symbols"])
+        self.rules, self.sequence = np.frombuffer(block["rules"], "<u4").reshape(-1, 2), np.frombuffer(block["sequence"], "<u4")
+        lengths = np.concatenate([np.ones(self.symbols, np.int64), np.frombuffer(block["expansions"], "<u4")])
+        self.ends = np.cumsum(lengths[self.sequence])
+
+    def ids(self, start: int, stop: int) -> np.ndarray:
+        """The ids [start, stop)."""
+        if start >= stop:
+            return np.empty(0, np.uint32)
+        i, j = np.searchsorted(self.ends, start, side="right"), np.searchsorted(self.ends, stop, side="left") + 1
+        before = int(self.ends[i - 1]) if i else 0
+        return expand(self.sequence[i:j], self.rules, self.symbols)[start - before : stop - before]
 
 
 def write(documents: DataFrame, tokenizer: str, folder: str, end_id: int = 1, block_ids: int = BLOCK_IDS) -> None:
@@ -120,12 +143,11 @@ def write(documents: DataFrame, tokenizer: str, folder: str, end_id: int = 1, bl
         def row() -> pa.RecordBatch:
             ids = np.frombuffer(b"".join(parts), "<u4")
             rules, sequence = compress(ids, symbols)
-            named = np.array([-(1 << 63) if x is None else x for x in names], "<i8")
             lengths = np.array([len(x) // 4 for x in parts], "<u4")
-            values = [shard, block, named.tobytes(), lengths.tobytes(), symbols, rules.tobytes(), expansion_lengths(rules, symbols).tobytes(), sequence.astype("<u4").tobytes(), len(ids)]
+            values = [shard, block, names, lengths.tobytes(), symbols, rules.tobytes(), expansion_lengths(rules, symbols).tobytes(), sequence.astype("<u4").tobytes(), len(ids)]
             return pa.RecordBatch.from_pylist([dict(zip(("shard", "block", "doc_ids", "lengths", "symbols", "rules", "expansions", "sequence", "n_ids"), values, strict=True))], schema=arrow)
 
-        arrow = pa.schema([("shard", pa.int32()), ("block", pa.int32()), ("doc_ids", pa.binary()), ("lengths", pa.binary()), ("symbols", pa.int64()), ("rules", pa.binary()), ("expansions", pa.binary()), ("sequence", pa.binary()), ("n_ids", pa.int64())])
+        arrow = pa.schema([("shard", pa.int32()), ("block", pa.int32()), ("doc_ids", pa.list_(pa.int64())), ("lengths", pa.binary()), ("symbols", pa.int64()), ("rules", pa.binary()), ("expansions", pa.binary()), ("sequence", pa.binary()), ("n_ids", pa.int64())])
         for batch in batches:
             for name, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 names.append(name)
@@ -153,16 +175,17 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block in batch.to_pylist():
-                ids = expand(np.frombuffer(block["sequence"], "<u4"), np.frombuffer(block["rules"], "<u4").reshape(-1, 2), block["symbols"]).astype("<u4").tobytes()
+                own, named = Block(block), block["doc_ids"]
                 lengths = np.frombuffer(block["lengths"], "<u4").astype(np.int64)
                 ends = np.cumsum(lengths)
-                named = [None if x == -(1 << 63) else x for x in np.frombuffer(block["doc_ids"], "<i8").tolist()]
-                for i in range(0, len(ends), 1024):
-                    cuts = [(int(e - n) * 4, int(e) * 4) for e, n in zip(ends[i : i + 1024], lengths[i : i + 1024], strict=True)]
+                for i in range(0, len(ends), AT_ONCE):
+                    first = int(ends[i] - lengths[i])
+                    ids = own.ids(first, int(ends[min(i + AT_ONCE, len(ends)) - 1])).astype("<u4").tobytes()
+                    cuts = [((int(e - n) - first) * 4, (int(e) - first) * 4) for e, n in zip(ends[i : i + AT_ONCE], lengths[i : i + AT_ONCE], strict=True)]
                     m = len(cuts)
                     yield pa.RecordBatch.from_arrays([pa.array([block["shard"]] * m, pa.int32()), pa.array([block["block"]] * m, pa.int32()), pa.array(named[i : i + m], pa.int64()), pa.array((ends - lengths)[i : i + m], pa.int64()), pa.array(lengths[i : i + m], pa.int64()), pa.array([ids[p:q] for p, q in cuts], pa.binary()), pa.array([zlib.crc32(ids[p:q]) for p, q in cuts], pa.int64())], ["shard", "block", "doc_id", "inside", "n_tokens", "ids", "ids_crc32"])
 
-    found = arrow_map(files.drop("expansions", "n_ids"), work, "shard int, block int, doc_id long, inside long, n_tokens long, ids binary, ids_crc32 long")
+    found = arrow_map(files.drop("n_ids"), work, "shard int, block int, doc_id long, inside long, n_tokens long, ids binary, ids_crc32 long")
     return found.join(starts, ["shard", "block"]).select("doc_id", (F.col("at") + F.col("inside")).alias("start"), "n_tokens", "ids", "ids_crc32")
 
 

@@ -1,10 +1,14 @@
-"""Exact byte-pair encoding of whole texts, fast on text of which most words repeat.
+"""Exact byte-pair encoding of whole texts, by tree concatenation.
 
-A text is cut where the tokenizer's own pattern always cuts, each distinct part is encoded once and kept in a bounded
-dictionary. Parts of plain Latin characters are merged by rank; whatever else appears (other scripts, control
-characters, special tokens) goes through the tokenizers library unchanged. A piece longer than LEAF bytes is encoded as
-a tree: its leaves are encoded side by side, and around each join a growing window is encoded again until its first
-token is one that the left side has there and its last token is one that the right side has.
+A byte-level text longer than TEXT_LEAF characters is cut wherever that falls. The pieces of text are encoded apart and
+joined in pairs: around each join a growing window of the text is encoded again, until it begins with a part that the
+left side has there and ends with one that the right side has. Parts begin where the tokenizer's pattern always splits,
+so that what lies beyond the window stays as it is. A part is encoded once and kept in a bounded dictionary.
+
+Text without such places is one part. Its pieces (by the file's own pattern) of more than LEAF bytes are trees of their
+own: leaves are encoded side by side, and around each join a window of tokens grows until its first token is one that
+the left side has there and its last token is one that the right side has. Short parts of other than plain Latin
+characters, and strings of special tokens, go through the tokenizers library.
 """
 
 from __future__ import annotations
@@ -17,11 +21,14 @@ from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
+import regex
 import tiktoken
 from tokenizers import Tokenizer
 
 #: Longest piece, in bytes, that is encoded in one call.
 LEAF = 2048
+#: Characters of text that are encoded in one call.
+TEXT_LEAF = 2048
 #: Parts that the dictionary of one Python worker may hold before it is emptied.
 KEPT_PARTS = 250_000
 
@@ -36,6 +43,9 @@ WORD_PLAIN = re.compile(r"[\x21-\x7eÀ-ÖØ-öø-įı-ňŊ-ſ]*")
 #: Letters only: one piece. The word file drops the space.
 BYTE_LETTERS = re.compile(rf" ?[A-Za-z{LATIN}]+")
 WORD_LETTERS = re.compile(r"[A-Za-zÀ-ÖØ-öø-įı-ňŊ-ſ]+")
+#: The byte-level file's pattern over all characters, and white space on which libraries differ. Fixed values.
+ANY_PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
+UNSURE = re.compile("[\x1c-\x1f\x85\u180e\u200b\ufeff]")
 #: A single space between two visible characters always begins a piece.
 BYTE_CUT = re.compile(r" (?=\S)(?<=\S )")
 
@@ -102,6 +112,9 @@ class Codec:
         for i in range(top):
             token = self.library.id_to_token(i)
             self.bytes_of.append(b"" if token is None else self._shown(token, letters, suffix))
+        added = [x.content for x in self.library.get_added_tokens_decoder().values() if x.content]
+        self.specials = re.compile("(" + "|".join(map(re.escape, sorted(added, key=len, reverse=True))) + ")") if special and added else None
+        self.joins = 0  # of texts, since the codec was made
         self.parts = Parts(self.part)
         self.pieces: dict[str, bytes] = {}
         self.pool: ThreadPoolExecutor | None = None
@@ -156,9 +169,48 @@ class Codec:
         if not self.word and BYTE_LETTERS.fullmatch(part):
             return self.merged(part)
         if not plain.fullmatch(part) or (self.special and "<|" in part):
+            if not self.word and len(part) > LEAF and not UNSURE.search(part):
+                return self.unsplit(part)
             return np.array(self.library.encode(part, add_special_tokens=False).ids, dtype="<u4").tobytes()
         return b"".join([self.piece(x) for x in pieces.findall(part.lower() if self.word else part)])
 
+    def unsplit(self, part: str) -> bytes:
+        """A long part of any characters: special tokens by the library, the rest by its pieces."""
+        out = []
+        for i, x in enumerate(self.specials.split(part) if self.specials else [part]):
+            if i % 2:
+                out.append(np.array(self.library.encode(x, add_special_tokens=False).ids, "<u4").tobytes())
+            else:
+                out += [self.piece(y) for y in ANY_PIECES.findall(x)]
+        return b"".join(out)
+
+    def joined(self, left: list[str], right: list[str]) -> list[str]:
+        """The parts of two texts' concatenation from the parts of both."""
+        self.joins += 1
+        width = 1
+        while True:
+            i, j = max(0, len(left) - width), min(len(right), width)
+            window = self.encoded("".join(left[i:] + right[:j]))
+            if (i == 0 or window[0] == left[i]) and (j == len(right) or window[-1] == right[j - 1]):
+                return left[:i] + window + right[j:]
+            width *= 2
+
+    def encoded(self, text: str) -> list[str]:
+        """The parts of a text, encoded; those that are so long that they may be cut short here are left for later."""
+        parts = self.split(text)
+        for x in parts:
+            if len(x) <= LEAF:
+                self.parts[x]
+        return parts
+
+    def halves(self, text: str) -> list[str]:
+        """Parts of a long text, as a tree over pieces of the text that are cut wherever it falls."""
+        level = [self.encoded(text[i : i + TEXT_LEAF]) for i in range(0, len(text), TEXT_LEAF)]
+        while len(level) > 1:
+            paired = list(map(self.joined, level[:-1:2], level[1::2]))
+            level = paired + level[len(paired) * 2 :]
+        return level[0]
+
     def split(self, text: str) -> list[str]:
         if self.word:
             return re.split(r"[\x20\x09-\x0D]+", text) if "\x0b" in text or "\x0c" in text else text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
@@ -168,7 +220,8 @@ class Codec:
     def encode(self, text: str) -> bytes:
         """The ids of a whole text, as little-endian unsigned 32-bit integers."""
         known = self.parts
-        out = b"".join(map(known.__getitem__, self.split(text)))
+        whole = self.word or len(text) <= TEXT_LEAF
+        out = b"".join(map(known.__getitem__, self.split(text) if whole else self.halves(text)))
         if len(known) > KEPT_PARTS or len(self.pieces) > KEPT_PARTS:
             known.clear()
             self.pieces.clear()

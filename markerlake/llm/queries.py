@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-import os
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,8 +12,7 @@ from markerlake.llm import bpe, decontaminate, katz, langid, neardup, pii, repai
 from markerlake.llm.common import table
 
 #: Where the tokenizers' files are on every machine; a parameter of the operators, set here for the queries.
-TOKENIZERS = os.environ.get("TOKENIZER_FILES", "/opt/tokenizers")
-BYTE_BPE, WORD_BPE = f"{TOKENIZERS}/byte_bpe_50k.json", f"{TOKENIZERS}/word_bpe_49k.json"
+BYTE_BPE, WORD_BPE = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
 
 
 def op1_topk(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import hashlib
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -55,6 +56,42 @@ def test_trees_give_the_tokens_of_the_whole(piece, leaf):
     assert own.tree(piece.encode(), leaf) == own.merge(piece.encode())
 
 
+SCRIPTS = {
+    "letters": "abcdefgh" * 130_000,
+    "cjk": "".join(chr(0x4E00 + (i * i + 7 * i) % 5000) for i in range(350_000)),
+    "emoji": "".join(chr(0x1F600 + (i * 13) % 60) + "\u200d" * (i % 5 == 0) for i in range(60_000)),
+    "cyrillic": "".join(chr(0x430 + (i * i) % 32) for i in range(300_000)),
+    "special": ("x" * 2040 + "<|endoftext|>") * 40,
+    "mixed": ("word don't  \n\n 12345 żółć 日本語。「あ」 " * 7 + "end.<|endoftext|> <|endoftext" + " " * 33 + "\t\t") * 300,
+    "spaces": (" " * 3000 + "a") * 20,
+}
+
+
+@pytest.mark.parametrize("name", SCRIPTS)
+@pytest.mark.parametrize("shift", [0, 5])
+def test_long_texts_of_any_script(name, shift):
+    text = "x " * shift + SCRIPTS[name]
+    assert np.frombuffer(pieces.codec(BYTE_BPE).encode(text), "<u4").tolist() == library(BYTE_BPE).encode(text, add_special_tokens=False).ids
+
+
+@pytest.mark.parametrize("leaf", [1, 2, 7, 50])
+def test_texts_cut_anywhere(spark, middle, monkeypatch, leaf):
+    own, t = pieces.Codec(BYTE_BPE), library(BYTE_BPE)
+    monkeypatch.setattr(pieces, "TEXT_LEAF", leaf)
+    texts = [r["text"] for r in spark.read.parquet(f"{middle}/documents.parquet").limit(40).collect() if r["text"]]
+    for text in [*(x[:1500] for x in texts), SCRIPTS["mixed"][:600], "a <|endoftext|> b", "  x  y\u3000z \u00a0 \u2003q"]:
+        assert np.frombuffer(own.encode(text), "<u4").tolist() == t.encode(text, add_special_tokens=False).ids
+    assert own.joins > 100
+
+
+def test_texts_of_the_table_are_trees(spark, middle):
+    own = pieces.Codec(BYTE_BPE)
+    texts = [r["text"] or "" for r in spark.read.parquet(f"{middle}/documents.parquet").collect()]
+    for x in texts:
+        own.encode(x)
+    assert own.joins == sum(max(0, -(-len(x) // pieces.TEXT_LEAF) - 1) for x in texts) > 300
+
+
 def repair_brute(rows):
     t, start, out = library(WORD_BPE), 0, []
     for i, text in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0)):
@@ -83,9 +120,32 @@ def test_grammar_round_trip_and_random_access():
     rules, sequence = repair.compress(ids, 20, least=4)
     assert len(rules) > 0 and len(sequence) < len(ids)
     assert (repair.expand(sequence, rules, 20) == ids).all()
-    block = {"symbols": 20, "rules": rules.tobytes(), "sequence": sequence.astype("<u4").tobytes(), "expansions": repair.expansion_lengths(rules, 20).tobytes()}
+    block = repair.Block({"symbols": 20, "rules": rules.tobytes(), "sequence": sequence.astype("<u4").tobytes(), "expansions": repair.expansion_lengths(rules, 20).tobytes()})
     for start, stop in ((0, 1), (17, 18), (100, 2000), (5400, 5500), (0, 5500)):
-        assert (repair.decode_range(block, start, stop) == ids[start:stop]).all()
+        assert (block.ids(start, stop) == ids[start:stop]).all()
+
+
+def pair_counts(sequence):
+    """Occurrences of pairs, as many as can be replaced together: a run of one symbol holds half as many as it has places."""
+    seen, last = Counter(), {}
+    for i, pair in enumerate(zip(sequence, sequence[1:])):
+        if last.get(pair) != i - 1:
+            seen[pair] += 1
+            last[pair] = i
+    return seen
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_no_frequent_pair_is_left(seed):
+    pick = np.random.default_rng(seed)
+    passage = pick.integers(0, 50, 300)
+    ids = np.concatenate([np.concatenate([passage, pick.integers(0, 50, 40)]) for _ in range(30)] + [np.full(77, 7), np.tile([1, 2, 3], 40)]).astype(np.uint32)
+    rules, sequence = repair.compress(ids, 50)
+    assert (repair.expand(sequence, rules, 50) == ids).all()
+    assert max(pair_counts(sequence.tolist()).values()) < repair.LEAST_COUNT
+    assert repair.expansion_lengths(rules, 50).max() > 100  # the passage has become long symbols
+    used = Counter([*rules.ravel().tolist(), *sequence.tolist()])
+    assert all(used[50 + i] for i in range(len(rules)))
 
 
 def test_small_blocks_of_repair(spark, middle, tmp_path):

@@ -17,7 +17,8 @@ from pyspark.sql import functions as F
 
 from markerlake.llm.common import arrow_map, partitions
 
-CANDIDATES = 8192  # rows in a block of candidates
+CANDIDATES = 8192  # rows in a block of candidates, at most
+BLOCKS = 4  # blocks of candidates to a partition, at least, while a block keeps 64 rows
 QUERIES = 1024  # rows in a block of queries
 AT_ONCE = 32  # queries whose score arrays are held together
 
@@ -45,9 +46,8 @@ def postings(block: dict) -> dict[int, tuple[np.ndarray, np.ndarray]]:
 
 
 def best(queries: dict, candidates: dict, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """Of each query of a block: its id, its k best candidates of another block, their scores; ties to smaller ids.
-
-    Candidates lie in ascending order of id.
+    """Of each query of a block: its place there, its k best candidates of another block, their scores; ties to smaller
+    ids. Candidates lie in ascending order of id.
     """
     n, ids = candidates["n"], np.frombuffer(candidates["ids"], "<i8")
     lists, wanted, own = postings(candidates), postings(queries), np.frombuffer(queries["ids"], "<i8")
@@ -71,18 +71,22 @@ def best(queries: dict, candidates: dict, k: int) -> Iterator[tuple[int, np.ndar
                 above = np.flatnonzero(values > line)
                 keep = np.concatenate([above, np.flatnonzero(values == line)[: k - len(above)]])
                 others, values = others[keep], values[keep]
-            yield int(own[i + q]), ids[others], values
+            yield i + q, ids[others], values
 
 
 def search(candidates: DataFrame, queries: DataFrame, k: int, scale: int = 256) -> DataFrame:
-    """query_id, rank (from 1), vec_id, score: each query's k highest integer inner products, ties to smaller vec_id.
+    """query_id, rank (from 1), vec_id, score: each query row's k highest integer inner products, ties to smaller vec_id.
 
     Both frames need vec_id and embedding. Components x count as floor(scale * x); vectors of different lengths meet in
     the components that both have. Vectors that are null or hold null or non-finite components, and null ids, take no
-    part. A candidate with the query's own id is not its partner. Repeated rows are candidates of their own; an empty
-    table gives no rows.
+    part. A candidate with the query's own id is not its partner. Repeated rows are candidates and queries of their own: a
+    query row that is there twice has its k rows twice. An empty table gives no rows.
+
+    Queries go to every partition, candidates to one each; blocks are dealt in turn, and there are several to a partition
+    so that none has much more work than another.
     """
     spark, buckets = candidates.sparkSession, partitions(candidates.sparkSession)
+    size = max(min(64, CANDIDATES), min(CANDIDATES, -(-candidates.count() // (BLOCKS * buckets))))
 
     def prepared(df: DataFrame) -> DataFrame:
         return df.where(F.col("vec_id").isNotNull() & usable(F.col("embedding"))).select(F.col("vec_id").cast("long"), F.transform("embedding", lambda x: F.floor(scale * x.cast("double"))).alias("row"))
@@ -114,8 +118,8 @@ def search(candidates: DataFrame, queries: DataFrame, k: int, scale: int = 256)
     arrow = pa.schema([("block", pa.int64()), ("n", pa.int64()), ("ids", pa.binary()), ("terms", pa.binary()), ("at", pa.binary()), ("weights", pa.binary())])
     schema = "block long, n long, ids binary, terms binary, at binary, weights binary"
     fields = ("n", "ids", "terms", "at", "weights")
-    blocks = arrow_map(prepared(candidates), packed(CANDIDATES), schema).select(F.pmod(F.hash("block"), F.lit(buckets)).alias("bucket"), *(F.col(x).alias(f"c_{x}") for x in fields))
-    asked = arrow_map(prepared(queries), packed(QUERIES), schema).select(F.explode(F.sequence(F.lit(0), F.lit(buckets - 1))).alias("bucket"), *(F.col(x).alias(f"q_{x}") for x in fields))
+    blocks = arrow_map(prepared(candidates), packed(size), schema).select(F.pmod(F.shiftright("block", 32) * 31 + F.col("block").bitwiseAND(F.lit((1 << 32) - 1)), F.lit(buckets)).cast("int").alias("bucket"), *(F.col(x).alias(f"c_{x}") for x in fields))
+    asked = arrow_map(prepared(queries), packed(QUERIES), schema).select(F.col("block").alias("q_block"), F.explode(F.sequence(F.lit(0), F.lit(buckets - 1))).alias("bucket"), *(F.col(x).alias(f"q_{x}") for x in fields))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -123,8 +127,11 @@ def search(candidates: DataFrame, queries: DataFrame, k: int, scale: int = 256)
                 pair = batch.slice(i, 1).to_pylist()[0]
                 found = list(best({x: pair[f"q_{x}"] for x in fields}, {x: pair[f"c_{x}"] for x in fields}, k))
                 sizes = [len(x) for _, x, _ in found]
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array([q for q, _, _ in found], np.int64), sizes)), pa.array(np.concatenate([x for _, x, _ in found])), pa.array(np.concatenate([s for _, _, s in found]))], ["query_id", "vec_id", "score"])
+                at = np.repeat(np.array([q for q, _, _ in found], np.int64), sizes)
+                ids = np.frombuffer(pair["q_ids"], "<i8")[at]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), pair["q_block"])), pa.array(at), pa.array(ids), pa.array(np.concatenate([x for _, x, _ in found])), pa.array(np.concatenate([s for _, _, s in found]))], ["block", "place", "query_id", "vec_id", "score"])
 
-    near = arrow_map(asked.join(blocks, "bucket").drop("bucket"), work, "query_id long, vec_id long, score long")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    # as many partitions as asked for: what they hold is work, not bytes
+    near = arrow_map(asked.repartition(buckets, "bucket").join(blocks.repartition(buckets, "bucket"), "bucket").drop("bucket"), work, "block long, place long, query_id long, vec_id long, score long")
+    order = Window.partitionBy("block", "place").orderBy(F.desc("score"), "vec_id")
     return near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

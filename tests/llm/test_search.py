@@ -37,3 +37,16 @@ def test_empty_and_fewer_than_k(spark):
     assert topk.search(df, df, k=5).count() == 0
     two = spark.createDataFrame([(0, [1.0]), (1, [0.5])], "vec_id long, embedding array<float>")
     assert sorted(map(tuple, topk.search(two, two, k=5).collect())) == [(0, 1, 1, 32768), (1, 1, 0, 32768)]
+
+
+def test_repeated_query_rows_have_their_own_rows(spark):
+    rows = [(i, [((i * 11 + j) % 9 - 4) / 8 for j in range(5)]) for i in range(20)] + [(0, [0.5, 0.25, 0.0, 0.0, 1.0]), (0, [((j) % 9 - 4) / 8 for j in range(5)])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(3)
+    got = sorted(map(tuple, topk.search(df, df.where("vec_id % 10 = 0"), k=3).collect()))
+    want = []
+    others = lambda q: [(i, v) for i, v in rows if i != q]
+    for q, v in rows:
+        if q % 10 == 0:
+            best = sorted((-sum(math.floor(256 * a) * math.floor(256 * b) for a, b in zip(v, w)), i) for i, w in others(q))[:3]
+            want += [(q, r + 1, i, -s) for r, (s, i) in enumerate(best)]
+    assert got == sorted(want)

@@ -2,8 +2,9 @@
 
 Four sources are taken as independent given the language: the page's text (naive Bayes over hashed character trigrams,
 learned from documents whose language is known), the language its markup declares, the suffix of its address, and a
-prior of its host. How far declarations and suffixes can be trusted, and the hosts' priors, come from grouped counts of
-what the text alone says over all pages; a host's prior leans on that of all pages as far as the host is small.
+prior of its host. How far declarations and suffixes can be trusted, and the priors, come from grouped counts of what the
+text alone says over all other pages; a host's prior leans on its domain's as far as the host is small, and a domain's on
+that of all pages.
 """
 
 from __future__ import annotations
@@ -19,41 +20,48 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from markerlake.llm.common import arrow_map, cut
+from markerlake.llm.common import Scratch, arrow_map
 
 SLOTS = 1 << 15
 #: Labelled rows of each language that the text model learns from: a bounded sample, by hash of doc_id.
 ROWS = 6_000
-EFFECTIVE = 60  # trigrams as which a longer text counts: neighbours aren't independent
+EFFECTIVE = 60  # trigrams as which a longer text counts, as neighbours aren't independent: some ten words, by hand
 SMOOTH = 20.0  # pages as which the prior of all pages counts against a host's own
 
-HIDDEN = re.compile(r"<!--.*?-->|<(script|style|template|noscript)\b.*?</\1\s*>|<[^>]*>", re.S | re.I)
-#: What holds no tags of the page: comments (also "<!-->" and those that never end) and raw text.
+#: What holds no text and no tags of the page: comments (also "<!-->") and raw text; those that never end hide the rest.
 UNTAGGED = re.compile(r"<!--(?:-?>|.*?(?:--!?>|\Z))|<(script|style|template|noscript)\b.*?(?:</\1\s*>|\Z)", re.S | re.I)
+TAG = re.compile(r"<[/!?A-Za-z][^>]*(?:>|\Z)")
 ROOT = re.compile(r"<html\b[^>]*", re.I)
 DECLARED = re.compile(r"\blang\s*=\s*[\"']?\s*([A-Za-z]{2,3})", re.I)
 SPACE = re.compile(r"[\W\d_]+")
 
 
-def visible(page: str) -> str:
-    return markup.unescape(HIDDEN.sub(" ", page))
+def visible(tagged: str) -> str:
+    """The text of a page without comments and raw text."""
+    return markup.unescape(TAG.sub(" ", tagged))
 
 
-def declared(page: str) -> str | None:
-    """Main language subtag of the html element, wherever in the page it stands."""
-    for tag in ROOT.finditer(UNTAGGED.sub(" ", page)):
+def declared(tagged: str) -> str | None:
+    """Main language subtag of the html element, wherever it stands in a page without comments and raw text."""
+    for tag in ROOT.finditer(tagged):
         if found := DECLARED.search(tag[0]):
             return found[1].lower()
     return None
 
 
-def address(url: str | None) -> tuple[str | None, str | None]:
-    """Host and its last label."""
+def address(url: str | None) -> tuple[str | None, str | None, str | None]:
+    """Host, its domain and its last label. A domain is the last two labels, or three if the last but one is as short as
+    those under which countries register names (`co`, `com`, `ac`).
+    """
     try:
         host = urlsplit(url or "").hostname
     except ValueError:
         host = None
-    return (host, host.rpartition(".")[2]) if host else (None, None)
+    if not host:
+        return None, None, None
+    labels = host.split(".")
+    wide = 3 if len(labels) > 2 and len(labels[-1]) == 2 and len(labels[-2]) <= 3 else 2
+    return host, ".".join(labels[-wide:]), labels[-1]
 
 
 def trigrams(text: str) -> np.ndarray:
@@ -104,61 +112,72 @@ def train(documents: DataFrame, rows: int = ROWS) -> TextModel:
 
 
 def evidence(pages: DataFrame, model: TextModel) -> DataFrame:
-    """page_id, host, suffix, declared, logs (of the text under each language, as EFFECTIVE trigrams at most), said."""
+    """page_id, host, domain, suffix, declared, logs (of the text under each language, as EFFECTIVE trigrams at most),
+    said (place of the text's own language; null without letters).
+    """
     kept = pages.sparkSession.sparkContext.broadcast(model)  # SLOTS numbers a language
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        logs, languages = kept.value.logs, kept.value.languages
+        logs, width = kept.value.logs, len(kept.value.languages)
         for batch in batches:
-            hosts = [address(x) for x in batch.column("url").to_pylist()]
-            raw = [x or "" for x in batch.column("html").to_pylist()]
-            found = [trigrams(visible(x)) for x in raw]
-            sums = [logs[x].sum(axis=0) * min(1.0, EFFECTIVE / max(1, len(x))) if SPACE.sub("", visible(r)) else np.zeros(len(languages)) for x, r in zip(found, raw, strict=True)]
-            said = [languages[int(x.argmax())] if x.any() else None for x in sums]
-            yield pa.RecordBatch.from_arrays([batch.column("page_id"), pa.array([h for h, _ in hosts], pa.string()), pa.array([s for _, s in hosts], pa.string()), pa.array([declared(x) for x in raw], pa.string()), pa.array([x.tolist() for x in sums], pa.list_(pa.float64())), pa.array(said, pa.string())], ["page_id", "host", "suffix", "declared", "logs", "said"])
+            hosts = list(zip(*[address(x) for x in batch.column("url").to_pylist()], strict=True)) or [[]] * 3
+            tagged = [UNTAGGED.sub(" ", x or "") for x in batch.column("html").to_pylist()]
+            seen = [visible(x) for x in tagged]
+            found = [trigrams(x) if SPACE.sub("", x) else np.empty(0, np.int64) for x in seen]
+            sums = [logs[x].sum(axis=0) * min(1.0, EFFECTIVE / max(1, len(x))) if len(x) else np.zeros(width) for x in found]
+            said = [int(s.argmax()) if len(x) else None for x, s in zip(found, sums, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("page_id"), *(pa.array(list(h), pa.string()) for h in hosts), pa.array([declared(x) for x in tagged], pa.string()), pa.array([x.tolist() for x in sums], pa.list_(pa.float64())), pa.array(said, pa.int32())], ["page_id", "host", "domain", "suffix", "declared", "logs", "said"])
 
     rows = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string"))
-    return arrow_map(rows, work, "page_id long, host string, suffix string, declared string, logs array<double>, said string")
+    return arrow_map(rows, work, "page_id long, host string, domain string, suffix string, declared string, logs array<double>, said int")
 
 
 def identify(pages: DataFrame, model: TextModel) -> DataFrame:
     """page_id, lang, confidence (posterior), text_lang (of the text alone), declared, host of every page.
 
-    A page without text, declaration or address is judged by what is left, in the end by the prior of all pages.
+    With n(x, l) pages of value x of which the text says l, and n(l) of all pages:
+    prior of all pages p(l) = (n(l) + 1) / (n + languages); of a domain (n(domain, l) + SMOOTH p(l)) / (n(domain) + SMOOTH);
+    of a host (n(host, l) + SMOOTH p(domain, l)) / (n(host) + SMOOTH); likelihood of a declaration or suffix
+    (n(x, l) + 1) / (n(l) + 1). A page's own text is taken out of all counts before it is judged, as it is evidence of its
+    own. A page without text, declaration or address is judged by what is left, in the end by the prior of all pages.
     Without any language to choose from, lang is null. Null ids stay null; repeated rows are judged each. Ties go to the
     language that comes first in the alphabet.
     """
-    languages = model.languages
+    languages, m = model.languages, len(model.languages)
     if not languages:
         rows = pages.select(F.col("page_id").cast("long"))
-        return rows.select("page_id", *(F.lit(None).cast("string").alias(x) for x in ("lang",)), F.lit(None).cast("double").alias("confidence"), *(F.lit(None).cast("string").alias(x) for x in ("text_lang", "declared", "host")))
-    found = cut(evidence(pages, model))
+        return rows.select("page_id", F.lit(None).cast("string").alias("lang"), F.lit(None).cast("double").alias("confidence"), *(F.lit(None).cast("string").alias(x) for x in ("text_lang", "declared", "host")))
+    scratch = Scratch(pages.sparkSession, "langid")
+    found = scratch.keep(evidence(pages, model))
 
     def counted(*by: str) -> DataFrame:
-        of = [F.count(F.when(F.col("said") == x, 1)).cast("double") for x in languages]
-        return found.where("said is not null").groupBy(*by).agg(F.array(*of).alias("n"))
-
-    whole = counted().first()
-    everywhere = [(x + 1.0) / (sum(whole["n"]) + len(languages)) for x in whole["n"]]
-
-    def likelihood(by: str) -> DataFrame:
-        """P(value | language), with one page of each value added: a row for each value that occurs."""
-        logs = [F.log((F.col("n")[i] + 1) / (F.lit(whole["n"][i]) + 1)) for i in range(len(languages))]
-        return counted(by).where(F.col(by).isNotNull()).select(by, F.array(*logs).alias(f"{by}_logs"))
-
-    hosts = counted("host").where("host is not null")
-    total = F.aggregate("n", F.lit(0.0), lambda a, x: a + x)
-    hosts = hosts.select("host", F.array(*(F.log((F.col("n")[i] + SMOOTH * p) / (total + SMOOTH)) for i, p in enumerate(everywhere))).alias("host_logs"))
+        rows = found.where("said is not null").groupBy(*by).agg(*(F.count(F.when(F.col("said") == i, 1)).cast("double").alias(f"_{i}") for i in range(m)))
+        return rows.select(*by, F.array(*(f"_{i}" for i in range(m))).alias("n_" + (by[0] if by else "all")))
 
+    everywhere = counted().first()[0]
     joined = found
-    for right, by in ((likelihood("declared"), "declared"), (likelihood("suffix"), "suffix"), (hosts, "host")):
-        joined = joined.join(cut(right), by, "left")
-
-    def at(name: str, i: int, other: float = 0.0) -> Column:
-        return F.coalesce(F.col(name)[i], F.lit(other))
-
-    logs = [F.col("logs")[i] + at("declared_logs", i) + at("suffix_logs", i) + at("host_logs", i, float(np.log(p))) for i, p in enumerate(everywhere)]
+    for by in ("declared", "suffix", "domain", "host"):
+        joined = joined.join(scratch.keep(counted(by).where(F.col(by).isNotNull())), by, "left")
+
+    def n(name: str, i: int) -> Column:
+        """Pages of the same value of which the text says language i, without this page."""
+        return F.coalesce(F.col(f"n_{name}")[i] - own(i), F.lit(0.0))
+
+    def own(i: int) -> Column:
+        return F.coalesce((F.col("said") == i).cast("double"), F.lit(0.0))
+
+    def total(name: str) -> Column:
+        return F.coalesce(F.aggregate(f"n_{name}", F.lit(0.0), lambda a, x: a + x) - F.col("said").isNotNull().cast("double"), F.lit(0.0))
+
+    logs = []
+    for i in range(m):
+        same = F.lit(everywhere[i]) - own(i)
+        prior = (same + 1) / (F.lit(sum(everywhere) + m) - F.col("said").isNotNull().cast("double"))
+        for level in ("domain", "host"):
+            prior = (n(level, i) + SMOOTH * prior) / (total(level) + SMOOTH)
+        likely = [F.when(F.col(f"n_{x}").isNotNull(), F.log((n(x, i) + 1) / (same + 1))).otherwise(0.0) for x in ("declared", "suffix")]
+        logs.append(F.col("logs")[i] + likely[0] + likely[1] + F.log(prior))
     scored = joined.withColumn("each", F.array(*logs)).withColumn("top", F.array_max("each"))
-    place = F.array_position("each", F.col("top")).cast("int")
+    names = F.array(*map(F.lit, languages))
     confidence = 1 / F.aggregate("each", F.lit(0.0), lambda a, x: a + F.exp(x - F.col("top")))
-    return scored.select("page_id", F.element_at(F.array(*map(F.lit, languages)), place).alias("lang"), confidence.alias("confidence"), F.col("said").alias("text_lang"), "declared", "host")
+    return scratch.result(scored.select("page_id", F.element_at(names, F.array_position("each", F.col("top")).cast("int")).alias("lang"), confidence.alias("confidence"), F.get(names, F.col("said")).alias("text_lang"), "declared", "host"))

@@ -1,6 +1,13 @@
 """Operator 10: the html element may stand anywhere in a page."""
 
-from markerlake.llm.langid import declared
+import time
+
+from markerlake.llm import langid
+from markerlake.llm.langid import UNTAGGED, visible
+
+
+def declared(page):
+    return langid.declared(UNTAGGED.sub(" ", page))
 
 
 def test_declared_behind_long_preambles():
@@ -16,3 +23,13 @@ def test_declared_only_by_tags_of_the_page():
     assert declared("<html><script>x = '<html lang=en>'</script><p lang=fr>") is None
     assert declared("<!-- <html lang='en'>") is None and declared("") is None
     assert declared("<html " * 200_000) is None
+
+
+def test_what_never_ends_hides_the_rest_in_linear_time():
+    assert visible(UNTAGGED.sub(" ", "a <script>b</script> c <p class='x'>d</p> 1 < 2 &amp; e <style> f")).split() == ["a", "c", "d", "1", "<", "2", "&", "e"]
+    for x in ("<script ", "<!--", "<", "</", "<a ", "<html "):
+        began = time.time()
+        page = UNTAGGED.sub(" ", x * 200_000)
+        visible(page)
+        langid.declared(page)
+        assert time.time() - began < 5

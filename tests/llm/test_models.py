@@ -1,6 +1,8 @@
 """Operators 2, 3, 5 and 10: brute force where there is one, held-out accuracy where not."""
 
+import html
 import math
+import random
 import re
 import zlib
 from collections import Counter
@@ -176,6 +178,73 @@ def test_toxicity_on_held_out_labels(spark):
     assert hit > 0.8 and false < 0.03  # some labels of the table are wrong
 
 
+def kneser_ney(seen, d=0.75):
+    """log P of each class and both orders' machinery by dictionaries: seen[c] counts words."""
+    code = lambda x: x if x < 2048 else 2048 + x % 2039
+
+    def grams(word):
+        x = [1] * 4 + [code(ord(c)) for c in word] + [2]
+        return [tuple(x[i : i + 5]) for i in range(len(x) - 4)]
+
+    tops = [Counter(), Counter()]
+    for c in (0, 1):
+        for w, n in seen[c].items():
+            for g in grams(w):
+                tops[c][g] += n
+    levels, longer = {}, set(tops[0]) | set(tops[1])
+    for order in (4, 3, 2, 1):
+        levels[order] = Counter(g[1:] for g in longer)
+        longer = set(levels[order])
+
+    def tables(counts):
+        total, off = Counter(), Counter()
+        for g, n in counts.items():
+            total[g[:-1]] += n
+            off[g[:-1]] += min(n, d)
+        return counts, total, off
+
+    shared, own = {k: tables(v) for k, v in levels.items()}, [tables(x) for x in tops]
+
+    def step(table, g, lower):
+        counts, total, off = table
+        n = total[g[:-1]]
+        return max(counts[g] - d, 0) / n + off[g[:-1]] / n * lower if n else lower
+
+    def evidence(word):
+        out = 0.0
+        for g in grams(word):
+            p = 1 / 4096
+            for order in (1, 2, 3, 4):
+                p = step(shared[order], g[-order:], p)
+            out += math.log(step(own[1], g, p)) - math.log(step(own[0], g, p))
+        return out
+
+    return evidence
+
+
+def test_toxicity_equals_dictionary_kneser_ney(spark, middle):
+    docs, labels = spark.read.parquet(f"{middle}/documents.parquet"), spark.read.parquet(f"{middle}/labels.parquet")
+    models = toxicity.train(docs, labels)
+    learned = docs.join(labels.where("toxic is not null"), "doc_id").where("text is not null and crc32(cast(doc_id as string)) % 4 <> 2 and pmod(xxhash64(doc_id, 'part'), 3) <> 0")
+    seen = [Counter(), Counter()]
+    for r in learned.select("text", "toxic").collect():
+        seen[r["toxic"]].update(w.decode().strip(toxicity.EDGES.decode()) for w in toxicity.lower_words(r["text"]))
+    evidence = kneser_ney(seen)
+    words = [*list(seen[0])[:150], *list(seen[1])[:150], "neverseenword", "", "żółćツ"]
+    assert models.evidence([w.encode() for w in words]) == pytest.approx([evidence(w) for w in words], rel=1e-9, abs=1e-9)
+    texts = [r["text"] or "" for r in docs.limit(60).collect()] + ["", "one"]
+    got = toxicity.Reader(models).features(texts)
+    for text, x in zip(texts, got):
+        bare = [w.decode().strip(toxicity.EDGES.decode()) for w in toxicity.lower_words(text)]
+        own = [(evidence(w), len(w.encode()) + 1.0) for w in bare]
+        top = sorted((e for e, _ in own), reverse=True)[:3]
+        want = [*(top + [0.0] * 3)[:3], *([max(e / n for e, n in own), sum(e for e, _ in own) / sum(n for _, n in own), math.log1p(sum(e > 3 for e, _ in own))] if own else [0.0] * 3)]
+        assert x == pytest.approx(want, rel=1e-6, abs=1e-9)
+    z = ((got - models.mean) / models.scale) @ models.weights[1:] + models.weights[0]
+    some = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert [r["score"] for r in toxicity.score(some, models).orderBy("doc_id").collect()] == pytest.approx((1 / (1 + np.exp(-z))).tolist(), abs=1e-9)
+
+
 def test_toxicity_of_odd_rows(spark, odd, empty):
     labels = spark.createDataFrame([(None, 1), (4, None), (6, 1), (7, 0), (8, 1), (8, 0), (10, 0), (11, 1), (999, 1)], "doc_id long, toxic int")
     for some in (labels, labels.where("toxic = 1"), labels.limit(0)):
@@ -195,6 +264,68 @@ def test_language_of_pages(spark, middle):
     assert np.mean(agree) > 0.9
 
 
+def fused(pages, model, smooth=20.0):
+    """The fusion by dictionaries, one page at a time: (lang, confidence) of each page."""
+    read = []
+    for url, page in pages:
+        host = (re.match(r"https?://([^/:]+)", url or "") or [None, None])[1]
+        labels = host.split(".") if host else []
+        domain = ".".join(labels[-3:] if len(labels) > 2 and len(labels[-1]) == 2 and len(labels[-2]) <= 3 else labels[-2:]) if host else None
+        bare = re.sub(r"<!--.*?-->", " ", page or "", flags=re.S)
+        tag = re.search(r"<html[^>]*\blang\s*=\s*[\"']?([A-Za-z]{2,3})", bare)
+        text = re.sub(r"<[^>]*>", " ", re.sub(r"<(script|style)\b.*?</\1>", " ", bare, flags=re.S))
+        x = langid.trigrams(html.unescape(text))
+        logs = model.logs[x].sum(axis=0) * min(1.0, langid.EFFECTIVE / max(1, len(x)))
+        letters = any(c.isalpha() for c in html.unescape(text))
+        read.append((host, domain, labels[-1] if host else None, tag[1].lower() if tag else None, logs if letters else logs * 0, int(logs.argmax()) if letters else None))
+    m, out = len(model.languages), []
+    for i, (host, domain, suffix, said_by, logs, _) in enumerate(read):
+        others = [r for j, r in enumerate(read) if j != i and r[5] is not None]
+        n = lambda place, value, lang: sum(r[place] == value and r[5] == lang for r in others)
+        seen = lambda place, value: value is not None and any(r[place] == value and r[5] is not None for r in read)
+        each = []
+        for lang in range(m):
+            same = sum(r[5] == lang for r in others)
+            prior = (same + 1) / (len(others) + m)
+            for place, value in ((1, domain), (0, host)):
+                all_ = sum(n(place, value, x) for x in range(m)) if value is not None else 0
+                prior = ((n(place, value, lang) if value is not None else 0) + smooth * prior) / (all_ + smooth)
+            more = sum(math.log((n(place, value, lang) + 1) / (same + 1)) for place, value in ((3, said_by), (2, suffix)) if seen(place, value))
+            each.append(logs[lang] + more + math.log(prior))
+        top = int(np.argmax(each))
+        out.append((model.languages[top], 1 / sum(math.exp(x - each[top]) for x in each)))
+    return out
+
+
+def test_language_fusion_equals_brute_force(spark, middle):
+    docs = spark.read.parquet(f"{middle}/documents.parquet")
+    model = langid.train(docs)
+    rows = [(r["page_id"], r["url"], r["html"]) for r in spark.read.parquet(f"{middle}/pages.parquet").limit(120).collect()]
+    text = docs.where("length(text) > 300").first()["text"]
+    rows += [(900_001, "https://a.b.co.uk/x", "<html lang='fr'>12</html>"), (900_002, "https://c.b.co.uk/", f"<html lang=fr>{text[:40]}"), (900_003, None, "<p>..."), (900_004, rows[0][1], "")]
+    got = {r["page_id"]: (r["lang"], r["confidence"]) for r in langid.identify(spark.createDataFrame(rows, "page_id long, url string, html string"), model).collect()}
+    want = fused([r[1:] for r in rows], model)
+    for (page, *_), (lang, confidence) in zip(rows, want):
+        assert got[page][0] == lang and got[page][1] == pytest.approx(confidence, rel=1e-6)
+
+
+def test_language_of_pages_built_from_held_out_texts(spark, middle):
+    docs = spark.read.parquet(f"{middle}/documents.parquet").where("text is not null and length(text) > 30")
+    model = langid.train(docs.where("doc_id % 4 <> 0"))
+    pick, rows, truth = random.Random(2), [], {}
+    for r in docs.where("doc_id % 4 = 0").collect():
+        words = r["text"].split()
+        at = pick.randrange(max(1, len(words) - 12))
+        declared = r["lang"] if pick.random() < 0.7 else pick.choice(["en", "de", ""])
+        host = f"site{pick.randrange(6)}.{r['lang'] if pick.random() < 0.6 else 'com'}"
+        rows.append((r["doc_id"], f"http://{host}/{r['doc_id']}", f"<html lang='{declared}'><p>{' '.join(words[at : at + pick.choice([1, 1, 2, 8])])}</p></html>"))
+        truth[r["doc_id"]] = r["lang"]
+    got = langid.identify(spark.createDataFrame(rows, "page_id long, url string, html string"), model).collect()
+    right = np.mean([r["lang"] == truth[r["page_id"]] for r in got])
+    alone = np.mean([r["text_lang"] == truth[r["page_id"]] for r in got])
+    assert right > 0.95 and right >= alone
+
+
 def test_language_of_odd_pages(spark, middle):
     docs = spark.read.parquet(f"{middle}/documents.parquet")
     model = langid.train(docs)

@@ -1,7 +1,9 @@
 """The pipeline's stages, one after the other."""
 
 import corpus_pipeline
-from markerlake.llm.queries import BYTE_BPE
+import test_decontaminate
+import test_neardup
+from markerlake.llm import decontaminate, pii, toxicity
 from test_tokens import bpe_brute, order
 
 
@@ -17,6 +19,50 @@ def test_stages_take_effect(spark, middle):
     assert order(final) == order(bpe_brute(rows))
 
 
+def test_stages_equal_brute_force(spark, middle):
+    """Each stage, on what the one before kept, against its operator's brute force."""
+    columns = spark.read.parquet(f"{middle}/documents.parquet").columns
+    before = [tuple(r) for r in spark.read.parquet(f"{middle}/documents.parquet").collect()]
+    frame = lambda rows: spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    assert columns == frame(before).columns
+    stages = dict(corpus_pipeline.STAGES)
+
+    def run(name):
+        return [tuple(r) for r in stages[name](spark, frame(before), middle).collect()]
+
+    docs, labels = frame(before), spark.read.parquet(f"{middle}/labels.parquet")
+    models = toxicity.train(docs, labels)
+    scores = models.score(toxicity.Reader(models).features([r[1] or "" for r in before]))
+    after = run("toxicity")
+    assert sorted(after) == sorted(r for r, x in zip(before, scores) if x < 0.3) and len(after) < len(before)
+    before = after
+    first = {i for i, _, _, kept in test_neardup.brute([r[:2] for r in before]) if kept}
+    after = run("near_duplicates")
+    assert sorted(after) == sorted(r for r in before if r[0] in first) and len(after) < len(before)
+    before = after
+    items = [(r["item_id"], decontaminate.plain_words(r["text"])) for r in spark.read.parquet(f"{middle}/benchmark.parquet").orderBy("item_id").collect()]
+    held = {d for d, _ in test_decontaminate.brute([(r[0], decontaminate.plain_words(r[1] or "")) for r in before], items)}
+    after = run("benchmark")
+    assert sorted(after) == sorted(r for r in before if r[0] not in held) and len(after) < len(before)
+    before = after
+    spans = {r["doc_id"]: r["spans"] for r in pii.find(frame(before)).collect()}  # its base against plain patterns: test_pii
+
+    def redacted(text, found):
+        out, at = "", 0
+        for s, e, k in sorted((int(s), int(e), k) for k, s, e in (x.split(":") for x in found.split(",") if x)):
+            if s >= at:
+                out += text[at:s] + f"[{k.upper()}]"
+            at = max(at, e)
+        return out + text[at:]
+
+    want = [(i, t if t is None else redacted(t, spans[i]), *r) for i, t, *r in before]
+    after = run("personal_data")
+    assert sorted(r[:4] for r in after) == sorted(r[:4] for r in want) and sum(a[1] != b[1] for a, b in zip(sorted(after), sorted(before))) > 5
+    assert all(r[4] == len(r[1]) for r in after)
+    before = after
+    assert order(run("encoding")) == order(bpe_brute([r[:2] for r in before]))
+
+
 def test_odd_rows(spark, odd, small):
     kept = odd.drop("n", "score", "key")
     for _, stage in corpus_pipeline.STAGES:

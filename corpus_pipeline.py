@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from markerlake.llm import bpe, decontaminate, neardup, pii, toxicity
-from markerlake.llm.common import new_folder, table
+from markerlake.llm.common import new_folder, remove, table
 from markerlake.llm.queries import BYTE_BPE
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -48,14 +48,18 @@ STAGES: list[tuple[str, Stage]] = [
     ("encoding", encode),
 ]
 
-#: SQL expresses neither the models nor the tokenizer: tests hold the pipeline against a brute-force version.
+#: SQL expresses neither the models nor the tokenizer: tests hold each stage against a brute-force version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """The last stage's rows over `documents`; what a stage wrote goes when the next one is written."""
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
         folder = new_folder(spark, f"stage-{name}")
         stage(spark, docs, sf_dir).write.parquet(folder)
         docs = spark.read.parquet(folder)
+        if before:
+            remove(spark, before)
+        before = folder
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -22,9 +22,11 @@ from markerlake.llm.pieces import codec
 
 AT_ONCE = 256  # documents whose range is decoded together
 BLOCK_IDS = 1 << 21  # ids after which a block ends, at the end of a document
-#: Occurrences from which a pair is worth a rule: a rule takes 12 bytes (two symbols and a length), an occurrence saves 4.
-LEAST_COUNT = 4
-SLOTS = 1 << 21
+#: Occurrences from which a pair is worth a rule: one takes 12 bytes (two symbols and a length) and must save as much again,
+#: at 4 bytes an occurrence.
+LEAST_COUNT = 6
+SLOT_BITS = 21
+MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)  # odd multipliers
 
 SCHEMA = "shard int, block int, doc_ids array<long>, lengths binary, symbols long, rules binary, expansions binary, sequence binary, n_ids long"
 
@@ -36,16 +38,27 @@ def compress(ids: np.ndarray, symbols: int, least: int = LEAST_COUNT) -> tuple[n
     occurrences touch, the more frequent pair goes first. A pair that loses too many of its occurrences to its neighbours
     waits for the next round, so every rule is used `least` times at least.
     """
-    sequence, rules, top = ids.astype(np.uint32), [np.empty((0, 2), np.uint32)], symbols
+    sequence, rules, top, exact = ids.astype(np.uint32), [np.empty((0, 2), np.uint32)], symbols, False
     while len(sequence) > 1:
-        a, b = sequence[:-1], sequence[1:]
-        slot = ((a * np.uint32(2654435761)) ^ (b * np.uint32(2246822519))) >> np.uint32(11)
-        near = np.flatnonzero((np.bincount(slot, minlength=SLOTS) >= least)[slot])  # positions whose pair may be frequent
-        pairs, which, n = np.unique((a[near].astype(np.uint64) << np.uint64(32)) | b[near], return_inverse=True, return_counts=True)
+        key = (sequence[:-1].astype(np.uint64) << np.uint64(32)) | sequence[1:]
+        slot = ((key * MIX[len(rules) % len(MIX)]) >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+        if exact:
+            near = np.flatnonzero((np.bincount(slot, minlength=1 << SLOT_BITS) >= least)[slot])  # positions whose pair may be frequent
+            pairs, which, n = np.unique(key[near], return_inverse=True, return_counts=True)
+        else:  # a slot counts one of its pairs; what shares the slot waits for a round that hashes otherwise
+            pairs = np.zeros(1 << SLOT_BITS, np.uint64)
+            pairs[slot] = key
+            near = np.flatnonzero(pairs[slot] == key)
+            which = slot[near]
+            n = np.bincount(which, minlength=1 << SLOT_BITS)
         often = n[which]
-        near, which, often = near[often >= least], which[often >= least], often[often >= least]
+        kept = often >= least
+        near, which, often = near[kept], which[kept], often[kept]
         if not len(near):
-            break
+            if exact:
+                break
+            exact = True
+            continue
         taken = apart(near, often)
         used = np.bincount(which[taken], minlength=len(pairs))
         chosen = np.flatnonzero(used >= least)
@@ -59,6 +72,7 @@ def compress(ids: np.ndarray, symbols: int, least: int = LEAST_COUNT) -> tuple[n
         number[chosen] = top + np.arange(len(chosen))
         new = number[which[taken]]
         at, new = near[taken][new >= 0], new[new >= 0]
+        exact = exact or len(at) < len(sequence) // 100
         sequence = sequence.copy()
         sequence[at] = new
         keep = np.ones(len(sequence), bool)

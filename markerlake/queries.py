@@ -357,3 +357,6 @@ def distinct_assets(spark: SparkSession, sf_dir: str) -> DataFrame:
 def image_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = r.parse_image_id(F.col("image_id"))
     return det(spark, sf_dir).groupBy("image_id", key["scene"].alias("scene"), key["camera"].alias("camera")).agg(F.count("*").alias("n"))
+
+
+from markerlake import queries_files  # noqa: E402, F401  adds its queries to those above

@@ -19,6 +19,12 @@ COCO_ANNOTATION = f"id bigint, image_id bigint, category_id bigint, segmentation
 COCO_CATEGORY = "id bigint, name string, supercategory string, keypoints array<string>, skeleton array<array<int>>"
 TELEMETRY = "timestamp double, worker_id string, telemetry struct<status:string,vram_used_mb:double,vram_total_mb:double,ram_used_mb:double,cpu_usage_percent:double,state_hash:string,uptime_seconds:double,object_count:int,active_scene_id:bigint>"
 LOG = "type string, level string, logger string, timestamp timestamp, message string, context string, payload string, event string"
+RECIPE = (
+    "scene_id bigint, world struct<background_hdri:string,texture_path:string,lights:array<struct<type:string,intensity:double>>>, "
+    "objects array<struct<type:string,name:string,location:array<double>,rotation_euler:array<double>,scale:array<double>,texture_path:string,"
+    "properties:struct<tag_family:string,tag_size:double,cols:int,rows:int,square_size:double>>>, "
+    "cameras array<struct<transform_matrix:array<array<double>>,intrinsics:struct<resolution:array<int>,k_matrix:array<array<double>>>,min_tag_pixels:double,max_tag_pixels:double>>"
+)
 CHECKSUM = "path string, sha256 string"
 
 

@@ -15,6 +15,8 @@ from markerlake.sources.folders import new_folder
 
 #: Rows and bytes in one Arrow batch: documents may hold 100,000 characters and more.
 BATCH_ROWS, BATCH_BYTES = 512, 64 << 20
+#: Bytes that a writer of intermediate tables holds before it writes them out.
+ROW_GROUP = 16 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -50,7 +52,7 @@ def stored(df: DataFrame, name: str, rows_a_file: int = 0) -> tuple[DataFrame, s
     spark = df.sparkSession
     folder = new_folder(spark, name)
     with clean_shuffles(spark):
-        df.write.option("compression", "none").option("maxRecordsPerFile", rows_a_file).parquet(folder)
+        df.write.option("compression", "none").option("maxRecordsPerFile", rows_a_file).option("parquet.block.size", ROW_GROUP).parquet(folder)
     return spark.read.schema(df.schema).parquet(folder), folder
 
 
@@ -70,7 +72,7 @@ class Scratch:
         """The same rows with their lineage cut and their shuffle files gone."""
         folder = new_folder(self.spark, self.name)
         with clean_shuffles(self.spark):
-            df.write.option("compression", "zstd").parquet(folder)
+            df.write.option("compression", "zstd").option("parquet.block.size", ROW_GROUP).parquet(folder)
         self.folders.append(folder)
         return self.spark.read.schema(df.schema).parquet(folder)
 
@@ -103,7 +105,12 @@ def importable(spark: SparkSession) -> None:
 def arrow_map(df: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     small_batches(df.sparkSession)
     importable(df.sparkSession)
-    return df.mapInArrow(work, schema)
+
+    def tidy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from work(batches)
+        pa.default_memory_pool().release_unused()  # workers wait for their next task for a while
+
+    return df.mapInArrow(tidy, schema)
 
 
 def texts(batch: pa.RecordBatch, name: str = "text") -> list[str]:

@@ -30,6 +30,7 @@ HASHES = BANDS * ROWS
 PERCENT = 75  # least share of the union, in hundredths
 LEAST_ESTIMATE = 0.55  # more than 4 standard errors below 0.75
 SMALL, BLOCK = 24, 4096  # members of a bucket that is paired by a join; of a block otherwise
+KEPT_WORDS = 100_000  # words whose hashes a task keeps
 SENT_IDS = 2_000_000  # ids, of 8 bytes, that are sent to every task at most
 MOST_PIVOTS = 50_000  # rows of the list of pivots that have too many partners for one task
 
@@ -69,7 +70,7 @@ class Shingler:
                 value *= BASE
                 value += h[i : n + i]
             out.append(np.unique(mixed(value)))
-        if len(self.hash_of) > 400_000:
+        if len(self.hash_of) > KEPT_WORDS:
             self.hash_of.clear()
         return out
 

@@ -26,6 +26,7 @@ THRESHOLD = 0.3
 #: Labelled rows of each class that the models and the curve learn from: a bounded sample, by hash of doc_id.
 TOXIC_ROWS, ORDINARY_ROWS = 8_000, 16_000
 FEATURES = 6
+KEPT_WORDS = 120_000  # words whose evidence a task keeps
 EDGES = bytes(range(33, 48)) + bytes(range(58, 65)) + bytes(range(91, 97)) + bytes(range(123, 127))  # ASCII punctuation
 
 
@@ -137,7 +138,7 @@ class Reader:
                 out[i, 3] = (pairs[:, 0] / pairs[:, 1]).max()
                 out[i, 4] = pairs[:, 0].sum() / pairs[:, 1].sum()
                 out[i, 5] = np.log1p((pairs[:, 0] > 3).sum())
-        if len(known) > 300_000:
+        if len(known) > KEPT_WORDS:
             known.clear()
         return out
 

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
+import sys
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from pathlib import Path
@@ -106,11 +109,20 @@ def arrow_map(df: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], Iterator
     small_batches(df.sparkSession)
     importable(df.sparkSession)
 
-    def tidy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    return df.mapInArrow(tidy(work), schema)
+
+
+def tidy(work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The same work, after which the worker gives the memory back that it has freed: it waits for its next task for a while."""
+
+    def both(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from work(batches)
-        pa.default_memory_pool().release_unused()  # workers wait for their next task for a while
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        if sys.platform == "linux":
+            ctypes.CDLL(None).malloc_trim(0)
 
-    return df.mapInArrow(tidy, schema)
+    return both
 
 
 def texts(batch: pa.RecordBatch, name: str = "text") -> list[str]:
@@ -139,4 +151,4 @@ def keep_rows(df: DataFrame, make: Callable[[], Callable[[list[str]], list[bool]
 
     small_batches(df.sparkSession)
     importable(df.sparkSession)
-    return df.mapInArrow(work, df.schema)
+    return df.mapInArrow(tidy(work), df.schema)

@@ -36,18 +36,18 @@ def lower_words(text: str) -> list[bytes]:
 
 def grams(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Keys of all grams of order 5 of words, each framed by pads and an end; where each word's grams begin."""
-    codes, sizes = [], np.empty(len(words), np.int64)
-    for i, word in enumerate(words):
-        x = np.frombuffer(word.decode("utf-8", "replace").encode("utf-32-le", "surrogatepass"), "<u4")
-        codes += [(PAD,) * (ORDER - 1), x, (LAST,)]
-        sizes[i] = len(x) + 1
-    flat = np.concatenate(codes).astype(np.uint64) if codes else np.empty(0, np.uint64)
-    flat = np.where(flat < 2048, flat, 2048 + flat % np.uint64(2039))
-    key = flat.copy()
+    if not words:
+        return np.empty(0, np.uint64), np.empty(0, np.int64)
+    text = b"\n".join(words) + b"\n"  # no word holds white space
+    flat = np.frombuffer(text.decode("utf-8", "replace").encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+    ends = flat == ord("\n")
+    sizes = np.diff(np.flatnonzero(ends), prepend=-1)
+    at = np.arange(len(flat)) + (ORDER - 1) * (np.cumsum(ends) - ends + 1)
+    key = np.full(at[-1] + 1, PAD, np.uint64)
+    key[at] = np.where(ends, LAST, np.where(flat < 2048, flat, 2048 + flat % np.uint64(2039)))
+    framed = key.copy()
     for i in range(1, ORDER):
-        key[i:] |= flat[:-i] << np.uint64(BITS * i)
-    begins = np.cumsum(sizes + ORDER - 1) - sizes
-    at = np.repeat(begins - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
+        key[i:] |= framed[:-i] << np.uint64(BITS * i)
     return key[at], np.cumsum(sizes) - sizes
 
 
@@ -76,17 +76,20 @@ class Models:
     def evidence(self, words: list[bytes]) -> np.ndarray:
         """Of each word: log-likelihood by the toxic less that by the ordinary model."""
         keys, begins = grams(words)
-        p = np.full(len(keys), 1 / 4096.0)
-        for order in range(1, ORDER):
-            p = self.step(order, keys, p, self.share[order - 1], self.left[order - 1])
-        both = [np.log(self.step(ORDER, keys, p, self.share[-1][c], self.left[-1][c])) for c in (1, 0)]
-        return np.add.reduceat(both[0] - both[1], begins) if len(keys) else np.empty(0)
-
-    def step(self, order: int, keys: np.ndarray, p: np.ndarray, share: np.ndarray, left: np.ndarray) -> np.ndarray:
+        keys, of = np.unique(keys, return_inverse=True)
+        p = np.full((1, len(keys)), 1 / 4096.0)
+        for order in range(1, ORDER + 1):
+            p = self.step(order, keys, p)
+        return np.add.reduceat((np.log(p[1]) - np.log(p[0]))[of], begins) if len(keys) else np.empty(0)
+
+    def step(self, order: int, keys: np.ndarray, p: np.ndarray) -> np.ndarray:
+        """Probabilities of sorted grams at an order from those at the one below; at the highest, a row for each class."""
+        share, left = np.atleast_2d(self.share[order - 1]), np.atleast_2d(self.left[order - 1])
+        if not share.size:
+            return np.broadcast_to(p, (len(share), len(keys)))
         at, known = self.find(self.keys[order - 1], low(keys, order))
         in_context, seen = self.find(self.context[order - 1], low(keys, order) >> np.uint64(BITS))
-        own = np.where(known, share[at], 0.0) if len(share) else np.zeros(len(keys))
-        return own + np.where(seen, left[in_context], 1.0) * p if len(left) else own + p
+        return np.where(known, share[:, at], 0.0) + np.where(seen, left[:, in_context], 1.0) * p
 
     def score(self, features: np.ndarray) -> np.ndarray:
         z = ((features - self.mean) / self.scale) @ self.weights[1:] + self.weights[0]
@@ -117,29 +120,39 @@ def build(keys: np.ndarray, counts: np.ndarray) -> Models:
 
 
 class Reader:
-    """Features of texts under the models; the evidence of words is kept in a bounded dictionary."""
+    """Features of texts under the models; the evidence of words is kept in bounded arrays."""
 
     def __init__(self, models: Models) -> None:
-        self.models, self.known = models, {}
+        self.models = models
+        self.clear()
+
+    def clear(self) -> None:
+        self.place: dict[bytes, int] = {}
+        self.evidence, self.length = np.empty(0), np.empty(0)
+
+    def learn(self, words: list[bytes]) -> None:
+        bare = [w.strip(EDGES) for w in words]
+        self.place.update(zip(words, range(len(self.place), len(self.place) + len(words)), strict=True))
+        self.evidence = np.concatenate([self.evidence, self.models.evidence(bare)])
+        self.length = np.concatenate([self.length, [len(w) + 1.0 for w in bare]])
 
     def features(self, some: list[str]) -> np.ndarray:
         found = [lower_words(x) for x in some]
-        known = self.known
-        new = list({w for words in found for w in words if w not in known})
+        new = list(set().union(*found) - self.place.keys())
         for i in range(0, len(new), 20_000):
-            bare = [w.strip(EDGES) for w in new[i : i + 20_000]]
-            known.update(zip(new[i : i + 20_000], zip(self.models.evidence(bare).tolist(), [len(w) + 1.0 for w in bare], strict=True), strict=True))
+            self.learn(new[i : i + 20_000])
         out = np.zeros((len(some), FEATURES))
         for i, words in enumerate(found):
             if words:
-                pairs = np.array([known[w] for w in words])
-                top = np.sort(np.partition(pairs[:, 0], -min(3, len(words)))[-min(3, len(words)) :])[::-1]
+                at = np.fromiter(map(self.place.__getitem__, words), np.int64, len(words))
+                evidence, length = self.evidence[at], self.length[at]
+                top = np.sort(np.partition(evidence, -min(3, len(words)))[-min(3, len(words)) :])[::-1]
                 out[i, : len(top)] = top
-                out[i, 3] = (pairs[:, 0] / pairs[:, 1]).max()
-                out[i, 4] = pairs[:, 0].sum() / pairs[:, 1].sum()
-                out[i, 5] = np.log1p((pairs[:, 0] > 3).sum())
-        if len(known) > KEPT_WORDS:
-            known.clear()
+                out[i, 3] = (evidence / length).max()
+                out[i, 4] = evidence.sum() / length.sum()
+                out[i, 5] = np.log1p((evidence > 3).sum())
+        if len(self.place) > KEPT_WORDS:
+            self.clear()
         return out
 
 

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from markerlake.llm import bpe, decontaminate, divergence, katz, langid, neardup, pii, repair, spelling, token_counts, topk, toxicity
+from markerlake.llm import bpe, decontaminate, divergence, katz, langid, neardup, pages, pii, repair, spelling, token_counts, topk, toxicity
 from markerlake.llm.common import table
 
 #: Where the tokenizers' files are on every machine; a parameter of the operators, set here for the queries.
@@ -62,6 +62,10 @@ def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(table(spark, sf_dir, "documents"))
 
 
+def op12_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages.extract(table(spark, sf_dir, "pages"))
+
+
 def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variants(table(spark, sf_dir, "documents"))
 
@@ -78,6 +82,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_pii": op9_pii,
     "op10_language": op10_language,
     "op11_divergence": op11_divergence,
+    "op12_main_text": op12_main_text,
     "op13_spelling": op13_spelling,
 }
 

@@ -58,6 +58,7 @@ def test_matches_all_pairs(spark):
             at = pick.randrange(len(w))
             some.append(pick.choice([w[:at] + w[at + 1 :], w[:at] + pick.choice("abé") + w[at:], w[:at] + "ö" + w[at + 1 :]]))
         rows.append((i, " ".join(some).upper() if i % 3 else ", ".join(some)))
+    rows.append((500, "alphabet " * 40 + "alphabez " * 12 + "alphabzz " * 4 + "lphabzz " * 4))
     got = found(spark.createDataFrame([(*r, "x", "y", "z") for r in rows], ROWS))
     assert got == brute(rows) and any(r[1] for r in got) and any(r[2] != r[1] for r in got if r[1])
 

@@ -13,6 +13,9 @@ from markerlake.sources import files, sinks
 from markerlake.sources.folders import new_folder
 
 
+SHARD_ROWS = 500  # rows of a shard: there are more shards where a table is larger
+
+
 def written(spark: SparkSession, name: str, write) -> str:
     """A new folder, with what a sink has written into it."""
     folder = new_folder(spark, name)
@@ -24,7 +27,7 @@ def sharded(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Detections in shards, with margins of their own, and metadata that once held the board."""
     seq = F.col("seq")
     board = F.lit('{"board_definition": {"type": "charuco", "rows": 5, "cols": 7}, "source": "old"}')
-    return det(spark, sf_dir).select("image_id", "tag_id", "tag_family", "record_type", "corners", "distance", "resolution", (seq % 3 * 10).cast("int").alias("eval_margin_px"), F.when(F.col("record_type") == "BOARD", board).alias("metadata"), F.lit(None).cast("array<array<double>>").alias("keypoints"), (seq % 16).alias("shard"), "seq")
+    return det(spark, sf_dir).select("image_id", "tag_id", "tag_family", "record_type", "corners", "distance", "resolution", (seq % 3 * 10).cast("int").alias("eval_margin_px"), F.when(F.col("record_type") == "BOARD", board).alias("metadata"), F.lit(None).cast("array<array<double>>").alias("keypoints"), F.floor(seq / SHARD_ROWS).alias("shard"), "seq")
 
 
 SEEN = " + ".join(f"CASE WHEN x{i} >= m AND x{i} < 1920 - m AND y{i} >= m AND y{i} < 1080 - m THEN 1 ELSE 0 END" for i in range(1, 5))
@@ -41,7 +44,7 @@ def source_rich_truth(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(found.select(F.col("velocity")[0].cast("bigint").alias("seq"), "image_id", "tag_id", "record_type", "distance", visible.alias("visible"), "eval_complete", board["type"].alias("board"), (board["rows"] * board["cols"]).alias("squares")))
 
 
-@query(f"WITH {SQL} SELECT seq % 16 AS shard, CAST(max(CASE WHEN seq % 3 = 0 THEN 5 ELSE seq % 3 * 10 END) AS INTEGER) AS margin, 'ternary_visibility' AS policy FROM det WHERE seq % 2 = 0 GROUP BY 1 UNION ALL SELECT DISTINCT seq % 16, NULL, NULL FROM det WHERE seq % 2 = 1")
+@query(f"WITH {SQL} SELECT seq // {SHARD_ROWS} AS shard, CAST(max(CASE WHEN seq % 3 = 0 THEN 5 ELSE seq % 3 * 10 END) AS INTEGER) AS margin, 'ternary_visibility' AS policy FROM det WHERE seq // {SHARD_ROWS} % 2 = 0 GROUP BY 1 UNION ALL SELECT DISTINCT seq // {SHARD_ROWS}, NULL, NULL FROM det WHERE seq // {SHARD_ROWS} % 2 = 1")
 def source_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = sharded(spark, sf_dir).drop("seq")
     folders = [written(spark, "context", lambda f, v=v: sinks.rich_truth(rows.where(F.col("shard") % 2 == v), f, 5, envelope=v == 0)) for v in (0, 1)]
@@ -49,18 +52,54 @@ def source_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.regexp_extract("file", "shard=([0-9]+)", 1).cast("bigint").alias("shard"), F.col("photometric_margin_px").alias("margin"), F.col("truncation_policy").alias("policy"))
 
 
-@query(f"WITH {SQL} SELECT image_id AS image, tag_family AS category, tag_id, round(x1, 4) AS x1, round(y1, 4) AS y1, round(x3, 4) AS x3, round(y3, 4) AS y3 FROM det")
-def source_coco(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = sharded(spark, sf_dir).drop("seq", "metadata")
-    found = files.coco(spark, written(spark, "coco", lambda f: sinks.coco(rows, f)))
-    tag = F.get_json_object("attributes", "$.tag_id").cast("bigint")
-    return rounded(found.select("image", "category", tag.alias("tag_id"), *(F.col("corners")[i][j].alias(f"{'xy'[j]}{i + 1}") for i in (0, 2) for j in (0, 1))), 4)
+#: Quads that turn round their centre by seq, so that box, area and outline differ.
+TURNED_SQL = SQL + f""", turned AS (
+    SELECT *, cx + h * cos(radians(seq % 90)) AS u1, cy + h * sin(radians(seq % 90)) AS v1, cx - h * sin(radians(seq % 90)) AS u2, cy + h * cos(radians(seq % 90)) AS v2,
+        cx - h * cos(radians(seq % 90)) AS u3, cy - h * sin(radians(seq % 90)) AS v3, cx + h * sin(radians(seq % 90)) AS u4, cy - h * cos(radians(seq % 90)) AS v4, CASE WHEN seq % 7 = 0 THEN 1280 ELSE 1920 END AS wide
+    FROM det
+)"""
+
+
+def turned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The shards with turned quads, two resolutions in an image, and a key point for every third row."""
+    a = F.radians((F.col("seq") % 90).cast("double"))
+    c = F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: F.array(F.col("cx") + F.col("h") * F.cos(a + i * F.lit(1.5707963267948966)), F.col("cy") + F.col("h") * F.sin(a + i * F.lit(1.5707963267948966))))
+    middle = F.when(F.col("seq") % 3 == 0, F.array(F.array("cx", "cy"), F.array(F.lit(-1.0), F.lit(-1.0))))
+    rows = det(spark, sf_dir).withColumns({"corners": c, "keypoints": middle, "resolution": F.array(F.when(F.col("seq") % 7 == 0, 1280).otherwise(1920), F.lit(1080))})
+    seq, extra = F.col("seq"), F.to_json(F.struct(F.col("tag_id").alias("tag_id"), F.struct((F.col("seq") % 5).alias("n")).alias("nested")))
+    return rows.select("image_id", "tag_id", "tag_family", "record_type", "corners", "keypoints", "distance", "resolution", (seq % 3 * 10).cast("int").alias("eval_margin_px"), extra.alias("metadata"), F.floor(seq / SHARD_ROWS).alias("shard"), "seq")
 
 
-@query(f"WITH {SQL} SELECT image_id, tag_id, tag_family, record_type, " + ", ".join(f"round(least(greatest({c}{i}, 0), {m}), 4) AS {c}{i}" for i in range(1, 5) for c, m in (("x", 1920), ("y", 1080))) + " FROM det")
+INSIDE = " + ".join(f"CASE WHEN u{i} >= m AND u{i} < wide - m AND v{i} >= m AND v{i} < 1080 - m THEN 1 ELSE 0 END" for i in range(1, 5))
+
+
+@query(f"""WITH {TURNED_SQL}, k AS (SELECT *, seq % 3 * 10 AS m FROM turned)
+SELECT seq, image_id AS image, tag_family AS category, tag_id, round(u1, 4) AS x1, round(v1, 4) AS y1, round(u3, 4) AS x3, round(v3, 4) AS y3, round(2 * h * h, 3) AS area,
+    round(least(u1, u2, u3, u4), 4) AS box_x, round(greatest(v1, v2, v3, v4) - least(v1, v2, v3, v4), 4) AS box_h, round(greatest(0, least(wide, u1)), 4) AS outline_x,
+    CAST({INSIDE} + CASE WHEN seq % 3 = 0 AND cx >= m AND cx < wide - m AND cy >= m AND cy < 1080 - m THEN 1 ELSE 0 END AS INTEGER) AS visible,
+    CASE WHEN seq % 3 = 0 THEN 18 ELSE 12 END AS numbers, 1920 AS width, seq % 5 AS nested FROM k""".replace("1920 AS width", f"(SELECT max(wide) FROM turned o WHERE o.image_id = k.image_id AND o.seq // {SHARD_ROWS} = k.seq // {SHARD_ROWS}) AS width"))
+def source_coco(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """COCO shards of turned quads, read again: boxes, areas, outlines, key points, attributes with their types."""
+    folder = written(spark, "coco", lambda f: sinks.coco(turned(spark, sf_dir), f))
+    found = files.coco(spark, folder, ("bbox", "area", "segmentation", "keypoints", "num_keypoints", "width"))
+    own = F.from_json("attributes", "tag_id bigint, seq bigint, nested struct<n:bigint>")
+    corner = lambda i, j: F.col("corners")[i][j].alias(f"{'xy'[j]}{i + 1}")
+    rows = found.select(
+        own["seq"].alias("seq"), "image", "category", own["tag_id"].alias("tag_id"), *(corner(i, j) for i in (0, 2) for j in (0, 1)), F.round("area", 3).alias("area"), F.col("bbox")[0].alias("box_x"),
+        F.col("bbox")[3].alias("box_h"), F.col("segmentation")[0][0].alias("outline_x"), F.col("num_keypoints").alias("visible"), F.size("keypoints").alias("numbers"), "width", own["nested"]["n"].alias("nested"),
+    )
+    return rounded(rows, 4)
+
+
+@query(f"WITH {SQL} SELECT image_id, tag_id, tag_family, record_type, " + ", ".join(f"round(least(greatest({c}{i}, 0), {m}), 4) AS {c}{i}" for i in range(1, 5) for c, m in (("x", 1920), ("y", 1080))) + ", CASE WHEN seq % 2 = 0 THEN 100.0 END AS tag_size_mm FROM det")
 def source_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = files.flat_csv(spark, written(spark, "csv", lambda f: sinks.flat_csv(det(spark, sf_dir), f)))
-    return found.select("image_id", "tag_id", "tag_family", "record_type", *(F.col("corners")[i][j].alias(f"{'xy'[j]}{i + 1}") for i in range(4) for j in range(2)))
+    """Flat tables of both headers in one folder, read by their columns' names."""
+    rows = det(spark, sf_dir)
+    folder = written(spark, "csv", lambda f: sinks.flat_csv(rows.where("seq % 2 = 0"), f"{f}/new"))
+    numbers = [F.least(F.greatest(F.col("corners")[i][j], F.lit(0.0)), F.col("resolution")[j]).alias(f"{'xy'[j]}{i + 1}") for i in range(4) for j in range(2)]
+    rows.where("seq % 2 = 1").select("tag_id", *numbers, "tag_family", "image_id", "record_type").select("image_id", "tag_id", "tag_family", *(f"{'xy'[j]}{i + 1}" for i in range(4) for j in range(2)), "record_type").write.csv(f"{folder}/old", header=True)
+    found = files.flat_csv(spark, [f"{folder}/new", f"{folder}/old"])
+    return found.select("image_id", "tag_id", "tag_family", "record_type", *(F.col("corners")[i][j].alias(f"{'xy'[j]}{i + 1}") for i in range(4) for j in range(2)), "tag_size_mm")
 
 
 @query("SELECT CASE event_id % 3 WHEN 0 THEN 'INFO' WHEN 1 THEN 'WARNING' ELSE 'ERROR' END AS level, count(*) AS n, CAST(sum(event_id) AS BIGINT) AS total FROM events WHERE event_id % 10 <> 0 AND event_id % 7 <> 0 GROUP BY 1")
@@ -93,10 +132,10 @@ def sink_quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.text(written(spark, "quarantine", lambda f: sinks.quarantine(outcome, f))).agg(F.count("*").alias("lines"))
 
 
-@query("SELECT c_nationkey AS shard, sha256(c_nationkey || ':' || string_agg(c_custkey, ',' ORDER BY c_custkey) || chr(10)) AS sha256, CASE WHEN c_nationkey % 5 = 0 THEN 'missing' WHEN c_nationkey % 7 = 0 THEN 'tampered' ELSE 'ok' END AS status FROM customer GROUP BY c_nationkey")
+@query("SELECT c_custkey // 50 AS shard, sha256(c_custkey // 50 || ':' || string_agg(c_custkey, ',' ORDER BY c_custkey) || chr(10)) AS sha256, CASE WHEN c_custkey // 50 % 5 = 0 THEN 'missing' WHEN c_custkey // 50 % 7 = 0 THEN 'tampered' ELSE 'ok' END AS status FROM customer GROUP BY c_custkey // 50")
 def sink_checksums(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Files' sums, then the files against a manifest of which some have gone and some have changed."""
-    rows = read(spark, sf_dir, "customer").groupBy(F.col("c_nationkey").alias("shard")).agg(F.concat_ws(":", F.col("shard").cast("string"), F.array_join(F.transform(F.array_sort(F.collect_list("c_custkey")), lambda x: x.cast("string")), ",")).alias("value"))
+    rows = read(spark, sf_dir, "customer").groupBy(F.floor(F.col("c_custkey") / 50).alias("shard")).agg(F.concat_ws(":", F.col("shard").cast("string"), F.array_join(F.transform(F.array_sort(F.collect_list("c_custkey")), lambda x: x.cast("string")), ",")).alias("value"))
     manifest = sinks.checksums(spark, written(spark, "files", lambda f: rows.write.partitionBy("shard").text(f)), "*.txt")
     shard = F.regexp_extract("path", "shard=([0-9]+)", 1).cast("bigint")
     manifest = manifest.select(shard.alias("path"), "sha256")
@@ -126,12 +165,12 @@ def scene_recipes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scenes.recipes(read(spark, sf_dir, "orders"), read(spark, sf_dir, "lineitem"))
 
 
-@query("SELECT o_orderkey AS scene_id, CAST(floor(o_totalprice) AS BIGINT) % 100 + 1.5 AS intensity, CAST(count(l_orderkey) AS INTEGER) AS tags, CAST(o_orderkey % 3 AS INTEGER) AS cameras FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey WHERE o_orderkey % 10 < 5 GROUP BY o_orderkey, o_totalprice")
+@query("SELECT o_orderkey AS scene_id, CAST(floor(o_totalprice) AS BIGINT) % 100 + 1.5 AS intensity, CAST(count(l_orderkey) AS INTEGER) AS tags, CAST(o_orderkey % 3 AS INTEGER) AS cameras FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_orderkey, o_totalprice")
 def source_recipes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Recipes written as arrays of a shard's scenes, and as single objects, and read again."""
-    rows = scene_recipes(spark, sf_dir).where("scene_id % 10 < 5")
-    lists = rows.where("scene_id % 500 > 0").groupBy((F.col("scene_id") % 8).alias("shard")).agg(F.to_json(F.collect_list(F.struct(*rows.columns))).alias("value"))
-    singles = rows.where("scene_id % 500 = 0").select(F.to_json(F.struct(*rows.columns)).alias("value"))
+    rows = scene_recipes(spark, sf_dir)
+    lists = rows.where("scene_id % 250 > 0").groupBy(F.floor(F.col("scene_id") / SHARD_ROWS).alias("shard")).agg(F.to_json(F.collect_list(F.struct(*rows.columns))).alias("value"))
+    singles = rows.where("scene_id % 250 = 0").select(F.to_json(F.struct(*rows.columns)).alias("value"))
     folder = written(spark, "recipes", lambda f: lists.write.partitionBy("shard").text(f"{f}/lists"))
     singles.repartition("value").write.option("maxRecordsPerFile", 1).text(f"{folder}/singles")
     found = files.recipes(spark, [f"{folder}/lists", f"{folder}/singles"])

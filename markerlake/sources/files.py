@@ -2,22 +2,33 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from markerlake import schema
 from markerlake.functions import records
 
-FLAT = "image_id string, tag_id bigint, tag_family string, record_type string, " + ", ".join(f"{c}{i} double" for i in range(1, 5) for c in "xy")
+#: Columns of flat tables that aren't numbers, and what stands for those that a table lacks.
+FLAT_TEXT = {"image_id": "string", "tag_id": "bigint", "tag_family": "string", "record_type": "string", "is_mirrored": "int"}
+NUMBERS = r"[xy][0-9]+|kp[0-9]+_[xy]|tag_size_mm|ppm"
+FLAT_DEFAULT = {"record_type": "TAG", "is_mirrored": 0}
 BOARD_OF_OLD = f"struct<board_definition:{schema.BOARD}>"
 
 
 def documents(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """file, value: whole text files, which hold one JSON value each, of one folder or several."""
-    each = [spark.read.text(x, wholetext=True).select(F.input_file_name().alias("file"), "value") for x in ([path] if isinstance(path, str) else path)]
-    return reduce(DataFrame.unionByName, each)
+    """file, value: whole text files, which hold one JSON value each, of one folder or several; an empty file too has its
+    row, with an empty value."""
+    found = []
+    for x in [path] if isinstance(path, str) else path:
+        rows = spark.read.format("binaryFile").load(x)
+        found.append(rows.select(F.col("path").alias("file"), F.col("content").cast("string").alias("value")))
+        # Scans skip files without bytes; the driver has listed them all to plan the scan.
+        listed = spark.createDataFrame([(re.sub("^file:/+", "file:/", f),) for f in rows.inputFiles()], "file string")
+        found.append(listed.join(rows.select(F.col("path").alias("file")), "file", "left_anti").select("file", F.lit("").alias("value")))
+    return reduce(DataFrame.unionByName, found)
 
 
 def is_object(value: Column) -> Column:
@@ -27,20 +38,30 @@ def is_object(value: Column) -> Column:
 def unwrap(value: Column, kind: str) -> Column:
     """The array of a document: the document itself, or `records` of an envelope (none if it has no records).
 
-    What parses as neither is null.
+    What doesn't parse as either, whole, is null.
     """
-    inside = F.get_json_object(value, "$.records")
-    wrapped = F.when(inside.isNull() & F.from_json(value, "map<string,string>").isNotNull(), F.array().cast(kind)).otherwise(F.from_json(inside, kind))
+    whole = F.from_json(value, "map<string,string>")
+    wrapped = F.when(whole.isNotNull(), F.coalesce(F.from_json(F.try_element_at(whole, F.lit("records")), kind), F.when(F.try_element_at(whole, F.lit("records")).isNull(), F.array().cast(kind))))
     return F.when(is_object(value), wrapped).otherwise(F.from_json(value, kind))
 
 
-def rich_truth(spark: SparkSession, path: str | list[str]) -> DataFrame:
+def or_fail(found: Column, broken: str) -> Column:
+    """The parsed value; where there is none, an error that names the file, or null if broken files are kept."""
+    if broken not in ("fail", "keep"):
+        raise ValueError(f"broken files either fail or are kept, not {broken}")
+    return found if broken == "keep" else F.coalesce(found, F.raise_error(F.concat(F.lit("no valid JSON in "), "file")).cast("void"))
+
+
+def rich_truth(spark: SparkSession, path: str | list[str], broken: str = "fail") -> DataFrame:
     """Detections of both versions of the format: file, place in it, all columns of schema.DETECTION, `valid`.
 
     A board definition that older files keep in the metadata moves to its column. Records without an image id or corners
-    aren't valid; they stay, so that a caller can set them aside or fail.
+    aren't valid; they stay, so that a caller can set them aside or fail. A file that isn't whole JSON is an error; with
+    broken="keep" it is a row without a place, not valid.
     """
-    rows = documents(spark, path).select("file", F.posexplode(unwrap(F.col("value"), f"array<struct<{as_struct(schema.DETECTION)}>>")).alias("place", "r")).select("file", "place", "r.*")
+    parsed = or_fail(unwrap(F.col("value"), f"array<struct<{as_struct(schema.DETECTION)}>>"), broken)
+    each = documents(spark, path).select("file", parsed.alias("found"))
+    rows = each.select("file", F.posexplode_outer("found").alias("place", "r"), F.col("found").isNull().alias("broken")).where("broken or place is not null").select("file", "place", "r.*")
     old = F.from_json("metadata", BOARD_OF_OLD)["board_definition"]
     rows = rows.withColumn("board_definition", F.coalesce("board_definition", old))
     return rows.withColumn("valid", F.col("image_id").isNotNull() & F.col("corners").isNotNull())
@@ -53,30 +74,64 @@ def as_struct(columns: str) -> str:
     return StructType.fromDDL(columns).simpleString().removeprefix("struct<").removesuffix(">")
 
 
-def contexts(spark: SparkSession, path: str | list[str]) -> DataFrame:
+def contexts(spark: SparkSession, path: str | list[str], broken: str = "fail") -> DataFrame:
     """file, photometric_margin_px, truncation_policy: an envelope's evaluation context, nulls for bare arrays."""
-    found = F.from_json(F.get_json_object("value", "$.evaluation_context"), schema.CONTEXT)
-    return documents(spark, path).select("file", F.when(is_object(F.col("value")), found).alias("c")).select("file", "c.*")
+    whole = F.when(is_object(F.col("value")), or_fail(F.from_json("value", "map<string,string>"), broken))
+    return documents(spark, path).select("file", F.from_json(F.try_element_at(whole, F.lit("evaluation_context")), schema.CONTEXT).alias("c")).select("file", "c.*")
 
 
-def coco(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """image (stem of its file's name), category, corners of annotations; those of unknown images are left out.
+def coco(spark: SparkSession, path: str | list[str], more: tuple[str, ...] = (), broken: str = "fail") -> DataFrame:
+    """file, image (stem of its file's name), id, category, corners, attributes of annotations, and what `more` names of
+    their other fields and their image's width and height; annotations of unknown images are left out.
 
-    Corners come from the first four key points, else from the box.
+    Corners come from the first four key points, else from the box. Each file is read and parsed once.
     """
-    value = documents(spark, path)
-    part = lambda name, kind: value.select("file", F.explode(F.from_json(F.get_json_object("value", f"$.{name}"), f"array<struct<{as_struct(kind)}>>")).alias("x")).select("file", "x.*")
-    images = part("images", schema.COCO_IMAGE).select("file", F.col("id").alias("image_id"), F.regexp_extract("file_name", r"([^/]*?)(?:\.[^./]*)?$", 1).alias("image"))
-    categories = part("categories", schema.COCO_CATEGORY).select("file", F.col("id").alias("category_id"), F.col("name").alias("category"))
-    found = part("annotations", schema.COCO_ANNOTATION).join(images, ["file", "image_id"]).join(categories, ["file", "category_id"], "left")
-    return found.select("file", "image", "id", "category", records.corners_from_coco(F.col("keypoints"), F.col("bbox")).alias("corners"), "attributes")
+    lists = {n: f"array<struct<{as_struct(k)}>>" for n, k in (("images", schema.COCO_IMAGE), ("categories", schema.COCO_CATEGORY), ("annotations", schema.COCO_ANNOTATION))}
+    whole = or_fail(F.from_json("value", "map<string,string>"), broken)
+    parts = documents(spark, path).select("file", whole.alias("w")).select("file", *(F.from_json(F.try_element_at("w", F.lit(n)), k).alias(n) for n, k in lists.items()))
+    # an annotation meets its image and its category by sorting a shard's parts together, not by a search for each
+    kinds = F.concat(
+        F.coalesce(F.transform("images", lambda x: F.struct(x["id"].alias("image_id"), F.lit(0).alias("kind"), x.alias("image"), F.lit(None).cast(lists["annotations"][6:-1]).alias("a"))), F.array()),
+        F.coalesce(F.transform("annotations", lambda x: F.struct(x["image_id"].alias("image_id"), F.lit(1).alias("kind"), F.lit(None).cast(lists["images"][6:-1]).alias("image"), x.alias("a"))), F.array()),
+    )
+    named = F.map_from_entries(F.transform(F.coalesce("categories", F.array()), lambda c: F.struct(c["id"], c["name"])))
+    rows = parts.select("file", F.explode(kinds).alias("k"), named.alias("names")).select("file", "names", "k.*")
+    rows = rows.withColumn("image", F.first("image", ignorenulls=True).over(Window.partitionBy("file", "image_id").orderBy("kind")))
+    found = rows.where("kind = 1 and image is not null").select("file", F.regexp_extract("image.file_name", r"([^/]*?)(?:\.[^./]*)?$", 1).alias("image_name"), F.try_element_at("names", F.col("a.category_id")).alias("category"), "image.width", "image.height", "a.*")
+    return found.select("file", F.col("image_name").alias("image"), "id", "category", records.corners_from_coco(F.col("keypoints"), F.col("bbox")).alias("corners"), "attributes", *more)
 
 
 def flat_csv(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """Detections of flat tables: corners from x1 .. y4, all taken as visible."""
-    rows = spark.read.schema(FLAT).csv(path, header=True)
-    corners = F.array(*(F.array(f"x{i}", f"y{i}") for i in range(1, 5)))
-    return rows.select("image_id", "tag_id", "tag_family", "record_type", corners.alias("corners"), F.array_repeat(F.lit(2).cast("tinyint"), 4).alias("corners_visibility"))
+    """Detections of flat tables, old and new: columns are taken by the names in each file's header.
+
+    Corners are x1, y1, x2, .. as far as they go, all taken as visible; key points kp1_x, kp1_y, ... A column that a
+    file lacks is null, but record_type is TAG and is_mirrored false; columns of no meaning here are left out.
+    """
+    named = F.input_file_name()
+    heads = spark.read.text(path).where(F.col("value").rlike("^\"?image_id\"?,")).select(named.alias("file"), "value")
+    # one row a different header; each lists files that the driver has listed to read them at all
+    kinds = heads.groupBy("value").agg(F.collect_set("file").alias("files")).collect()
+    empty = spark.createDataFrame([], "image_id string, tag_id bigint, tag_family string, record_type string, tag_size_mm double, ppm double, is_mirrored boolean, corners array<array<double>>, keypoints array<array<double>>, corners_visibility array<tinyint>")
+    return reduce(DataFrame.unionByName, [_flat(spark, [x.strip().strip('"') for x in r["value"].split(",")], r["files"]) for r in kinds], empty)
+
+
+def _flat(spark: SparkSession, header: list[str], paths: list[str]) -> DataFrame:
+    rows = spark.read.schema(", ".join(f"`{n}` {FLAT_TEXT.get(n, 'double' if re.fullmatch(NUMBERS, n) else 'string')}" for n in header)).csv(paths, header=True)
+
+    def column(name: str, kind: str) -> Column:
+        own = F.col(f"`{name}`") if name in header else F.lit(None)
+        return F.coalesce(own.cast(kind), F.lit(FLAT_DEFAULT.get(name)).cast(kind)).alias(name)
+
+    def points(x: str, y: str) -> Column:
+        last = next(i for i in range(1, len(header) + 2) if x.format(i) not in header or y.format(i) not in header)
+        return F.filter(F.array(*(F.array(x.format(i), y.format(i)) for i in range(1, last))).cast("array<array<double>>"), lambda p: p[0].isNotNull() & p[1].isNotNull())
+
+    corners, keypoints = points("x{}", "y{}"), points("kp{}_x", "kp{}_y")
+    return rows.select(
+        column("image_id", "string"), column("tag_id", "bigint"), column("tag_family", "string"), column("record_type", "string"),
+        column("tag_size_mm", "double"), column("ppm", "double"), column("is_mirrored", "boolean"), corners.alias("corners"),
+        F.when(F.size(keypoints) > 0, keypoints).alias("keypoints"), F.transform(corners, lambda p: F.lit(2).cast("tinyint")).alias("corners_visibility"),
+    )
 
 
 def logs(spark: SparkSession, path: str | list[str]) -> DataFrame:
@@ -84,11 +139,15 @@ def logs(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return spark.read.schema(schema.LOG).json(path, mode="DROPMALFORMED").where("level is not null or message is not null")
 
 
-def recipes(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """file and the columns of schema.RECIPE of files that hold one recipe or an array of them."""
-    kind = f"array<struct<{as_struct(schema.RECIPE)}>>"
-    value = F.col("value")
-    return documents(spark, path).select("file", F.explode(F.from_json(F.when(is_object(value), F.concat(F.lit("["), value, F.lit("]"))).otherwise(value), kind)).alias("r")).select("file", "r.*")
+def recipes(spark: SparkSession, path: str | list[str], broken: str = "fail") -> DataFrame:
+    """file and the columns of schema.RECIPE of files that hold one recipe or an array of them.
+
+    A file that isn't whole JSON is an error; with broken="keep" it is a row of nulls.
+    """
+    kind, value = f"array<struct<{as_struct(schema.RECIPE)}>>", F.col("value")
+    parsed = or_fail(F.from_json(F.when(is_object(value), F.concat(F.lit("["), value, F.lit("]"))).otherwise(value), kind), broken)
+    each = documents(spark, path).select("file", parsed.alias("found"))
+    return each.select("file", F.explode_outer("found").alias("r"), F.col("found").isNull().alias("broken")).where("broken or r is not null").select("file", "r.*")
 
 
 def sidecars(spark: SparkSession, folder: str) -> DataFrame:
@@ -121,3 +180,9 @@ def first_that_exists(spark: SparkSession, folder: str, names: tuple[str, ...] =
         if name in found:
             return f"{folder}/{name}"
     raise FileNotFoundError(f"none of {', '.join(names)} in {folder}")
+
+
+def audited(spark: SparkSession, folder: str) -> DataFrame:
+    """The detections that an audit of a dataset's folder reads: rich_truth.json, else tags.csv; an error without both."""
+    found = first_that_exists(spark, folder, ("rich_truth.json", "tags.csv"))
+    return rich_truth(spark, found).drop("file", "place", "valid") if found.endswith(".json") else flat_csv(spark, found)

@@ -5,15 +5,17 @@ Documents in JSON hold one shard each, as a shard is what one worker renders: a
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from markerlake.functions import records
+from markerlake.functions.geometry import polygon_area
 from markerlake.sources.files import files
 
 #: Fixed values of the envelope.
 VERSION, POLICY = "2.0", "ternary_visibility"
+CORNER_NAMES = ("tl", "tr", "br", "bl")
 
 
 def effective_margin(default: int) -> Column:
@@ -43,43 +45,66 @@ def rich_truth(detections: DataFrame, folder: str, default_margin: int = 0, enve
 
 
 def attributes(detections: DataFrame) -> Column:
-    """What a COCO annotation has no place for, as JSON; the metadata's keys never replace a record's own."""
-    native = {"corners", "keypoints", "image_id", "shard", "metadata", "corners_visibility", "keypoints_visibility"}
-    own = F.from_json(F.to_json(F.struct(*(c for c in detections.columns if c not in native))), "map<string,string>")
+    """What a COCO annotation has no place for, as JSON with its types; the metadata's keys never replace a record's own."""
+    native = {"corners", "keypoints", "image_id", "shard", "metadata"}
+    own = [c for c in detections.columns if c not in native]
+    known = F.to_json(F.struct(*own), {"ignoreNullFields": "false"}) if own else F.lit("{}")
     if "metadata" not in detections.columns:
-        return F.to_json(own)
-    more = F.map_filter(F.coalesce(F.from_json("metadata", "map<string,string>"), F.create_map().cast("map<string,string>")), lambda k, v: ~F.map_contains_key(own, k))
-    return F.to_json(F.map_concat(own, more))
+        return known
+    more = F.map_filter(F.from_json("metadata", "map<string,variant>"), lambda k, v: ~k.isin(own))
+    inside = F.regexp_extract(F.to_json(more), r"(?s)^\{(.*)\}$", 1)
+    return F.when(F.coalesce(F.length(inside), F.lit(0)) == 0, known).otherwise(F.concat(F.substring(known, F.lit(1), F.length(known) - 1), F.lit("," if own else ""), inside, F.lit("}")))
+
+
+def annotation(detections: DataFrame, margin: int = 0) -> dict[str, Column]:
+    """bbox, area, segmentation, keypoints, num_keypoints of a detection.
+
+    Box and area are those of the corners as projected, the outline is clipped to the frame; fewer than three corners
+    are points with a small box and no outline. Key points follow the corners, each under the record's own margin.
+    """
+    corners, width, height = F.col("corners"), F.col("resolution")[0], F.col("resolution")[1]
+    few = F.size(corners) < 3
+    box = F.when(few, records.point_box(corners)).otherwise(F.coalesce(records.bounding_box(corners), F.array_repeat(F.lit(0.0), 4)))
+    least = effective_margin(margin) if "eval_margin_px" in detections.columns else F.lit(margin)
+    points = F.concat(corners, F.coalesce("keypoints", F.array().cast("array<array<double>>"))) if "keypoints" in detections.columns else corners
+    outline = F.when(few, F.array().cast("array<array<double>>")).otherwise(F.array(F.flatten(records.clip(corners, width, height))))
+    area = F.when(few, box[2] * box[3]).otherwise(F.abs(polygon_area(corners)))
+    return {"bbox": box, "area": area, "segmentation": outline, "keypoints": records.coco_keypoints(points, width, height, least), "num_keypoints": records.num_keypoints(points, width, height, least)}
 
 
 def coco(detections: DataFrame, folder: str, margin: int = 0) -> None:
     """A document for each shard with images, annotations and categories, numbered from 1 in order of their names.
 
-    Needs shard, image_id, tag_id, tag_family, corners, resolution.
+    Needs shard, image_id, tag_id, tag_family, corners, resolution. An image whose records differ in resolution gets the
+    largest. A shard is what one worker renders, and bounded as such.
+    """
+    part = Window.partitionBy("shard")
+    more = {"size": F.max(F.struct(F.col("resolution")[0].alias("width"), F.col("resolution")[1].alias("height"))).over(Window.partitionBy("shard", "image_id")), "attributes": attributes(detections), **annotation(detections, margin)}
+    numbers = {"image_number": F.dense_rank().over(part.orderBy("image_id")), "category_id": F.dense_rank().over(part.orderBy("tag_family"))}
+    rows = detections.select("shard", "image_id", "tag_id", "tag_family", *(v.alias(n) for n, v in more.items())).withColumns(numbers)
+    rows = rows.withColumn("id", F.row_number().over(part.orderBy("image_id", "tag_id", "tag_family", "bbox", "attributes")))
+    image = F.struct(F.col("image_number").alias("id"), F.concat(F.lit("images/"), "image_id", F.lit(".png")).alias("file_name"), "size.width", "size.height")
+    category = F.struct(F.col("category_id").alias("id"), F.col("tag_family").alias("name"), F.lit("fiducial_marker").alias("supercategory"), F.array(*map(F.lit, CORNER_NAMES)).alias("keypoints"), F.array(*(F.array(F.lit(i + 1), F.lit((i + 1) % 4 + 1)) for i in range(4))).alias("skeleton"))
+    label = F.struct("id", F.col("image_number").alias("image_id"), "category_id", "segmentation", "bbox", "area", "keypoints", "num_keypoints", F.lit(0).alias("iscrowd"), F.parse_json("attributes").alias("attributes"))
+    each = rows.groupBy("shard").agg(F.array_sort(F.collect_set(image)).alias("images"), F.collect_list(label).alias("annotations"), F.array_sort(F.collect_set(category)).alias("categories"))
+    each.select("shard", F.to_json(F.struct("images", "annotations", "categories")).alias("value")).write.partitionBy("shard").text(folder)
+
+
+def flat_csv(detections: DataFrame, folder: str, keypoints: int = 0) -> None:
+    """Flat rows with corners, and the first `keypoints` key points, in the closed frame, to four places.
+
+    Markers without four corners are left out; columns that the detections lack are written empty.
     """
     width, height = F.col("resolution")[0], F.col("resolution")[1]
-    keys = records.coco_keypoints(F.col("corners"), width, height, margin)
-    box = records.bounding_box(records.clip(F.col("corners"), width, height))
-    rows = detections.select("shard", "image_id", "tag_id", "tag_family", width.alias("width"), height.alias("height"), box.alias("bbox"), keys.alias("keypoints"), records.num_keypoints(F.col("corners"), width, height, margin).alias("num_keypoints"), attributes(detections).alias("attributes"))
-
-    def place(names: str, name: Column) -> Column:
-        return F.array_position(F.col(names), name)
-
-    sets = F.array_sort(F.collect_set("image_id")).alias("names"), F.array_sort(F.collect_set("tag_family")).alias("families")
-    sizes = F.map_from_entries(F.collect_set(F.struct("image_id", F.struct("width", "height").alias("size")))).alias("sizes")
-    each = rows.groupBy("shard").agg(*sets, sizes, F.array_sort(F.collect_list(F.struct("image_id", "tag_id", "tag_family", "bbox", "keypoints", "num_keypoints", "attributes"))).alias("rows"))
-    images = F.transform("names", lambda n, i: F.struct((i + 1).alias("id"), F.concat(F.lit("images/"), n, F.lit(".png")).alias("file_name"), F.col("sizes")[n]["width"].alias("width"), F.col("sizes")[n]["height"].alias("height")))
-    annotations = F.transform("rows", lambda r, i: F.struct((i + 1).alias("id"), place("names", r["image_id"]).alias("image_id"), place("families", r["tag_family"]).alias("category_id"), r["bbox"].alias("bbox"), (r["bbox"][2] * r["bbox"][3]).alias("area"), r["keypoints"].alias("keypoints"), r["num_keypoints"].alias("num_keypoints"), F.lit(0).alias("iscrowd"), r["attributes"].alias("attributes")))
-    categories = F.transform("families", lambda n, i: F.struct((i + 1).alias("id"), n.alias("name"), F.lit("marker").alias("supercategory")))
-    each.select("shard", F.to_json(F.struct(images.alias("images"), annotations.alias("annotations"), categories.alias("categories"))).alias("value")).write.partitionBy("shard").text(folder)
-
-
-def flat_csv(detections: DataFrame, folder: str) -> None:
-    """Flat rows with corners in the closed frame, to four places; markers without four corners are left out."""
-    points = records.clip(F.col("corners"), F.col("resolution")[0], F.col("resolution")[1])
-    numbers = [F.bround(points[i][j], 4).alias(f"{'xy'[j]}{i + 1}") for i in range(4) for j in range(2)]
+    points = records.clip(F.col("corners"), width, height)
+    numbers = [F.bround(F.get(F.get(points, F.lit(i)), F.lit(j)), 4).alias(f"{'xy'[j]}{i + 1}") for i in range(4) for j in range(2)]
+    if keypoints:
+        more = records.clip(F.col("keypoints"), width, height)
+        numbers += [F.bround(F.get(F.get(more, F.lit(i)), F.lit(j)), 4).alias(f"kp{i + 1}_{'xy'[j]}") for i in range(keypoints) for j in range(2)]
+    own = lambda name, kind: (F.col(name) if name in detections.columns else F.lit(None)).cast(kind)
+    meta = [F.bround(own("tag_size_mm", "double"), 4).alias("tag_size_mm"), F.bround(own("ppm", "double"), 4).alias("ppm"), F.coalesce(own("is_mirrored", "int"), F.lit(0)).alias("is_mirrored")]
     rows = detections.where((F.col("record_type") != "TAG") | (F.size("corners") == 4))
-    rows.select("image_id", "tag_id", "tag_family", "record_type", *numbers).write.csv(folder, header=True)
+    rows.select("image_id", "tag_id", "tag_family", "record_type", *meta, *numbers).write.csv(folder, header=True)
 
 
 def provenance(records_: DataFrame, folder: str) -> None:

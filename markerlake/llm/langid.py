@@ -32,7 +32,7 @@ SMOOTH = 20.0  # pages as which the prior of all pages counts against a host's o
 UNTAGGED = re.compile(r"<!--(?:-?>|.*?(?:--!?>|\Z))|<(script|style|template|noscript)\b.*?(?:</\1\s*>|\Z)", re.S | re.I)
 TAG = re.compile(r"<[/!?A-Za-z][^>]*(?:>|\Z)")
 ROOT = re.compile(r"<html\b[^>]*", re.I)
-DECLARED = re.compile(r"\blang\s*=\s*[\"']?\s*([A-Za-z]{2,3})", re.I)
+DECLARED = re.compile(r"[\s\"'/]lang\s*=\s*[\"']?\s*([A-Za-z]{2,3})", re.I)
 SPACE = re.compile(r"[\W\d_]+")
 
 

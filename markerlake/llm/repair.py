@@ -39,11 +39,21 @@ def compress(ids: np.ndarray, symbols: int, least: int = LEAST_COUNT) -> tuple[n
     waits for the next round, so every rule is used `least` times at least.
     """
     sequence, rules, top, exact = ids.astype(np.uint32), [np.empty((0, 2), np.uint32)], symbols, False
+    fresh, waiting = None, np.empty(0, np.uint64)  # the first of the last round's symbols, and its frequent pairs without a rule
     while len(sequence) > 1:
         key = (sequence[:-1].astype(np.uint64) << np.uint64(32)) | sequence[1:]
-        slot = ((key * MIX[len(rules) % len(MIX)]) >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+        mix = MIX[len(rules) % len(MIX)]
+        slot = ((key * mix) >> np.uint64(64 - SLOT_BITS)).astype(np.int64) if fresh is None or len(waiting) else None
         if exact:
-            near = np.flatnonzero((np.bincount(slot, minlength=1 << SLOT_BITS) >= least)[slot])  # positions whose pair may be frequent
+            if fresh is None:
+                near = np.flatnonzero((np.bincount(slot, minlength=1 << SLOT_BITS) >= least)[slot])  # positions whose pair may be frequent
+            else:  # counts of pairs without a new symbol only fall
+                may = (sequence[:-1] >= fresh) | (sequence[1:] >= fresh)
+                if len(waiting):
+                    marked = np.zeros(1 << SLOT_BITS, bool)
+                    marked[((waiting * mix) >> np.uint64(64 - SLOT_BITS)).astype(np.int64)] = True
+                    may |= marked[slot]
+                near = np.flatnonzero(may)
             pairs, which, n = np.unique(key[near], return_inverse=True, return_counts=True)
         else:  # a slot counts one of its pairs; what shares the slot waits for a round that hashes otherwise
             pairs = np.zeros(1 << SLOT_BITS, np.uint64)
@@ -68,6 +78,10 @@ def compress(ids: np.ndarray, symbols: int, least: int = LEAST_COUNT) -> tuple[n
             taken = taken[apart(near[taken], often[taken])]
             if len(taken) < least:
                 break
+        if exact:
+            late = n >= least
+            late[chosen] = False
+            fresh, waiting = top, pairs[late]
         number = np.full(len(pairs), -1, np.int64)
         number[chosen] = top + np.arange(len(chosen))
         new = number[which[taken]]
@@ -173,12 +187,14 @@ def write(documents: DataFrame, tokenizer: str, folder: str, end_id: int = 1, bl
         if names:
             yield row()
 
-    ordered = documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).repartitionByRange(partitions(documents.sparkSession), "doc_id").sortWithinPartitions("doc_id")
+    ordered = documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).withColumn("tie", F.xxhash64("text"))
+    ordered = ordered.repartitionByRange(partitions(documents.sparkSession), "doc_id", "tie").sortWithinPartitions("doc_id", "tie").drop("tie")  # null or repeated ids may fill several tasks
     arrow_map(ordered, work, SCHEMA).write.mode("overwrite").parquet(folder)
 
 
-def read(spark: SparkSession, folder: str) -> DataFrame:
-    """doc_id, start, n_tokens (with the end id) and ids (binary) of every document in token files."""
+def read(spark: SparkSession, folder: str, with_ids: bool = True) -> DataFrame:
+    """doc_id, start, n_tokens (with the end id), ids_crc32, and ids (binary, unless left out) of every document in token
+    files. Null and repeated doc_ids come back as they were written; an empty folder gives no rows."""
     files = spark.read.schema(SCHEMA).parquet(folder)
     sizes = files.groupBy("shard").agg(F.sum("n_ids").alias("n"))
     shards = sizes.select("shard", (F.sum("n").over(Window.orderBy("shard")) - F.col("n")).alias("shard_start"))
@@ -197,15 +213,17 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
                     ids = own.ids(first, int(ends[min(i + AT_ONCE, len(ends)) - 1])).astype("<u4").tobytes()
                     cuts = [((int(e - n) - first) * 4, (int(e) - first) * 4) for e, n in zip(ends[i : i + AT_ONCE], lengths[i : i + AT_ONCE], strict=True)]
                     m = len(cuts)
-                    yield pa.RecordBatch.from_arrays([pa.array([block["shard"]] * m, pa.int32()), pa.array([block["block"]] * m, pa.int32()), pa.array(named[i : i + m], pa.int64()), pa.array((ends - lengths)[i : i + m], pa.int64()), pa.array(lengths[i : i + m], pa.int64()), pa.array([ids[p:q] for p, q in cuts], pa.binary()), pa.array([zlib.crc32(ids[p:q]) for p, q in cuts], pa.int64())], ["shard", "block", "doc_id", "inside", "n_tokens", "ids", "ids_crc32"])
+                    yield pa.RecordBatch.from_arrays([pa.array([block["shard"]] * m, pa.int32()), pa.array([block["block"]] * m, pa.int32()), pa.array(named[i : i + m], pa.int64()), pa.array((ends - lengths)[i : i + m], pa.int64()), pa.array(lengths[i : i + m], pa.int64()), pa.array([ids[p:q] if with_ids else None for p, q in cuts], pa.binary()), pa.array([zlib.crc32(ids[p:q]) for p, q in cuts], pa.int64())], ["shard", "block", "doc_id", "inside", "n_tokens", "ids", "ids_crc32"])
 
     found = arrow_map(files.drop("n_ids"), work, "shard int, block int, doc_id long, inside long, n_tokens long, ids binary, ids_crc32 long")
     return found.join(starts, ["shard", "block"]).select("doc_id", (F.col("at") + F.col("inside")).alias("start"), "n_tokens", "ids", "ids_crc32")
 
 
 def digests(documents: DataFrame, tokenizer: str, folder: str | None = None) -> DataFrame:
-    """Write the files, read them back: doc_id, start, n_tokens, ids_crc32 of each document."""
+    """Write the files, read them back: doc_id, start, n_tokens, ids_crc32 of each document.
+
+    A null text is a document of the end id alone; null doc_ids come first; an empty table gives no rows."""
     spark = documents.sparkSession
     folder = folder or new_folder(spark, "repair")
     write(documents, tokenizer, folder)
-    return read(spark, folder).select("doc_id", "start", "n_tokens", "ids_crc32")
+    return read(spark, folder, with_ids=False).select("doc_id", "start", "n_tokens", "ids_crc32")

@@ -35,6 +35,8 @@ def write_flat(documents: DataFrame, tokenizer: str, folder: str, end_id: int =
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, shard = codec(tokenizer, special=False), TaskContext.get().partitionId()
+        if max(len(own.bytes_of), end_id + 1) > 1 << 16:
+            raise ValueError("ids of two bytes hold vocabularies of up to 65,536 entries")
         end, width = np.array([end_id], "<u2"), 2 * block_ids
         kept, block = bytearray(), 0
         ends: list[tuple[int | None, int]] = []  # documents and where they end, in bytes from the start of `kept`

@@ -51,8 +51,12 @@ def best(queries: dict, candidates: dict, k: int) -> Iterator[tuple[int, np.ndar
     """
     n, ids = candidates["n"], np.frombuffer(candidates["ids"], "<i8")
     lists, wanted, own = postings(candidates), postings(queries), np.frombuffer(queries["ids"], "<i8")
+    # four bytes a score where no sum can need more
+    most = sum(int(np.abs(w).max()) * int(np.abs(lists[t][1]).max()) for t, (_, w) in wanted.items() if t in lists)
+    kind = np.int32 if most < 1 << 31 else np.int64
+    lists = {t: (at, weights.astype(kind)) for t, (at, weights) in lists.items()}
     for i in range(0, queries["n"], AT_ONCE):
-        scores = np.zeros((min(AT_ONCE, queries["n"] - i), n), np.int64)
+        scores = np.zeros((min(AT_ONCE, queries["n"] - i), n), kind)
         for term, (rows, weights) in wanted.items():
             if term not in lists:
                 continue
@@ -60,9 +64,9 @@ def best(queries: dict, candidates: dict, k: int) -> Iterator[tuple[int, np.ndar
             at, posted = lists[term]
             for q, w in zip((rows[lo:hi] - i).tolist(), weights[lo:hi].tolist(), strict=True):
                 if len(at) == n:
-                    scores[q] += w * posted
+                    scores[q] += kind(w) * posted
                 else:
-                    scores[q, at] += w * posted
+                    scores[q, at] += kind(w) * posted
         for q, row in enumerate(scores):
             others = np.flatnonzero(ids != own[i + q])
             values = row[others]
@@ -71,7 +75,7 @@ def best(queries: dict, candidates: dict, k: int) -> Iterator[tuple[int, np.ndar
                 above = np.flatnonzero(values > line)
                 keep = np.concatenate([above, np.flatnonzero(values == line)[: k - len(above)]])
                 others, values = others[keep], values[keep]
-            yield i + q, ids[others], values
+            yield i + q, ids[others], values.astype(np.int64)
 
 
 def search(candidates: DataFrame, queries: DataFrame, k: int, scale: int = 256) -> DataFrame:
@@ -79,7 +83,8 @@ def search(candidates: DataFrame, queries: DataFrame, k: int, scale: int = 256)
 
     Both frames need vec_id and embedding. Components x count as floor(scale * x); vectors of different lengths meet in
     the components that both have. Vectors that are null or hold null or non-finite components, and null ids, take no
-    part. A candidate with the query's own id is not its partner. Repeated rows are candidates and queries of their own: a
+    part. A candidate with the query's own id is not its partner, which holds for all
+    rows that repeat that id. Repeated rows are candidates and queries of their own: a
     query row that is there twice has its k rows twice. An empty table gives no rows.
 
     Queries go to every partition, candidates to one each; blocks are dealt in turn, and there are several to a partition

@@ -23,6 +23,8 @@ def test_declared_only_by_tags_of_the_page():
     assert declared("<html><script>x = '<html lang=en>'</script><p lang=fr>") is None
     assert declared("<!-- <html lang='en'>") is None and declared("") is None
     assert declared("<html " * 200_000) is None
+    assert declared('<html data-lang="de" lang="en">') == "en" and declared('<html data-lang="de" xml:lang="fr">') is None
+    assert declared('<html class="a"lang="en">') == "en" and declared("<html\nlang=es>") == "es"
 
 
 def test_what_never_ends_hides_the_rest_in_linear_time():

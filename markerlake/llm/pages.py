@@ -18,6 +18,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -220,33 +221,37 @@ def nearest(pages: DataFrame, scratch: Scratch) -> DataFrame:
 
 
 def parsed(pages: DataFrame) -> DataFrame:
-    """page_id, url, mark, texts and stands (of lines that markup doesn't drop), places (among all lines)."""
+    """page_id, url, mark, body (compressed lines that markup doesn't drop), stands (for each, whether it is an article's)
+    and places (among all lines)."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        squeeze = zstandard.ZstdCompressor(level=3).compress
         for batch in batches:
-            marks, kept, stands, places = [], [], [], []
+            marks, bodies, stands, places = [], [], [], []
             for page_id, url, page in zip(batch.column("page_id").to_pylist(), texts(batch, "url"), texts(batch, "html")):
                 found = [(i, t, k) for i, (t, k) in enumerate(lines(page)) if k != DROP]
                 marks.append(mark(page_id, url, page))
-                kept.append([t for _, t, _ in found])
-                stands.append([k == ARTICLE for _, _, k in found])
-                places.append([i for i, _, _ in found])
-            columns = [batch.column("page_id"), batch.column("url"), pa.array(marks, pa.binary()), pa.array(kept, pa.list_(pa.string())), pa.array(stands, pa.list_(pa.bool_())), pa.array(places, pa.list_(pa.int32()))]
-            yield pa.RecordBatch.from_arrays(columns, ["page_id", "url", "mark", "texts", "stands", "places"])
+                bodies.append(squeeze("\n".join(t for _, t, _ in found).encode()))
+                stands.append(bytes(k == ARTICLE for _, _, k in found))
+                places.append(np.array([i for i, _, _ in found], np.int32).tobytes())
+            columns = [batch.column("page_id"), batch.column("url"), *(pa.array(x, pa.binary()) for x in (marks, bodies, stands, places))]
+            yield pa.RecordBatch.from_arrays(columns, ["page_id", "url", "mark", "body", "stands", "places"])
 
-    return arrow_map(rows_of(pages), work, "page_id long, url string, mark binary, texts array<string>, stands array<boolean>, places array<int>")
+    return arrow_map(rows_of(pages), work, "page_id long, url string, mark binary, body binary, stands binary, places binary")
 
 
 def text_of(rows: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars, nearest_id, n_shared: lines that stand, and lines that the nearest page doesn't have."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        expand = zstandard.ZstdDecompressor().decompress
         for batch in batches:
             out, sizes, n_shared = [], [], []
-            columns = (batch.column(x).to_pylist() for x in ("texts", "stands", "places", "shared"))
-            for kept, stands, places, shared in zip(*columns):
+            columns = (batch.column(x).to_pylist() for x in ("body", "stands", "places", "shared"))
+            for body, stands, places, shared in zip(*columns):
                 gone = set(np.frombuffer(shared or b"", np.int32).tolist())
-                text = "\n".join(t for t, stand, i in zip(kept, stands, places) if stand or i not in gone)
+                kept = expand(body).decode().split("\n") if stands else []
+                text = "\n".join(t for t, stand, i in zip(kept, stands, np.frombuffer(places, np.int32).tolist()) if stand or i not in gone)
                 out.append(text)
                 sizes.append(len(text))
                 n_shared.append(len(gone))
@@ -266,5 +271,6 @@ def extract(pages: DataFrame) -> DataFrame:
     other page than near copies within REACH places. An empty table gives no rows. Other columns are ignored.
     """
     scratch = Scratch(pages.sparkSession, "pages")
-    found = scratch.keep(nearest(pages, scratch))
-    return scratch.result(text_of(parsed(pages).join(found, "mark", "left")))
+    found = scratch.result(nearest(pages, scratch))
+    # what goes is known for every page, so it isn't broadcast: it grows with the pages
+    return text_of(parsed(pages).join(found.hint("merge"), "mark", "left"))

@@ -6,7 +6,7 @@ columns, which stay inside generated code. Functions over point arrays of any le
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 
 from pyspark.sql import Column
@@ -133,6 +133,33 @@ def relative_pose(camera: tuple[Matrix, Vector], target: tuple[Matrix, Vector])
     return multiply(back, target[0]), apply(back, minus(target[1], camera[1]))
 
 
+def determinant(m: Matrix) -> Column:
+    return dot(m[0], cross(m[1], m[2]))
+
+
+def inverse(m: Matrix) -> Matrix:
+    """Of a 3x3 matrix, by its cofactors."""
+    rows = [cross(m[1], m[2]), cross(m[2], m[0]), cross(m[0], m[1])]
+    d = determinant(m)
+    return [[rows[j][i] / d for j in range(3)] for i in range(3)]
+
+
+def rotation_between(a: Vector, b: Vector) -> Matrix:
+    """The shortest rotation that takes the direction a to b; half a turn about a vector at right angles if they are opposite."""
+    a, b = unit(a), unit(b)
+    v, c = cross(a, b), dot(a, b)
+    zero, one = F.lit(0.0), F.lit(1.0)
+    skew = [[zero, -v[2], v[1]], [v[2], zero, -v[0]], [-v[1], v[0], zero]]
+    opposite = 1 + c < 1e-12
+    side = unit([F.when(F.abs(a[0]) < 0.9, p).otherwise(q) for p, q in zip(cross(a, (one, zero, zero)), cross(a, (zero, one, zero)), strict=True)])
+
+    def entry(i: int, j: int) -> Column:
+        turned = (c if i == j else zero) + skew[i][j] + v[i] * v[j] / F.when(opposite, 1.0).otherwise(1 + c)
+        return F.when(opposite, 2 * side[i] * side[j] - (1.0 if i == j else 0.0)).otherwise(turned)
+
+    return [[entry(i, j) for j in range(3)] for i in range(3)]
+
+
 def look_at(eye: Vector, target: Vector, up: Vector | None = None) -> Matrix:
     """Rotation of a camera that looks along -z at a target; near the vertical, y serves as up."""
     up = up or (F.lit(0.0), F.lit(0.0), F.lit(1.0))
@@ -174,6 +201,29 @@ def kannala_brandt(x: Column, y: Column, coefficients: Column) -> Vector:
     return (x * scale, y * scale)
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with the value worked out once, where no column of its own can hold it: inside lambdas."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def distort_point(x: Column, y: Column, model: Column, coefficients: Column) -> Column:
+    """[x, y] of `distort`, for lambdas: each step is worked out once."""
+
+    def plain(p: Column) -> Column:
+        k1, k2, p1, p2, k3 = (coefficient(coefficients, i) for i in range(5))
+        r2, u, v = p["r2"], p["x"], p["y"]
+        return let(1 + r2 * (k1 + r2 * (k2 + r2 * k3)), lambda radial: F.array(u * radial + 2 * p1 * u * v + p2 * (r2 + 2 * u * u), v * radial + p1 * (r2 + 2 * v * v) + 2 * p2 * u * v))
+
+    def wide(p: Column) -> Column:
+        k = [coefficient(coefficients, i) for i in range(4)]
+        r = F.sqrt(p["r2"])
+        bent = let(F.atan(r), lambda t: let(t * t, lambda t2: t * (1 + t2 * (k[0] + t2 * (k[1] + t2 * (k[2] + t2 * k[3]))))))
+        return let(F.when(r <= 1e-8, 1.0).otherwise(bent / F.when(r <= 1e-8, 1.0).otherwise(r)), lambda scale: F.array(p["x"] * scale, p["y"] * scale))
+
+    point = let(F.struct(x.alias("x"), y.alias("y")), lambda p: F.struct(p["x"].alias("x"), p["y"].alias("y"), (p["x"] * p["x"] + p["y"] * p["y"]).alias("r2")))
+    return let(point, lambda p: F.when(~active(coefficients), F.array(p["x"], p["y"])).when(model == "kannala_brandt", wide(p)).otherwise(plain(p)))
+
+
 def distort(x: Column, y: Column, model: Column, coefficients: Column) -> Vector:
     """Normalised image coordinates through the lens; any model but kannala_brandt counts as Brown-Conrady."""
     wide, plain = kannala_brandt(x, y, coefficients), brown_conrady(x, y, coefficients)
@@ -181,6 +231,82 @@ def distort(x: Column, y: Column, model: Column, coefficients: Column) -> Vector
     return tuple(F.when(~on, v).when(model == "kannala_brandt", a).otherwise(b) for v, a, b in zip((x, y), wide, plain, strict=True))
 
 
+NEWTON = 24  # steps of the inverse lens: each doubles the right digits once it is near
+
+
+def undistort(x: Column, y: Column, model: Column, coefficients: Column) -> Column:
+    """struct(x, y, theta, residual): the inverse of `distort` by Newton's steps, the angle from the axis, and how far the
+    result, distorted again, is from what was asked. Beyond a lens's largest radius there is no inverse: the residual tells.
+    """
+    c = F.transform(F.sequence(F.lit(0), F.lit(4)), lambda i: F.coalesce(F.get(coefficients, i), F.lit(0.0)))
+
+    def plain(c: Column, xd: Column, yd: Column) -> Column:
+        k1, k2, p1, p2, k3 = (c[i] for i in range(5))
+
+        def step(at: Column, _: Column) -> Column:
+            u, v = at["u"], at["v"]
+            r2 = u * u + v * v
+            radial, slope = 1 + r2 * (k1 + r2 * (k2 + r2 * k3)), k1 + r2 * (2 * k2 + 3 * r2 * k3)
+            a, d = u * radial + 2 * p1 * u * v + p2 * (r2 + 2 * u * u) - xd, v * radial + p1 * (r2 + 2 * v * v) + 2 * p2 * u * v - yd
+            uu, vv = radial + 2 * u * u * slope + 2 * p1 * v + 6 * p2 * u, radial + 2 * v * v * slope + 6 * p1 * v + 2 * p2 * u
+            uv = 2 * u * v * slope + 2 * p1 * u + 2 * p2 * v
+            det = uu * vv - uv * uv
+            safe = F.when(F.abs(det) < 1e-12, 1.0).otherwise(det)
+            return F.struct((u - (vv * a - uv * d) / safe).alias("u"), (v - (uu * d - uv * a) / safe).alias("v"))
+
+        return F.aggregate(F.sequence(F.lit(1), F.lit(NEWTON)), F.struct(xd.alias("u"), yd.alias("v")), step)
+
+    def wide(c: Column, xd: Column, yd: Column) -> Column:
+        r = F.sqrt(xd * xd + yd * yd)
+
+        def step(t: Column, _: Column) -> Column:
+            t2 = t * t
+            f = t * (1 + t2 * (c[0] + t2 * (c[1] + t2 * (c[2] + t2 * c[3])))) - r
+            slope = 1 + t2 * (3 * c[0] + t2 * (5 * c[1] + t2 * (7 * c[2] + t2 * 9 * c[3])))
+            return t - f / F.when(F.abs(slope) < 1e-12, 1.0).otherwise(slope)
+
+        start = F.least(r, F.lit(1.5))
+        t = F.aggregate(F.sequence(F.lit(1), F.lit(NEWTON)), start, step)
+        scale = F.when(r <= 1e-8, 1.0).otherwise(F.tan(t) / F.when(r <= 1e-8, 1.0).otherwise(r))
+        return F.struct((xd * scale).alias("u"), (yd * scale).alias("v"))
+
+    bound = F.struct(c.alias("c"), x.alias("x"), y.alias("y"))
+    solved = F.transform(F.array(bound), lambda b: F.struct(b["x"].alias("x"), b["y"].alias("y"), F.when(~active(coefficients), F.struct(b["x"].alias("u"), b["y"].alias("v"))).when(model == "kannala_brandt", wide(b["c"], b["x"], b["y"])).otherwise(plain(b["c"], b["x"], b["y"])).alias("s")))
+
+    def checked(b: Column) -> Column:
+        u, v = b["s"]["u"], b["s"]["v"]
+        off = let(distort_point(u, v, model, coefficients), lambda d: F.greatest(F.abs(d[0] - b["x"]), F.abs(d[1] - b["y"])))
+        return F.struct(u.alias("x"), v.alias("y"), F.atan(F.sqrt(u * u + v * v)).alias("theta"), off.alias("residual"))
+
+    return F.get(F.transform(solved, checked), F.lit(0))
+
+
+EDGE_SAMPLES = 32
+
+
+def edge_rays(k: Matrix, width: Column, height: Column, model: Column, coefficients: Column, samples: int = EDGE_SAMPLES) -> Column:
+    """`undistort` of points along the four edges of a frame, from the first pixel to the last."""
+    along = lambda n: F.transform(F.sequence(F.lit(0), F.lit(samples - 1)), lambda i: i * (n - 1) / (samples - 1))
+    point = lambda u, v: F.struct(u.cast("double").alias("u"), v.cast("double").alias("v"))
+    level = [F.transform(along(width), lambda u: point(u, F.lit(0.0))), F.transform(along(width), lambda u: point(u, height - 1))]
+    upright = [F.transform(along(height), lambda v: point(F.lit(0.0), v)), F.transform(along(height), lambda v: point(width - 1, v))]
+    edges = F.concat(*level, *upright)
+    return F.transform(edges, lambda p: undistort((p["u"] - k[0][2]) / k[0][0], (p["v"] - k[1][2]) / k[1][1], model, coefficients))
+
+
+def overscan(rays: Column, k: Matrix, width: Column, height: Column) -> Column:
+    """struct(width, height) of the frame without distortion, even and no smaller than the target's, that holds all its
+    rays; the principal point lies in its middle, the focal lengths stay."""
+    far = lambda name, f: 2 * F.ceil(F.array_max(F.transform(rays, lambda r: F.abs(r[name]))) * f + 1)
+    return F.struct(F.greatest(far("x", k[0][0]), width).cast("int").alias("width"), F.greatest(far("y", k[1][1]), height).cast("int").alias("height"))
+
+
+def spherical_overscan(rays: Column, k: Matrix, margin_degrees: float = 2.0) -> Column:
+    """struct(fov in radians, size) of a square equidistant frame that holds all rays and a margin."""
+    theta = F.array_max(F.transform(rays, lambda r: r["theta"])) + F.radians(F.lit(margin_degrees))
+    return F.struct((2 * theta).alias("fov"), (2 * F.ceil(k[0][0] * theta)).cast("int").alias("size"))
+
+
 def project(point: Vector, k: Matrix, model: Column | None = None, coefficients: Column | None = None) -> Vector:
     """Pixel of a point in camera axes; BEHIND for points that are not before the camera."""
     x, y, z = point
@@ -212,8 +338,12 @@ def distance_for_ppm(focal: Column, size: Column, ppm: Column, grid: Column) ->
     return F.when((ppm <= 0) | (grid <= 0), 100.0).otherwise(focal * size / (ppm * grid))
 
 
-def focal_from_fov(width: Column, fov: Column) -> Column:
-    return width / (2 * F.tan(F.radians(fov) / 2))
+def focal_from_fov(width: Column, fov: Column, height: Column | None = None, model: Column | None = None) -> Column:
+    """Focal length in pixels: the width spans the field of view, or of a kannala_brandt lens the diagonal its angle."""
+    plain = width / (2 * F.tan(F.radians(fov) / 2))
+    if model is None:
+        return plain
+    return F.when(model == "kannala_brandt", F.sqrt(width * width + height * height) / 2 / F.radians(fov / 2)).otherwise(plain)
 
 
 def k_matrix(width: Column, height: Column, explicit: Column, fx: Column, fy: Column, focal_mm: Column, sensor_mm: Column, fov: Column) -> Column:

@@ -65,11 +65,27 @@ def remove(spark: SparkSession, folder: str) -> None:
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def trim() -> None:
+    """Give memory that Python has freed back to the machine."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux":
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def rest(spark: SparkSession) -> None:
+    """Let the driver give back what plans and steps that have ended left behind, in Python and in the JVM."""
+    trim()
+    spark._jvm.System.gc()
+
+
 class Scratch:
     """Tables between the steps of an operator, as Parquet in the shared folder; cleared when its result is written."""
 
+    REST = 8  # tables after which the driver rests
+
     def __init__(self, spark: SparkSession, name: str) -> None:
-        self.spark, self.name, self.folders = spark, name, []
+        self.spark, self.name, self.folders, self.tables = spark, name, [], 0
 
     def keep(self, df: DataFrame) -> DataFrame:
         """The same rows with their lineage cut and their shuffle files gone."""
@@ -77,6 +93,9 @@ class Scratch:
         with clean_shuffles(self.spark):
             df.write.option("compression", "zstd").option("parquet.block.size", ROW_GROUP).parquet(folder)
         self.folders.append(folder)
+        self.tables += 1
+        if self.tables % self.REST == 0:
+            rest(self.spark)
         return self.spark.read.schema(df.schema).parquet(folder)
 
     def result(self, df: DataFrame) -> DataFrame:
@@ -117,10 +136,7 @@ def tidy(work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -
 
     def both(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from work(batches)
-        gc.collect()
-        pa.default_memory_pool().release_unused()
-        if sys.platform == "linux":
-            ctypes.CDLL(None).malloc_trim(0)
+        trim()
 
     return both
 

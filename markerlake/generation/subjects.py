@@ -60,7 +60,7 @@ def markers(job: Column, scene_seed: Column) -> Column:
 
     def laid(x: Column) -> Column:
         n, seed = x["n"], x["layout"]
-        cols = F.ceil(F.sqrt(n.cast("double"))).cast("int")
+        cols = F.greatest(F.ceil(F.sqrt(n.cast("double"))).cast("int"), F.lit(1))
         rows = F.ceil(n / cols).cast("int")
         cell = size * (1 + job["spacing_bits"] / records.tag_grid(job["families"][0]))
         r = job["scatter_radius"]

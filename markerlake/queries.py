@@ -359,4 +359,4 @@ def image_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return det(spark, sf_dir).groupBy("image_id", key["scene"].alias("scene"), key["camera"].alias("camera")).agg(F.count("*").alias("n"))
 
 
-from markerlake import queries_files, queries_generation, queries_geometry, queries_records, queries_streaming  # noqa: E402, F401  add their queries to those above
+from markerlake import queries_files, queries_generation, queries_geometry, queries_outlines, queries_records, queries_streaming  # noqa: E402, F401  add their queries to those above

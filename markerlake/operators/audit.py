@@ -1,4 +1,4 @@
-"""Audits of detection datasets: distributions, integrity checks, score, gates and differences. One pass over the rows."""
+"""Audits of detection datasets: distributions, integrity checks, score, gates and differences."""
 
 from __future__ import annotations
 
@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from markerlake.functions import geometry as g
 from markerlake.functions import records as r
+from markerlake.operators.medians import medians
 
 STATS = ("min", "max", "mean", "std", "median")
 MEASURES = {"distance": "distance", "angle_of_incidence": "incidence_angle", "ppm": "ppm", "lighting_intensity": "lighting_intensity"}
@@ -14,12 +15,12 @@ PASS_PX, FAR_PX = 0.5, 10.0  # of an anchor: off by more fails; far off, it may
 
 
 def stats(df: DataFrame, column: str, name: str) -> list[Column]:
-    """min, max, mean, sample deviation and median; 0 for what isn't there."""
+    """min, max, mean and sample deviation; 0 for what isn't there."""
     if column not in df.columns:
-        return [F.lit(0.0).alias(f"{name}_{s}") for s in STATS]
+        return [F.lit(0.0).alias(f"{name}_{s}") for s in STATS[:-1]]
     c = F.col(column).cast("double")
-    found = (F.min(c), F.max(c), F.avg(c), F.stddev_samp(c), F.median(c))
-    return [F.coalesce(v, F.lit(0.0)).alias(f"{name}_{s}") for v, s in zip(found, STATS, strict=True)]
+    found = (F.min(c), F.max(c), F.avg(c), F.stddev_samp(c))
+    return [F.coalesce(v, F.lit(0.0)).alias(f"{name}_{s}") for v, s in zip(found, STATS, strict=False)]
 
 
 def corner(i: int, points: str = "corners") -> tuple[Column, Column]:
@@ -48,16 +49,6 @@ def anchor_errors() -> tuple[Column, Column]:
     return tuple(F.when(usable, F.hypot(x - corner(i)[0], y - corner(i)[1])) for i in (0, 2))
 
 
-def orientation_fails() -> Column:
-    return F.coalesce(anchor_errors()[0] > PASS_PX, F.lit(False))
-
-
-def turned_round() -> Column:
-    """The anchor lies at the opposite corner: the pattern is 180 degrees off."""
-    near, opposite = anchor_errors()
-    return F.coalesce((near > FAR_PX) & (opposite < PASS_PX), F.lit(False))
-
-
 def margin_violations(margin: Column) -> Column:
     """How many corners of a row are stored as visible inside the margin."""
     w, h = (F.get(F.col("resolution"), F.lit(i)) for i in (0, 1))
@@ -72,27 +63,50 @@ def score(tags: Column, impossible: Column, chirality: Column, orientation: Colu
 
 
 def report(detections: DataFrame, margin: int = 0, by: tuple[str, ...] = ()) -> DataFrame:
-    """One row, or one for each group: counts, distributions, integrity and score."""
+    """One row, or one for each group: counts, distributions, integrity and score.
+
+    Images are counted by grouping and medians by narrowing ranges, so no task holds all images or values.
+    """
     have = set(detections.columns)
     count = lambda condition: F.coalesce(F.sum(condition.cast("long")), F.lit(0))
-    images = F.count_distinct("image_id") + F.max(F.col("image_id").isNull().cast("int")) if "image_id" in have else F.lit(0)
     poses = {"position", "rotation_quaternion", "k_matrix", "tag_size_mm", "corners", "record_type", "distortion_model", "distortion_coeffs"} <= have
     shapes = {"corners", "record_type"} <= have
     marked = {"corners", "corners_visibility", "resolution"} <= have
-    found = detections.groupBy(*by).agg(
+    near, opposite = anchor_errors() if poses else (F.lit(None).cast("double"),) * 2
+    rows = detections.withColumns({"_near": near, "_opposite": opposite})  # once for all that is asked of them
+    found = rows.groupBy(*by).agg(
         F.count("*").alias("tag_count"),
-        F.coalesce(images, F.lit(0)).cast("long").alias("image_count"),
         *(c for column, name in MEASURES.items() for c in stats(detections, column, name)),
         (count(F.col("distance") < 0) if "distance" in have else F.lit(0).cast("long")).alias("impossible_poses"),
         (count(chirality_fails()) if shapes else F.lit(0).cast("long")).alias("chirality_failures"),
-        (count(orientation_fails()) if poses else F.lit(0).cast("long")).alias("orientation_failures"),
-        (F.coalesce(F.bool_or(turned_round()), F.lit(False)) if poses else F.lit(False)).alias("dictionary_orientation_error"),
+        count(F.coalesce(F.col("_near") > PASS_PX, F.lit(False))).alias("orientation_failures"),
+        F.coalesce(F.bool_or((F.col("_near") > FAR_PX) & (F.col("_opposite") < PASS_PX)), F.lit(False)).alias("dictionary_orientation_error"),
         (F.coalesce(F.sum(margin_violations(F.lit(margin))), F.lit(0)).cast("long") if marked and margin else F.lit(0).cast("long")).alias("margin_violations"),
     )
+    measured = [m for m in MEASURES if m in have]
+    if measured:
+        found = beside(found, medians(detections, measured, by), by)
+    if "image_id" in have:
+        found = beside(found, detections.groupBy(*by, "image_id").agg(F.lit(1)).groupBy(*by).agg(F.count("*").alias("image_count")), by)
     c = F.col
+    whole = {n: F.coalesce(c(f"{m}_median"), F.lit(0.0)) if m in measured else F.lit(0.0) for m, n in MEASURES.items()}
+    found = found.withColumns({f"{n}_median": v for n, v in whole.items()} | {"image_count": F.coalesce("image_count", F.lit(0)).cast("long") if "image_id" in have else F.lit(0).cast("long")})
+    order = ["tag_count", "image_count", *(f"{n}_{s}" for n in MEASURES.values() for s in STATS), "impossible_poses", "chirality_failures", "orientation_failures", "dictionary_orientation_error", "margin_violations"]
+    found = found.select(*by, *order)
     return found.withColumn("score", score(c("tag_count"), c("impossible_poses"), c("chirality_failures"), c("orientation_failures"), c("incidence_angle_max"), c("distance_max") - c("distance_min")))
 
 
+def beside(a: DataFrame, b: DataFrame, by: tuple[str, ...]) -> DataFrame:
+    """Both tables' columns by group, groups also equal where null; without groups, of a table of one row and one of at most one."""
+    if not by:
+        return a.join(b, how="left")
+    other = b.withColumnsRenamed({x: f"_{x}" for x in by})
+    same = F.lit(True)
+    for x in by:
+        same = same & F.col(x).eqNullSafe(F.col(f"_{x}"))
+    return a.join(other, same, "left").drop(*(f"_{x}" for x in by))
+
+
 def outcome(reported: DataFrame, margin: int = 0) -> DataFrame:
     """quarantined, gate_passed and gate_failures added to a report."""
     c = F.col

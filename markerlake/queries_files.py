@@ -54,15 +54,15 @@ def source_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: Quads that turn round their centre by seq, so that box, area and outline differ.
 TURNED_SQL = SQL + f""", turned AS (
-    SELECT *, cx + h * cos(radians(seq % 90)) AS u1, cy + h * sin(radians(seq % 90)) AS v1, cx - h * sin(radians(seq % 90)) AS u2, cy + h * cos(radians(seq % 90)) AS v2,
-        cx - h * cos(radians(seq % 90)) AS u3, cy - h * sin(radians(seq % 90)) AS v3, cx + h * sin(radians(seq % 90)) AS u4, cy - h * cos(radians(seq % 90)) AS v4, CASE WHEN seq % 7 = 0 THEN 1280 ELSE 1920 END AS wide
+    SELECT *, cx + h * cos(radians(seq % 90 + 0.5)) AS u1, cy + h * sin(radians(seq % 90 + 0.5)) AS v1, cx - h * sin(radians(seq % 90 + 0.5)) AS u2, cy + h * cos(radians(seq % 90 + 0.5)) AS v2,
+        cx - h * cos(radians(seq % 90 + 0.5)) AS u3, cy - h * sin(radians(seq % 90 + 0.5)) AS v3, cx + h * sin(radians(seq % 90 + 0.5)) AS u4, cy - h * cos(radians(seq % 90 + 0.5)) AS v4, CASE WHEN seq % 7 = 0 THEN 1280 ELSE 1920 END AS wide
     FROM det
 )"""
 
 
 def turned(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The shards with turned quads, two resolutions in an image, and a key point for every third row."""
-    a = F.radians((F.col("seq") % 90).cast("double"))
+    a = F.radians(F.col("seq") % 90 + 0.5)
     c = F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: F.array(F.col("cx") + F.col("h") * F.cos(a + i * F.lit(1.5707963267948966)), F.col("cy") + F.col("h") * F.sin(a + i * F.lit(1.5707963267948966))))
     middle = F.when(F.col("seq") % 3 == 0, F.array(F.array("cx", "cy"), F.array(F.lit(-1.0), F.lit(-1.0))))
     rows = det(spark, sf_dir).withColumns({"corners": c, "keypoints": middle, "resolution": F.array(F.when(F.col("seq") % 7 == 0, 1280).otherwise(1920), F.lit(1080))})

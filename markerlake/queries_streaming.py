@@ -21,8 +21,8 @@ def beat_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""WITH b AS (SELECT event_id AS t, 'w' || (user_id % 50) AS worker_id, CASE event_id % 3 WHEN 0 THEN 'idle' WHEN 1 THEN 'busy' ELSE 'done' END AS status, CAST(event_id % 9000 AS DOUBLE) AS vram FROM events WHERE event_id % 11 <> 0)
-SELECT worker_id, CASE WHEN max(t) + 10 <= (SELECT max(t) FROM b) - 5 THEN 'UNRESPONSIVE' ELSE 'HEALTHY' END AS liveness, CAST(max(t) AS DOUBLE) AS last_seen, arg_max(status, t) AS status, arg_max(vram, t) AS vram_used_mb, count(*) AS heard,
-    max(t) + 10 <= (SELECT max(t) FROM b) - 5 OR arg_max(vram, t) > 8000 AS restart FROM b GROUP BY worker_id""")
+SELECT worker_id, CASE WHEN max(t) + 10 < (SELECT max(t) FROM b) - 5 THEN 'UNRESPONSIVE' ELSE 'HEALTHY' END AS liveness, CAST(max(t) AS DOUBLE) AS last_seen, arg_max(status, t) AS status, arg_max(vram, t) AS vram_used_mb, count(*) AS heard,
+    max(t) + 10 < (SELECT max(t) FROM b) - 5 OR arg_max(vram, t) > 8000 AS restart FROM b GROUP BY worker_id""")
 def stream_liveness(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Heartbeats drained from files into snapshots: who was heard last when, who has been silent since, whom to restart."""
     folder = new_folder(spark, "beats")

@@ -64,7 +64,7 @@ def snapshots(beats: DataFrame, timeout_s: float = TIMEOUT_S, late_s: float = LA
         state.update(seen)
         if not state.hasTimedOut:
             due = int((seen[0] + timeout_s) * 1000)
-            if due <= state.getCurrentWatermarkMs():
+            if due < state.getCurrentWatermarkMs():
                 liveness = "UNRESPONSIVE"  # what was heard is long past already
             else:
                 state.setTimeoutTimestamp(due)

@@ -3,6 +3,8 @@
 import corpus_pipeline
 import test_decontaminate
 import test_neardup
+from pyspark.sql import functions as F
+
 from markerlake.llm import decontaminate, pii, toxicity
 from test_tokens import bpe_brute, order
 
@@ -63,8 +65,23 @@ def test_stages_equal_brute_force(spark, middle):
     assert order(run("encoding")) == order(bpe_brute([r[:2] for r in before]))
 
 
-def test_odd_rows(spark, odd, small):
-    kept = odd.drop("n", "score", "key")
+def test_odd_rows_and_clashing_columns(spark, odd, small):
+    """Columns that have the names of the stages' own go through them as they came."""
+    clash = ("n", "score", "key", "component_id", "kept", "spans", "_keep_0", "_text", "copy", "bands", "n_shingles", "item_id", "predicted", "h", "words")
+    kept = odd
+    for name in clash:
+        kept = kept.withColumn(name, F.lit(f"own {name}"))
+    columns = kept.columns
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        kept = stage(spark, kept, small)
+        assert kept.columns == columns
+    rows = kept.collect()
+    assert {r["doc_id"] for r in rows} >= {1, 2, 3, 4, 6, 10} and all(r[c] == f"own {c}" for r in rows for c in clash)
+    assert {r["doc_id"] for r in corpus_pipeline.encode(spark, kept, small).collect()} == {r["doc_id"] for r in rows}
+
+
+def test_empty_tables(spark, empty, small):
+    kept = empty
     for _, stage in corpus_pipeline.STAGES:
         kept = stage(spark, kept, small)
-    assert {r["doc_id"] for r in kept.collect()} >= {1, 2, 3, 4, 6, 10}
+    assert kept.count() == 0

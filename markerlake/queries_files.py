@@ -91,7 +91,7 @@ def source_coco(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(rows, 4)
 
 
-@query(f"WITH {SQL} SELECT image_id, tag_id, tag_family, record_type, " + ", ".join(f"round(least(greatest({c}{i}, 0), {m}), 4) AS {c}{i}" for i in range(1, 5) for c, m in (("x", 1920), ("y", 1080))) + ", CASE WHEN seq % 2 = 0 THEN 100.0 END AS tag_size_mm FROM det")
+@query(f"WITH {SQL} SELECT image_id, tag_id, tag_family, record_type, " + ", ".join(f"round(least(greatest({c}{i}, 0), {m}), 4) AS {c}{i}" for i in range(1, 5) for c, m in (("x", 1920), ("y", 1080))) + ", CASE WHEN seq % 2 = 0 THEN 100.0::DOUBLE END AS tag_size_mm FROM det")
 def source_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Flat tables of both headers in one folder, read by their columns' names."""
     rows = det(spark, sf_dir)

@@ -39,7 +39,7 @@ def spherical_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""WITH p AS (SELECT p_partkey AS id, radians(p_size * 7) AS a, CASE WHEN p_partkey % 5 = 0 THEN -1 ELSE 1 END AS flip FROM part)
-SELECT id, p.id % 11 <> 0 AS known, CASE WHEN id % 11 <> 0 THEN round(cos(a), 6) END AS r00, CASE WHEN id % 11 <> 0 THEN round(-sin(a), 6) END AS r01, CASE WHEN id % 11 <> 0 THEN 1.0 END AS r22, CASE WHEN id % 11 <> 0 THEN flip < 0 AND id % 3 <> 0 END AS mirrored FROM p""")
+SELECT id, p.id % 11 <> 0 AS known, CASE WHEN id % 11 <> 0 THEN round(cos(a), 6) END AS r00, CASE WHEN id % 11 <> 0 THEN round(-sin(a), 6) END AS r01, CASE WHEN id % 11 <> 0 THEN 1.0::DOUBLE END AS r22, CASE WHEN id % 11 <> 0 THEN flip < 0 AND id % 3 <> 0 END AS mirrored FROM p""")
 def rigid_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scaled turns about z: some mirrored in z, some without a z axis (rebuilt), some skewed (none)."""
     a, key = F.radians(F.col("p_size") * 7), F.col("p_partkey")
@@ -54,7 +54,7 @@ def rigid_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""WITH p AS (SELECT p_partkey AS id, radians(p_size * 3) AS a, p_partkey % 40 / 20.0 - 1 AS x, p_partkey % 30 / 15.0 - 1 AS y FROM part)
-SELECT id, round(x / 2, 6) AS px, round(-y / 2, 6) AS py, round(1.5, 6) AS pz, round(cos(a / 2), 6) AS qw, round(-sin(a / 2), 6) AS qz FROM p""")
+SELECT id, round(x / 2, 6) + 0.0 AS px, round(-y / 2, 6) + 0.0 AS py, 1.5::DOUBLE AS pz, round(cos(a / 2), 6) AS qw, round(-sin(a / 2), 6) + 0.0 AS qz FROM p""")
 def camera_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Markers turned about z under a camera of scale 2 that looks down from 3 m: seen with y down and z into their plane."""
     key, a = F.col("p_partkey"), F.radians(F.col("p_size") * 3)
@@ -65,7 +65,8 @@ def camera_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = with_camera_pose(rows, "p", "c", "e", "m", "t")
     p, q = F.col("p_position"), F.col("p_quaternion")
     sign = F.when(q[0] < 0, -1.0).otherwise(1.0)  # a turn has two quaternions
-    return rounded(found.select("id", p[0].alias("px"), p[1].alias("py"), p[2].alias("pz"), (sign * q[0]).alias("qw"), (sign * q[3]).alias("qz")))
+    values = {"px": p[0], "py": p[1], "pz": p[2], "qw": sign * q[0], "qz": sign * q[3]}
+    return found.select("id", *((F.round(v, 6) + 0.0).alias(n) for n, v in values.items()))  # no negative zeros
 
 
 #: Markers at right angles to the image, edge-on to the camera's axis: some reach behind it.

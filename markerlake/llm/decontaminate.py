@@ -99,6 +99,9 @@ def frequencies(documents: DataFrame, vocabulary: dict[bytes, int]) -> tuple[np.
     return out, total
 
 
+SUMS = 8  # partial sums of a block's products, of words x width numbers each, that reach the driver
+
+
 def latent(rows: DataFrame, idf: np.ndarray) -> np.ndarray:
     """The right singular vectors, scaled to unit length, of the TF-IDF rows (array column `words`): words x rank."""
     n, width = len(idf), min(RANK + OVERSAMPLE, len(idf))
@@ -124,7 +127,8 @@ def latent(rows: DataFrame, idf: np.ndarray) -> np.ndarray:
                         total[at] += np.outer(value, image)
             yield pa.RecordBatch.from_arrays([pa.array([total.astype(np.float32).tobytes()], pa.binary())], ["part"])
 
-        parts = arrow_map(rows, work, "part binary").toArrow().column("part").to_pylist()
+        # a block of items is small, so few tasks sum it, and the driver gets few sums however many partitions it lies in
+        parts = arrow_map(rows.coalesce(SUMS), work, "part binary").toArrow().column("part").to_pylist()
         return sum(np.frombuffer(x, np.float32).astype(float).reshape((width, width) if gram else q.shape) for x in parts)
 
     for _ in range(2):

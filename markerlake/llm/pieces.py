@@ -9,6 +9,8 @@ Text without such places is one part. Its pieces (by the file's own pattern) of
 own: leaves are encoded side by side, and around each join a window of tokens grows until its first token is one that
 the left side has there and its last token is one that the right side has. Short parts of other than plain Latin
 characters, and strings of special tokens, go through the tokenizers library.
+
+By a word file, the words of many texts are encoded together (Words): each different one once, all new ones in one call.
 """
 
 from __future__ import annotations
@@ -19,8 +21,11 @@ import sys
 from array import array
 from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
+from itertools import repeat
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 import tiktoken
 from tokenizers import Tokenizer
@@ -31,6 +36,8 @@ LEAF = 2048
 TEXT_LEAF = 2048
 #: Parts that the dictionary of one Python worker may hold before it is emptied.
 KEPT_PARTS = 250_000
+#: The same for different words of a word file.
+KEPT_WORDS = 600_000
 
 assert sys.byteorder == "little" and array("I").itemsize == 4
 
@@ -49,7 +56,7 @@ UNSURE = re.compile("[\x1c-\x1f\x85\u180e\u200b\ufeff]")
 #: A single space between two visible characters always begins a piece.
 BYTE_CUT = re.compile(r" (?=\S)(?<=\S )")
 
-END = b"\xff"  # never a byte of UTF-8: marks the end of a word
+END = b" "  # never a byte of a word: marks its end
 
 
 def byte_letters() -> dict[str, int]:
@@ -94,7 +101,7 @@ class Codec:
         named = {b: c for c, b in letters.items()}
         order = [(bytes([b]), named[b]) for b in range(256)]
         if self.word:
-            order += [(bytes([b]) + END, named[b] + suffix) for b in range(255)]
+            order += [(bytes([b]) + END, named[b] + suffix) for b in range(256) if b != END[0]]
         for pair in model["merges"]:
             a, b = pair if isinstance(pair, list) else pair.split(" ")
             order.append((as_bytes(a + b), a + b))
@@ -106,7 +113,8 @@ class Codec:
                 ids.append(vocab.get(token, -1))
         self.id_of_rank = ids
         self.rank_bytes = list(ranks)
-        self.merge = tiktoken.Encoding("parts", pat_str=r"\S+|\s+", mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece
+        self.ranks = tiktoken.Encoding("parts", pat_str=r"[^ ]+ " if self.word else r"\S+|\s+", mergeable_ranks=ranks, special_tokens={"<|none|>": len(ids)})
+        self.merge = self.ranks._core_bpe.encode_single_piece
         self.bytes_of: list[bytes] = []
         top = self.library.get_vocab_size(with_added_tokens=True)
         for i in range(top):
@@ -118,6 +126,7 @@ class Codec:
         self.parts = Parts(self.part)
         self.pieces: dict[str, bytes] = {}
         self.pool: ThreadPoolExecutor | None = None
+        self.words = Words(self) if self.word else None
 
     def _shown(self, token: str, letters: dict[str, int], suffix: str) -> bytes:
         body, end = (token[: -len(suffix)], b" ") if self.word and token.endswith(suffix) else (token, b"")
@@ -233,6 +242,62 @@ class Codec:
         return b"".join([of[i] for i in ids.tolist()]).decode("utf-8", errors="replace")
 
 
+class Words:
+    """Texts by a word file, many at once: each different word is encoded once, and all new ones in one call."""
+
+    def __init__(self, own: Codec) -> None:
+        self.own = own
+        self.ids = np.array(own.id_of_rank, np.int64).astype("<u4")  # of ranks
+        self.last = np.array([x.endswith(END) for x in own.rank_bytes])  # whether a rank ends a piece
+        self.clear()
+
+    def clear(self) -> None:
+        self.place: dict[str, int] = {}
+        self.flat, self.begins, self.sizes = np.empty(0, "<u4"), np.empty(0, np.int64), np.empty(0, np.int64)
+
+    def learn(self, words: list[str]) -> None:
+        pieces: list[str] = []
+        counts, other = np.ones(len(words), np.int64), {}
+        for i, word in enumerate(words):
+            if word.isalpha() and word.isascii() and len(word) <= LEAF // 2:
+                pieces.append(word)
+            elif WORD_PLAIN.fullmatch(word) and len(word) <= LEAF // 2 and not (self.own.special and "<|" in word):
+                found = WORD_PIECES.findall(word.lower())
+                pieces += found
+                counts[i] = len(found)
+            else:
+                counts[i], other[i] = 0, np.frombuffer(self.own.part(word), "<u4")
+        ranks = self.own.ranks.encode_to_numpy(" ".join(pieces).lower() + " ", disallowed_special=()) if pieces else np.empty(0, np.int64)
+        ends = np.append(0, np.flatnonzero(self.last[ranks]) + 1)[np.cumsum(counts)]
+        sizes, begins = np.diff(ends, prepend=0), np.append(0, ends)[:-1]
+        flat, at = [self.flat, self.ids[ranks]], len(ranks)
+        for i, found in other.items():
+            flat.append(found)
+            begins[i], sizes[i] = at, len(found)
+            at += len(found)
+        self.place.update(zip(words, range(len(self.place), len(self.place) + len(words)), strict=True))
+        self.begins, self.sizes = np.append(self.begins, begins + len(self.flat)), np.append(self.sizes, sizes)
+        self.flat = np.concatenate(flat)
+
+    def encode(self, some: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, one after the other, and how many each has. Null texts have none."""
+        split = pc.ascii_split_whitespace(pc.fill_null(some, ""))
+        found = split.flatten().dictionary_encode()
+        different = found.dictionary.to_numpy(zero_copy_only=False)
+        at = np.fromiter(map(self.place.get, different, repeat(-1)), np.int64, len(different))
+        if len(self.place) + (at < 0).sum() > KEPT_WORDS:
+            self.clear()
+            at[:] = -1
+        new = np.flatnonzero(at < 0)
+        at[new] = len(self.place) + np.arange(len(new))
+        self.learn(different[new].tolist())
+        word = at[found.indices.to_numpy()]
+        sizes = self.sizes[word]
+        ends = np.append(0, np.cumsum(sizes))
+        ids = self.flat[np.repeat(self.begins[word] - ends[:-1], sizes) + np.arange(ends[-1])]
+        return ids, np.diff(ends[split.offsets.to_numpy() - split.offsets[0].as_py()])
+
+
 _codecs: dict[tuple[str, bool], Codec] = {}
 
 

@@ -26,6 +26,9 @@ BLOCK_IDS = 1 << 21  # ids after which a block ends, at the end of a document
 #: at 4 bytes an occurrence.
 LEAST_COUNT = 6
 SLOT_BITS = 21
+#: All pairs are counted apart once a round replaces less than this part of the sequence; from then on only those that may have
+#: become frequent are.
+EXACT_FROM = 10
 MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)  # odd multipliers
 
 SCHEMA = "shard int, block int, doc_ids array<long>, lengths binary, symbols long, rules binary, expansions binary, sequence binary, n_ids long"
@@ -41,29 +44,32 @@ def compress(ids: np.ndarray, symbols: int, least: int = LEAST_COUNT) -> tuple[n
     sequence, rules, top, exact = ids.astype(np.uint32), [np.empty((0, 2), np.uint32)], symbols, False
     fresh, waiting = None, np.empty(0, np.uint64)  # the first of the last round's symbols, and its frequent pairs without a rule
     while len(sequence) > 1:
-        key = (sequence[:-1].astype(np.uint64) << np.uint64(32)) | sequence[1:]
+        key = sequence[:-1].astype(np.uint64)
+        key <<= np.uint64(32)
+        key |= sequence[1:]
         mix = MIX[len(rules) % len(MIX)]
-        slot = ((key * mix) >> np.uint64(64 - SLOT_BITS)).astype(np.int64) if fresh is None or len(waiting) else None
+        slot = slots(key, mix) if fresh is None or len(waiting) else None
+        if fresh is None:
+            near = np.flatnonzero((np.bincount(slot, minlength=1 << SLOT_BITS) >= least)[slot])  # positions whose pair may be frequent
         if exact:
-            if fresh is None:
-                near = np.flatnonzero((np.bincount(slot, minlength=1 << SLOT_BITS) >= least)[slot])  # positions whose pair may be frequent
-            else:  # counts of pairs without a new symbol only fall
+            if fresh is not None:  # counts of pairs without a new symbol only fall
                 may = (sequence[:-1] >= fresh) | (sequence[1:] >= fresh)
                 if len(waiting):
                     marked = np.zeros(1 << SLOT_BITS, bool)
-                    marked[((waiting * mix) >> np.uint64(64 - SLOT_BITS)).astype(np.int64)] = True
+                    marked[slots(waiting, mix)] = True
                     may |= marked[slot]
                 near = np.flatnonzero(may)
             pairs, which, n = np.unique(key[near], return_inverse=True, return_counts=True)
         else:  # a slot counts one of its pairs; what shares the slot waits for a round that hashes otherwise
             pairs = np.zeros(1 << SLOT_BITS, np.uint64)
-            pairs[slot] = key
-            near = np.flatnonzero(pairs[slot] == key)
-            which = slot[near]
+            which, some = slot[near], key[near]
+            pairs[which] = some
+            same = pairs[which] == some
+            near, which = near[same], which[same]
             n = np.bincount(which, minlength=1 << SLOT_BITS)
+        kept = (n >= least)[which]
+        near, which = near[kept], which[kept]
         often = n[which]
-        kept = often >= least
-        near, which, often = near[kept], which[kept], often[kept]
         if not len(near):
             if exact:
                 break
@@ -86,8 +92,7 @@ def compress(ids: np.ndarray, symbols: int, least: int = LEAST_COUNT) -> tuple[n
         number[chosen] = top + np.arange(len(chosen))
         new = number[which[taken]]
         at, new = near[taken][new >= 0], new[new >= 0]
-        exact = exact or len(at) < len(sequence) // 100
-        sequence = sequence.copy()
+        exact = exact or len(at) < len(sequence) // EXACT_FROM
         sequence[at] = new
         keep = np.ones(len(sequence), bool)
         keep[at + 1] = False
@@ -97,6 +102,13 @@ def compress(ids: np.ndarray, symbols: int, least: int = LEAST_COUNT) -> tuple[n
     return np.concatenate(rules), sequence
 
 
+def slots(key: np.ndarray, mix: np.uint64) -> np.ndarray:
+    """Numbers of SLOT_BITS bits for pairs."""
+    out = key * mix
+    out >>= np.uint64(64 - SLOT_BITS)
+    return out.view(np.int64)
+
+
 def apart(at: np.ndarray, often: np.ndarray) -> np.ndarray:
     """Which of the ascending positions are taken so that no two are neighbours: peaks of `often` first, then every second
     one of what is left between them.
@@ -177,9 +189,11 @@ def write(documents: DataFrame, tokenizer: str, folder: str, end_id: int = 1, bl
 
         arrow = pa.schema([("shard", pa.int32()), ("block", pa.int32()), ("doc_ids", pa.list_(pa.int64())), ("lengths", pa.binary()), ("symbols", pa.int64()), ("rules", pa.binary()), ("expansions", pa.binary()), ("sequence", pa.binary()), ("n_ids", pa.int64())])
         for batch in batches:
-            for name, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
+            flat, sizes = own.words.encode(batch.column("text"))
+            raw, cuts = flat.tobytes(), np.append(0, np.cumsum(sizes) * 4).tolist()
+            for i, name in enumerate(batch.column("doc_id").to_pylist()):
                 names.append(name)
-                parts.append(own.encode(text or "") + end)
+                parts.append(raw[cuts[i] : cuts[i + 1]] + end)
                 size += len(parts[-1]) // 4
                 if size >= block_ids:
                     yield row()

@@ -5,6 +5,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -92,6 +93,24 @@ def test_texts_of_the_table_are_trees(spark, middle):
     assert own.joins == sum(max(0, -(-len(x) // pieces.TEXT_LEAF) - 1) for x in texts) > 300
 
 
+def test_words_are_encoded_many_at_once(spark, odd, middle, monkeypatch):
+    """Each different word once, in one call for a batch; what differs from plain Latin one by one; none kept when the table is full."""
+    own, t = pieces.Codec(WORD_BPE), library(WORD_BPE)
+    texts = [r["text"] for r in spark.read.parquet(f"{middle}/documents.parquet").collect()]
+    strange = ["", None, " a  b\tC\x0bd\x0c ", "can't I'LL x_y 3.14 ÀÉ \x1c\x1d q\x85r", "İstanbul ŉ", "x<|endoftext|>y <|none|>", "é" * 3000 + " ok", "end.\n"]
+    want = [t.encode(x or "", add_special_tokens=False).ids for x in [*texts, *strange, *(r["text"] for r in odd.collect())]]
+    some = pa.array([*texts, *strange, *(r["text"] for r in odd.collect())], pa.string())
+    calls = []
+    monkeypatch.setattr(own, "merge", lambda piece, merge=own.merge: calls.append(piece) or merge(piece))
+    for kept in (1_000_000, 1_000):
+        monkeypatch.setattr(pieces, "KEPT_WORDS", kept)
+        for cut in (0, 3, len(texts)):  # slices too
+            ids, sizes = own.words.encode(some[cut:])
+            assert [x.tolist() for x in np.split(ids, np.cumsum(sizes)[:-1])] == want[cut:]
+    assert len(calls) < 100 < len(set(" ".join(x or "" for x in texts).split()))
+    assert [x.tolist() for x in own.words.encode(some[:0])] == [[], []]
+
+
 def repair_brute(rows):
     t, start, out = library(WORD_BPE), 0, []
     for i, text in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0)):

@@ -102,21 +102,24 @@ def frequencies(documents: DataFrame, vocabulary: dict[bytes, int]) -> tuple[np.
 SUMS = 8  # partial sums of a block's products, of words x width numbers each, that reach the driver
 
 
-def latent(rows: DataFrame, idf: np.ndarray) -> np.ndarray:
-    """The right singular vectors, scaled to unit length, of the TF-IDF rows (array column `words`): words x rank."""
+def latent(block: DataFrame, vocabulary: dict[bytes, int], idf: np.ndarray) -> np.ndarray:
+    """The right singular vectors, scaled to unit length, of the TF-IDF rows of the passages of items (text): words x rank.
+
+    Passages are cut where they are summed, so that a task holds one Python worker.
+    """
     n, width = len(idf), min(RANK + OVERSAMPLE, len(idf))
     basis = np.random.Generator(np.random.PCG64(11)).standard_normal((n, width))
-    context = rows.sparkSession.sparkContext
+    context = block.sparkSession.sparkContext
 
     def product(q: np.ndarray, gram: bool) -> np.ndarray:
         """Sum over rows a of a' (a q), or of (a q)' (a q)."""
-        kept = context.broadcast((q, idf))
+        kept = context.broadcast((q, idf, vocabulary))
 
         def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            q, idf = kept.value
+            q, idf, vocabulary = kept.value
             total = np.zeros((q.shape[1], q.shape[1]) if gram else q.shape)
             for batch in batches:
-                for words in batch.column("words").to_pylist():
+                for words in passages_of(texts(batch), vocabulary):
                     at, tf = np.unique(np.array(words, np.int64), return_counts=True)
                     value = tf * idf[at]
                     value = value / max(1e-12, np.linalg.norm(value))
@@ -128,7 +131,7 @@ def latent(rows: DataFrame, idf: np.ndarray) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array([total.astype(np.float32).tobytes()], pa.binary())], ["part"])
 
         # a block of items is small, so few tasks sum it, and the driver gets few sums however many partitions it lies in
-        parts = arrow_map(rows.coalesce(SUMS), work, "part binary").toArrow().column("part").to_pylist()
+        parts = arrow_map(block.select("text").coalesce(SUMS), work, "part binary").toArrow().column("part").to_pylist()
         return sum(np.frombuffer(x, np.float32).astype(float).reshape((width, width) if gram else q.shape) for x in parts)
 
     for _ in range(2):
@@ -138,16 +141,9 @@ def latent(rows: DataFrame, idf: np.ndarray) -> np.ndarray:
     return basis @ vectors[:, order[values[order] > 1e-9]]
 
 
-def passages_of(block: DataFrame, vocabulary: dict[bytes, int]) -> DataFrame:
-    """The passages of items (text) as arrays of word numbers."""
-    kept = block.sparkSession.sparkContext.broadcast(vocabulary)
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            cut = [p for x in texts(batch) if (words := plain_words(x)) for p in pieces([kept.value[w] for w in words])]
-            yield pa.RecordBatch.from_arrays([pa.array(cut, pa.list_(pa.int64()))], ["words"])
-
-    return arrow_map(block.select("text"), work, "words array<long>")
+def passages_of(some: list[str], vocabulary: dict[bytes, int]) -> list[list[int]]:
+    """The passages of items' texts as lists of word numbers."""
+    return [p for x in some if (words := plain_words(x)) for p in pieces([vocabulary[w] for w in words])]
 
 
 def fit(documents: DataFrame, block: DataFrame, items: list[tuple[int, list[bytes]]]) -> Model:
@@ -160,7 +156,7 @@ def fit(documents: DataFrame, block: DataFrame, items: list[tuple[int, list[byte
     idf = np.log((total + 1) / (df + 1)) + 0.01
     coded = [[vocabulary[w] for w in words] for _, words in items]
     cut = [(i, p) for i, words in enumerate(coded) for p in pieces(words)]
-    space = latent(passages_of(block, vocabulary), idf)
+    space = latent(block, vocabulary, idf)
     vectors = unit(np.stack([image_of(*np.unique(p, return_counts=True), idf, space) for _, p in cut]))
     answers = [sorted(set(words), key=lambda w: (-idf[w], w))[:ANSWER_WORDS] for words in coded]
     gates, hits = [], []

@@ -5,7 +5,7 @@ import test_decontaminate
 import test_neardup
 from pyspark.sql import functions as F
 
-from markerlake.llm import decontaminate, pii, toxicity
+from markerlake.llm import bpe, common, decontaminate, pii, toxicity
 from test_tokens import bpe_brute, order
 
 
@@ -85,3 +85,19 @@ def test_empty_tables(spark, empty, small):
     for _, stage in corpus_pipeline.STAGES:
         kept = stage(spark, kept, small)
     assert kept.count() == 0
+
+
+def test_a_task_has_one_python_worker(spark, middle, monkeypatch):
+    """Between two Python steps of a stage lies an exchange or a table: workers of one task wait side by side in an executor."""
+    counts, own = [], common.arrow_map
+
+    def counted(df, work, schema):
+        out = own(df, work, schema)
+        counts.append(out._jdf.queryExecution().executedPlan().toString().count("MapInArrow"))
+        return out
+
+    for module in (bpe, decontaminate, toxicity):
+        monkeypatch.setattr(module, "arrow_map", counted)
+    for name in ("toxicity", "benchmark", "encoding"):
+        dict(corpus_pipeline.STAGES)[name](spark, spark.read.parquet(f"{middle}/documents.parquet"), middle)
+    assert len(counts) >= 6 and set(counts) == {1}

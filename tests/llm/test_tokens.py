@@ -7,6 +7,7 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from markerlake.llm import bpe, pieces, repair, token_counts
@@ -50,6 +51,14 @@ def test_bpe_on_the_table(spark, middle):
     assert order(got) == order(bpe_brute([(r["doc_id"], r["text"]) for r in docs.collect()]))
 
 
+def test_a_task_of_bpe_has_one_python_worker(odd):
+    """Workers wait side by side in one executor: two to a task hold twice the codecs."""
+    got = bpe.digests(odd, BYTE_BPE)
+    assert got._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    apart = bpe.decode(bpe.encode(odd, BYTE_BPE), BYTE_BPE).select("doc_id", "n_tokens", "ids_sha256", F.sha2("text", 256))
+    assert order(map(tuple, got.collect())) == order(map(tuple, apart.collect()))
+
+
 @pytest.mark.parametrize("piece", ["a" * 5000, "ab" * 4000, "the" * 2500, "xyzzy" * 900 + "q" * 3001, "".join(chr(97 + (i * i) % 26) for i in range(7000))])
 @pytest.mark.parametrize("leaf", [3, 64, 1000])
 def test_trees_give_the_tokens_of_the_whole(piece, leaf):

@@ -10,7 +10,7 @@ own: leaves are encoded side by side, and around each join a window of tokens gr
 the left side has there and its last token is one that the right side has. Short parts of other than plain Latin
 characters, and strings of special tokens, go through the tokenizers library.
 
-By a word file, the words of many texts are encoded together (Words): each different one once, all new ones in one call.
+By a word file, the words of many texts are encoded together (Words): each different one once, all in one call.
 """
 
 from __future__ import annotations
@@ -21,7 +21,6 @@ import sys
 from array import array
 from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +35,7 @@ LEAF = 2048
 TEXT_LEAF = 2048
 #: Parts that the dictionary of one Python worker may hold before it is emptied.
 KEPT_PARTS = 250_000
-#: The same for different words of a word file.
+#: Different words of a word file that are encoded in one call.
 KEPT_WORDS = 600_000
 
 assert sys.byteorder == "little" and array("I").itemsize == 4
@@ -50,6 +49,8 @@ WORD_PLAIN = re.compile(r"[\x21-\x7eÀ-ÖØ-öø-įı-ňŊ-ſ]*")
 #: Letters only: one piece. The word file drops the space.
 BYTE_LETTERS = re.compile(rf" ?[A-Za-z{LATIN}]+")
 WORD_LETTERS = re.compile(r"[A-Za-zÀ-ÖØ-öø-įı-ňŊ-ſ]+")
+#: Nothing, or any of the characters that the fast way takes but letters.
+NO_LETTER = r"^$|[\x21-\x40\x5b-\x60\x7b-\x7e]"
 #: The byte-level file's pattern over all characters, and white space on which libraries differ. Fixed values.
 ANY_PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 UNSURE = re.compile("[\x1c-\x1f\x85\u180e\u200b\ufeff]")
@@ -243,61 +244,54 @@ class Codec:
 
 
 class Words:
-    """Texts by a word file, many at once: each different word is encoded once, and all new ones in one call."""
+    """Texts by a word file, many at once: each different word is encoded once, and all plain ones in one call."""
 
     def __init__(self, own: Codec) -> None:
         self.own = own
         self.ids = np.array(own.id_of_rank, np.int64).astype("<u4")  # of ranks
         self.last = np.array([x.endswith(END) for x in own.rank_bytes])  # whether a rank ends a piece
-        self.clear()
-
-    def clear(self) -> None:
-        self.place: dict[str, int] = {}
-        self.flat, self.begins, self.sizes = np.empty(0, "<u4"), np.empty(0, np.int64), np.empty(0, np.int64)
-
-    def learn(self, words: list[str]) -> None:
-        pieces: list[str] = []
-        counts, other = np.ones(len(words), np.int64), {}
-        for i, word in enumerate(words):
-            if word.isalpha() and word.isascii() and len(word) <= LEAF // 2:
-                pieces.append(word)
-            elif WORD_PLAIN.fullmatch(word) and len(word) <= LEAF // 2 and not (self.own.special and "<|" in word):
-                found = WORD_PIECES.findall(word.lower())
-                pieces += found
-                counts[i] = len(found)
-            else:
-                counts[i], other[i] = 0, np.frombuffer(self.own.part(word), "<u4")
-        ranks = self.own.ranks.encode_to_numpy(" ".join(pieces).lower() + " ", disallowed_special=()) if pieces else np.empty(0, np.int64)
-        ends = np.append(0, np.flatnonzero(self.last[ranks]) + 1)[np.cumsum(counts)]
-        sizes, begins = np.diff(ends, prepend=0), np.append(0, ends)[:-1]
-        flat, at = [self.flat, self.ids[ranks]], len(ranks)
-        for i, found in other.items():
-            flat.append(found)
-            begins[i], sizes[i] = at, len(found)
-            at += len(found)
-        self.place.update(zip(words, range(len(self.place), len(self.place) + len(words)), strict=True))
-        self.begins, self.sizes = np.append(self.begins, begins + len(self.flat)), np.append(self.sizes, sizes)
-        self.flat = np.concatenate(flat)
+
+    def encoded(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of different words, one after the other, and how many each has."""
+        plain = pc.and_(pc.match_substring_regex(words, f"^(?:{WORD_PLAIN.pattern})$"), pc.less_equal(pc.binary_length(words), LEAF // 2))
+        if self.own.special:
+            plain = pc.and_not(plain, pc.match_substring(words, "<|"))
+        some = pc.utf8_lower(words.filter(plain))
+        mixed = pc.match_substring_regex(some, NO_LETTER)
+        cut = pc.replace_substring_regex(some.filter(mixed), f"({WORD_PIECES.pattern})", r"\1 ")
+        pieces = np.ones(len(some), np.int64)
+        pieces[flags(mixed)] = pc.count_substring(cut, " ").to_numpy()
+        ended = pc.replace_with_mask(pc.binary_join_element_wise(some, "", " "), mixed, cut)
+        ranks = self.own.ranks.encode_to_numpy(pc.binary_join(pa.ListArray.from_arrays([0, len(ended)], ended), "")[0].as_py(), disallowed_special=()) if len(some) else np.empty(0, np.int64)
+        ends = np.append(0, np.flatnonzero(self.last[ranks]) + 1)[np.cumsum(pieces)]
+        sizes = np.zeros(len(words), np.int64)
+        sizes[flags(plain)] = np.diff(ends, prepend=0)
+        ids, begins, parts = self.ids[ranks], np.cumsum(sizes), []
+        others, done = np.flatnonzero(~flags(plain)), 0
+        for i, word in zip(others.tolist(), words.take(pa.array(others)).to_pylist(), strict=True):
+            parts += [ids[done : begins[i]], np.frombuffer(self.own.parts[word] if len(word) <= LEAF else self.own.part(word), "<u4")]
+            sizes[i], done = len(parts[-1]), begins[i]
+        if len(self.own.parts) > KEPT_PARTS:
+            self.own.parts.clear()
+        return np.concatenate([*parts, ids[done:]]), sizes
 
     def encode(self, some: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, one after the other, and how many each has. Null texts have none."""
         split = pc.ascii_split_whitespace(pc.fill_null(some, ""))
         found = split.flatten().dictionary_encode()
-        different = found.dictionary.to_numpy(zero_copy_only=False)
-        at = np.fromiter(map(self.place.get, different, repeat(-1)), np.int64, len(different))
-        if len(self.place) + (at < 0).sum() > KEPT_WORDS:
-            self.clear()
-            at[:] = -1
-        new = np.flatnonzero(at < 0)
-        at[new] = len(self.place) + np.arange(len(new))
-        self.learn(different[new].tolist())
-        word = at[found.indices.to_numpy()]
-        sizes = self.sizes[word]
+        different, word = found.dictionary, found.indices.to_numpy()
+        known = [self.encoded(different[i : i + KEPT_WORDS]) for i in range(0, max(1, len(different)), KEPT_WORDS)]
+        flat, lengths = (np.concatenate(x) for x in zip(*known, strict=True))
+        sizes = lengths[word]
         ends = np.append(0, np.cumsum(sizes))
-        ids = self.flat[np.repeat(self.begins[word] - ends[:-1], sizes) + np.arange(ends[-1])]
+        ids = flat[np.repeat((np.cumsum(lengths) - lengths)[word] - ends[:-1], sizes) + np.arange(ends[-1])]
         return ids, np.diff(ends[split.offsets.to_numpy() - split.offsets[0].as_py()])
 
 
+def flags(some: pa.Array) -> np.ndarray:
+    return some.to_numpy(zero_copy_only=False)
+
+
 _codecs: dict[tuple[str, bool], Codec] = {}
 
 

@@ -25,11 +25,9 @@ BLOCK_IDS = 1 << 21  # ids after which a block ends, at the end of a document
 #: Occurrences from which a pair is worth a rule: one takes 12 bytes (two symbols and a length) and must save as much again,
 #: at 4 bytes an occurrence.
 LEAST_COUNT = 6
-SLOT_BITS = 21
-#: All pairs are counted apart once a round replaces less than this part of the sequence; from then on only those that may have
-#: become frequent are.
-EXACT_FROM = 10
-MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)  # odd multipliers
+#: The first round takes pairs that occur this many times as often: they lose fewer occurrences to rare neighbours.
+FIRST = 5
+AT_LEAST = 4 << 20  # bytes of text that are encoded together
 
 SCHEMA = "shard int, block int, doc_ids array<long>, lengths binary, symbols long, rules binary, expansions binary, sequence binary, n_ids long"
 
@@ -37,92 +35,92 @@ SCHEMA = "shard int, block int, doc_ids array<long>, lengths binary, symbols lon
 def compress(ids: np.ndarray, symbols: int, least: int = LEAST_COUNT) -> tuple[np.ndarray, np.ndarray]:
     """Rules, as rows of two symbols each, and the remaining sequence. Rule i makes the symbol `symbols` + i.
 
-    In each round all pairs that occur `least` times or more are replaced side by side, until there is none: where
-    occurrences touch, the more frequent pair goes first. A pair that loses too many of its occurrences to its neighbours
-    waits for the next round, so every rule is used `least` times at least.
+    In each round all pairs that occur `least` times or more are replaced side by side, until there is none; the first
+    round takes only those that occur FIRST times as often. Where occurrences touch, the more frequent pair goes first.
+    A pair that loses too many of its occurrences to its neighbours waits for the next round, so every rule is used
+    `least` times at least.
     """
-    sequence, rules, top, exact = ids.astype(np.uint32), [np.empty((0, 2), np.uint32)], symbols, False
-    fresh, waiting = None, np.empty(0, np.uint64)  # the first of the last round's symbols, and its frequent pairs without a rule
-    while len(sequence) > 1:
-        key = sequence[:-1].astype(np.uint64)
-        key <<= np.uint64(32)
-        key |= sequence[1:]
-        mix = MIX[len(rules) % len(MIX)]
-        slot = slots(key, mix) if fresh is None or len(waiting) else None
-        if fresh is None:
-            near = np.flatnonzero((np.bincount(slot, minlength=1 << SLOT_BITS) >= least)[slot])  # positions whose pair may be frequent
-        if exact:
-            if fresh is not None:  # counts of pairs without a new symbol only fall
-                may = (sequence[:-1] >= fresh) | (sequence[1:] >= fresh)
-                if len(waiting):
-                    marked = np.zeros(1 << SLOT_BITS, bool)
-                    marked[slots(waiting, mix)] = True
-                    may |= marked[slot]
-                near = np.flatnonzero(may)
-            pairs, which, n = np.unique(key[near], return_inverse=True, return_counts=True)
-        else:  # a slot counts one of its pairs; what shares the slot waits for a round that hashes otherwise
-            pairs = np.zeros(1 << SLOT_BITS, np.uint64)
-            which, some = slot[near], key[near]
-            pairs[which] = some
-            same = pairs[which] == some
-            near, which = near[same], which[same]
-            n = np.bincount(which, minlength=1 << SLOT_BITS)
-        kept = (n >= least)[which]
-        near, which = near[kept], which[kept]
-        often = n[which]
+    sequence, rules, top = ids.astype(np.uint32), [np.empty((0, 2), np.uint32)], symbols
+    near, most = np.arange(len(sequence) - 1), FIRST * least  # positions whose pair may be frequent
+    while True:
+        pairs, n, near, which = frequent(sequence, near, top, most)
         if not len(near):
-            if exact:
+            if most == least:
                 break
-            exact = True
+            near, most = np.arange(len(sequence) - 1), least
             continue
+        often = n[which]
         taken = apart(near, often)
-        used = np.bincount(which[taken], minlength=len(pairs))
-        chosen = np.flatnonzero(used >= least)
-        if not len(chosen):  # all lose occurrences to each other: the most frequent pair alone can't
-            chosen = np.array([n.argmax()])
-            taken = np.flatnonzero(which == chosen[0])
+        chosen = np.bincount(which[taken], minlength=len(pairs)) >= least
+        if chosen.any():
+            taken = taken[chosen[which[taken]]]
+        else:  # all lose occurrences to each other: the most frequent pair alone can't
+            chosen[n.argmax()] = True
+            taken = np.flatnonzero(chosen[which])
             taken = taken[apart(near[taken], often[taken])]
             if len(taken) < least:
                 break
-        if exact:
-            late = n >= least
-            late[chosen] = False
-            fresh, waiting = top, pairs[late]
-        number = np.full(len(pairs), -1, np.int64)
-        number[chosen] = top + np.arange(len(chosen))
-        new = number[which[taken]]
-        at, new = near[taken][new >= 0], new[new >= 0]
-        exact = exact or len(at) < len(sequence) // EXACT_FROM
-        sequence[at] = new
+        at = near[taken]
+        sequence[at] = (top - 1 + np.cumsum(chosen))[which[taken]]
         keep = np.ones(len(sequence), bool)
         keep[at + 1] = False
         sequence = sequence[keep]
-        rules.append(np.stack([pairs[chosen] >> np.uint64(32), pairs[chosen] & np.uint64(0xFFFFFFFF)], axis=1).astype(np.uint32))
-        top += len(chosen)
+        rules.append(pairs[chosen])
+        top += len(rules[-1])
+        if most > least:
+            near, most = np.arange(len(sequence) - 1), least
+        else:  # other pairs are not frequent, and counts of pairs without a new symbol only fall
+            may = np.zeros(len(keep), bool)
+            may[near] = True
+            may = may[keep]
+            near = np.flatnonzero(may[:-1] | may[1:])
     return np.concatenate(rules), sequence
 
 
-def slots(key: np.ndarray, mix: np.uint64) -> np.ndarray:
-    """Numbers of SLOT_BITS bits for pairs."""
-    out = key * mix
-    out >>= np.uint64(64 - SLOT_BITS)
-    return out.view(np.int64)
+def frequent(sequence: np.ndarray, near: np.ndarray, top: int, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The pairs of symbols below `top` that begin at `least` of the ascending positions or more, how many times each does, and
+    those positions and the numbers of their pairs."""
+    bits, places = np.uint64(int(top).bit_length()), np.uint64(len(near).bit_length())
+    whole = len(near) == len(sequence) - 1
+    key = (sequence[:-1] if whole else sequence[near]).astype(np.uint64)
+    key <<= bits
+    key |= sequence[1:] if whole else sequence[near + 1]
+    if 2 * bits + places <= 64:  # pair and place sort as one number, far faster than by argsort
+        key <<= places
+        key |= np.arange(len(near), dtype=np.uint64)
+        key.sort()
+        place = (key & ((np.uint64(1) << places) - np.uint64(1))).astype(np.int32 if places < 32 else np.int64)
+        key >>= places
+    else:
+        place = np.argsort(key, kind="stable")
+        key = key[place]
+    begins = np.flatnonzero(np.append(True, key[1:] != key[:-1])[: len(key)])
+    n = np.diff(begins, append=len(key))
+    many = n >= least
+    which = np.empty(len(near), np.int32)
+    which[place] = np.repeat(np.where(many, np.cumsum(many) - 1, -1).astype(np.int32), n)
+    kept, key = np.flatnonzero(which >= 0), key[begins[many]]
+    pairs = np.stack([key >> bits, key & ((np.uint64(1) << bits) - np.uint64(1))], axis=1).astype(np.uint32)
+    return pairs, n[many], near[kept], which[kept]
 
 
 def apart(at: np.ndarray, often: np.ndarray) -> np.ndarray:
     """Which of the ascending positions are taken so that no two are neighbours: peaks of `often` first, then every second
     one of what is left between them.
     """
-    joined = np.zeros(len(at) + 1, bool)
-    joined[1:-1] = np.diff(at) == 1
-    before, after = np.where(joined[:-1], np.append(0, often[:-1]), 0), np.where(joined[1:], np.append(often[1:], 0), 0)
-    peak = (often > before) & (often > after)
-    free = ~peak & ~(np.append(False, peak[:-1]) & joined[:-1]) & ~(np.append(peak[1:], False) & joined[1:])
+    joined = at[1:] - at[:-1] == 1
+    taken = np.ones(len(at), bool)
+    taken[1:] = ~joined | (often[1:] > often[:-1])
+    taken[:-1] &= ~joined | (often[:-1] > often[1:])
+    free = ~taken
+    free[1:] &= ~(taken[:-1] & joined)
+    free[:-1] &= ~(taken[1:] & joined)
     rest = np.flatnonzero(free)
     first = np.ones(len(rest), bool)
     first[1:] = at[rest][1:] - at[rest][:-1] != 1
     begins = np.maximum.accumulate(np.where(first, np.arange(len(rest)), 0))
-    return np.sort(np.concatenate([np.flatnonzero(peak), rest[(np.arange(len(rest)) - begins) % 2 == 0]]))
+    taken[rest[(np.arange(len(rest)) - begins) % 2 == 0]] = True
+    return np.flatnonzero(taken)
 
 
 def expansion_lengths(rules: np.ndarray, symbols: int) -> np.ndarray:
@@ -188,7 +186,7 @@ def write(documents: DataFrame, tokenizer: str, folder: str, end_id: int = 1, bl
             return pa.RecordBatch.from_pylist([dict(zip(("shard", "block", "doc_ids", "lengths", "symbols", "rules", "expansions", "sequence", "n_ids"), values, strict=True))], schema=arrow)
 
         arrow = pa.schema([("shard", pa.int32()), ("block", pa.int32()), ("doc_ids", pa.list_(pa.int64())), ("lengths", pa.binary()), ("symbols", pa.int64()), ("rules", pa.binary()), ("expansions", pa.binary()), ("sequence", pa.binary()), ("n_ids", pa.int64())])
-        for batch in batches:
+        for batch in together(batches, AT_LEAST):
             flat, sizes = own.words.encode(batch.column("text"))
             raw, cuts = flat.tobytes(), np.append(0, np.cumsum(sizes) * 4).tolist()
             for i, name in enumerate(batch.column("doc_id").to_pylist()):
@@ -206,6 +204,18 @@ def write(documents: DataFrame, tokenizer: str, folder: str, end_id: int = 1, bl
     arrow_map(ordered, work, SCHEMA).write.mode("overwrite").parquet(folder)
 
 
+def together(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of `least` bytes or more, but for the last."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(x.nbytes for x in held) >= least:
+            yield pa.concat_batches(held)
+            held = []
+    if held:
+        yield pa.concat_batches(held)
+
+
 def read(spark: SparkSession, folder: str, with_ids: bool = True) -> DataFrame:
     """doc_id, start, n_tokens (with the end id), ids_crc32, and ids (binary, unless left out) of every document in token
     files. Null and repeated doc_ids come back as they were written; an empty folder gives no rows."""

@@ -27,6 +27,7 @@ BLOCK_IDS = 1 << 21  # ids after which a block ends, at the end of a document
 LEAST_COUNT = 6
 #: The first round takes pairs that occur this many times as often: they lose fewer occurrences to rare neighbours.
 FIRST = 5
+MIX = np.array([0x9E3779B1, 0x85EBCA6B], np.uint32)  # odd multipliers: ties between pairs are broken by a hash of both symbols
 AT_LEAST = 4 << 20  # bytes of text that are encoded together
 
 SCHEMA = "shard int, block int, doc_ids array<long>, lengths binary, symbols long, rules binary, expansions binary, sequence binary, n_ids long"
@@ -36,9 +37,9 @@ def compress(ids: np.ndarray, symbols: int, least: int = LEAST_COUNT) -> tuple[n
     """Rules, as rows of two symbols each, and the remaining sequence. Rule i makes the symbol `symbols` + i.
 
     In each round all pairs that occur `least` times or more are replaced side by side, until there is none; the first
-    round takes only those that occur FIRST times as often. Where occurrences touch, the more frequent pair goes first.
-    A pair that loses too many of its occurrences to its neighbours waits for the next round, so every rule is used
-    `least` times at least.
+    round takes only those that occur FIRST times as often. Where occurrences touch, the more frequent pair goes first,
+    among equally frequent ones the same everywhere, so that copies of a passage are replaced alike. A pair that loses
+    too many of its occurrences to its neighbours waits for the next round, so every rule is used `least` times at least.
     """
     sequence, rules, top = ids.astype(np.uint32), [np.empty((0, 2), np.uint32)], symbols
     near, most = np.arange(len(sequence) - 1), FIRST * least  # positions whose pair may be frequent
@@ -49,7 +50,9 @@ def compress(ids: np.ndarray, symbols: int, least: int = LEAST_COUNT) -> tuple[n
                 break
             near, most = np.arange(len(sequence) - 1), least
             continue
-        often = n[which]
+        rank = np.empty(len(n), np.int32)
+        rank[np.lexsort(((pairs * MIX).sum(axis=1, dtype=np.uint32), n))] = np.arange(len(n))
+        often = rank[which]
         taken = apart(near, often)
         chosen = np.bincount(which[taken], minlength=len(pairs)) >= least
         if chosen.any():
@@ -58,8 +61,6 @@ def compress(ids: np.ndarray, symbols: int, least: int = LEAST_COUNT) -> tuple[n
             chosen[n.argmax()] = True
             taken = np.flatnonzero(chosen[which])
             taken = taken[apart(near[taken], often[taken])]
-            if len(taken) < least:
-                break
         at = near[taken]
         sequence[at] = (top - 1 + np.cumsum(chosen))[which[taken]]
         keep = np.ones(len(sequence), bool)
@@ -78,8 +79,8 @@ def compress(ids: np.ndarray, symbols: int, least: int = LEAST_COUNT) -> tuple[n
 
 
 def frequent(sequence: np.ndarray, near: np.ndarray, top: int, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """The pairs of symbols below `top` that begin at `least` of the ascending positions or more, how many times each does, and
-    those positions and the numbers of their pairs."""
+    """The pairs of symbols below `top` that begin at `least` of the ascending positions or more, of which no two of one pair
+    overlap; at how many each does; all positions where they begin, and the numbers of their pairs."""
     bits, places = np.uint64(int(top).bit_length()), np.uint64(len(near).bit_length())
     whole = len(near) == len(sequence) - 1
     key = (sequence[:-1] if whole else sequence[near]).astype(np.uint64)
@@ -99,9 +100,15 @@ def frequent(sequence: np.ndarray, near: np.ndarray, top: int, least: int) -> tu
     many = n >= least
     which = np.empty(len(near), np.int32)
     which[place] = np.repeat(np.where(many, np.cumsum(many) - 1, -1).astype(np.int32), n)
-    kept, key = np.flatnonzero(which >= 0), key[begins[many]]
-    pairs = np.stack([key >> bits, key & ((np.uint64(1) << bits) - np.uint64(1))], axis=1).astype(np.uint32)
-    return pairs, n[many], near[kept], which[kept]
+    kept, key, n = np.flatnonzero(which >= 0), key[begins[many]], n[many]
+    near, which = near[kept], which[kept]
+    again = np.flatnonzero((near[1:] - near[:-1] == 1) & (which[1:] == which[:-1])) + 1  # in a run of one symbol
+    n -= np.bincount(which[again[every_second(again)]], minlength=len(n))
+    many = n >= least
+    if not many.all():
+        kept = np.flatnonzero(many[which])
+        near, which, key, n = near[kept], (np.cumsum(many) - 1)[which[kept]], key[many], n[many]
+    return np.stack([key >> bits, key & ((np.uint64(1) << bits) - np.uint64(1))], axis=1).astype(np.uint32), n, near, which
 
 
 def apart(at: np.ndarray, often: np.ndarray) -> np.ndarray:
@@ -116,13 +123,18 @@ def apart(at: np.ndarray, often: np.ndarray) -> np.ndarray:
     free[1:] &= ~(taken[:-1] & joined)
     free[:-1] &= ~(taken[1:] & joined)
     rest = np.flatnonzero(free)
-    first = np.ones(len(rest), bool)
-    first[1:] = at[rest][1:] - at[rest][:-1] != 1
-    begins = np.maximum.accumulate(np.where(first, np.arange(len(rest)), 0))
-    taken[rest[(np.arange(len(rest)) - begins) % 2 == 0]] = True
+    taken[rest[every_second(at[rest])]] = True
     return np.flatnonzero(taken)
 
 
+def every_second(at: np.ndarray) -> np.ndarray:
+    """Of ascending positions, the first, third, fifth and so on of each run of neighbours."""
+    first = np.ones(len(at), bool)
+    first[1:] = at[1:] - at[:-1] != 1
+    place = np.arange(len(at))
+    return (place - np.maximum.accumulate(np.where(first, place, 0))) % 2 == 0
+
+
 def expansion_lengths(rules: np.ndarray, symbols: int) -> np.ndarray:
     """To how many ids each rule's symbol expands."""
     out = [1] * len(rules)

@@ -1,4 +1,6 @@
-"""What operator 6 costs: how often it looks at a block, and which words it takes one by one."""
+"""What operator 6 costs: how often it looks at a block, and which words it takes one by one; that no frequent pair is left."""
+
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -38,13 +40,42 @@ def test_positions_left_out_hold_no_frequent_pair(seed, monkeypatch):
         assert (a == b).all()
 
 
+def most_frequent(sequence):
+    """Occurrences of the most frequent pair, as many as can be replaced together."""
+    seen, last = Counter(), {}
+    for i, pair in enumerate(zip(sequence, sequence[1:])):
+        if last.get(pair) != i - 1:
+            seen[pair] += 1
+            last[pair] = i
+    return max(seen.values())
+
+
+def test_no_frequent_pair_of_the_table_is_left(spark, small):
+    """Pairs of copies that take turns with each other, and runs with more places than occurrences, too few for a rule."""
+    own = pieces.codec(WORD_BPE)
+    texts = [r["text"] for r in spark.read.parquet(f"{small}/documents.parquet").orderBy("doc_id").collect()]
+    ids, sizes = own.words.encode(pa.array(texts, pa.string()))
+    ids = np.insert(ids, np.cumsum(sizes), 1)
+    rules, sequence = repair.compress(ids, len(own.bytes_of))
+    assert (repair.expand(sequence, rules, len(own.bytes_of)) == ids).all()
+    assert most_frequent(sequence.tolist()) < repair.LEAST_COUNT
+
+
+def test_runs_count_what_can_be_replaced_together():
+    ids = np.array([5] * 11 + [6] + [5] * 2 + [7, 8] * 7 + [9] * 10, np.uint32)
+    pairs, n, near, which = repair.frequent(ids, np.arange(len(ids) - 1), 400, 6)
+    assert list(zip(pairs.tolist(), n.tolist(), strict=True)) == [([5, 5], 6), ([7, 8], 7), ([8, 7], 6)]
+    assert (ids[near] == pairs[which, 0]).all() and (ids[near + 1] == pairs[which, 1]).all() and len(near) == 11 + 7 + 6
+
+
 def test_pairs_too_wide_to_sort_with_their_places():
     """Two ids of 32 bits and a place don't fit into 64 bits."""
-    ids, far = block(3), 3_000_000_000
-    rules, sequence = repair.compress(ids, 400)
-    wide, left = repair.compress(ids, far)
-    for a, b in ((rules, wide), (sequence, left)):
-        assert (np.where(a < 400, a, a.astype(np.int64) - 400 + far) == b).all()
+    ids = block(3)
+    for a, b in zip(*(repair.frequent(ids, np.arange(len(ids) - 1), top, 6) for top in (400, 2**32 - 1)), strict=True):
+        assert len(a) and (a == b).all()
+    far = 3_000_000_000
+    rules, sequence = repair.compress(ids, far)
+    assert (repair.expand(sequence, rules, far) == ids).all()
 
 
 @pytest.mark.parametrize("length", [0, 1, 2, 5])

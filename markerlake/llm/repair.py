@@ -143,17 +143,24 @@ def expansion_lengths(rules: np.ndarray, symbols: int) -> np.ndarray:
     return np.array(out, np.uint32)
 
 
-def expand(sequence: np.ndarray, rules: np.ndarray, symbols: int) -> np.ndarray:
-    """The ids that a sequence stands for: each round replaces all nonterminals by their rules."""
-    out = sequence.astype(np.uint32)
-    while True:
-        wide = out >= symbols
-        if not wide.any():
-            return out
-        rule = rules[out[wide] - symbols]
-        out = np.repeat(out, 1 + wide)
-        at = np.flatnonzero(wide) + np.arange(len(rule))
-        out[at], out[at + 1] = rule[:, 0], rule[:, 1]
+def expand(sequence: np.ndarray, rules: np.ndarray, symbols: int, expansions: np.ndarray | None = None) -> np.ndarray:
+    """The ids that a sequence stands for: each round puts both symbols of the rules that the last one put in their places."""
+    known = expansion_lengths(rules, symbols) if expansions is None else expansions
+
+    def sizes(some: np.ndarray) -> np.ndarray:
+        out, wide = np.ones(len(some), np.int64), some >= symbols
+        out[wide] = known[some[wide] - symbols]
+        return out
+
+    first, second, step = rules[:, 0].copy(), rules[:, 1].copy(), sizes(rules[:, 0])
+    ends = np.cumsum(sizes(sequence))
+    out, some, at = np.empty(ends[-1] if len(ends) else 0, np.uint32), sequence, np.append(0, ends)[:-1]
+    while len(some):
+        out[at] = some  # what a rule stands for takes its place in the next round
+        wide = np.flatnonzero(some >= symbols)
+        rule, at = some[wide] - symbols, at[wide]
+        some, at = np.concatenate([first[rule], second[rule]]), np.concatenate([at, at + step[rule]])
+    return out
 
 
 class Block:
@@ -162,7 +169,8 @@ class Block:
     def __init__(self, block: dict) -> None:
         self.symbols = int(block["symbols"])
         self.rules, self.sequence = np.frombuffer(block["rules"], "<u4").reshape(-1, 2), np.frombuffer(block["sequence"], "<u4")
-        lengths = np.concatenate([np.ones(self.symbols, np.int64), np.frombuffer(block["expansions"], "<u4")])
+        self.expansions = np.frombuffer(block["expansions"], "<u4")
+        lengths = np.concatenate([np.ones(self.symbols, np.int64), self.expansions])
         self.ends = np.cumsum(lengths[self.sequence])
 
     def ids(self, start: int, stop: int) -> np.ndarray:
@@ -171,7 +179,7 @@ class Block:
             return np.empty(0, np.uint32)
         i, j = np.searchsorted(self.ends, start, side="right"), np.searchsorted(self.ends, stop, side="left") + 1
         before = int(self.ends[i - 1]) if i else 0
-        return expand(self.sequence[i:j], self.rules, self.symbols)[start - before : stop - before]
+        return expand(self.sequence[i:j], self.rules, self.symbols, self.expansions)[start - before : stop - before]
 
 
 def write(documents: DataFrame, tokenizer: str, folder: str, end_id: int = 1, block_ids: int = BLOCK_IDS) -> None:

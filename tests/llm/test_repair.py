@@ -84,6 +84,19 @@ def test_short_blocks(length):
     assert rules.shape == (0, 2) and sequence.tolist() == [3] * length
 
 
+@pytest.mark.parametrize("deep", [1, 300])
+def test_expansion_puts_each_symbol_once(deep, monkeypatch):
+    """Rounds look at what the last one has put, not at all ids again."""
+    rules = np.array([(10 + i - 1 if i else 3, i % 10) for i in range(deep)], np.uint32)  # each rule: the one before and an id
+    sequence, seen, found = np.array([*range(10)] * 400 + [10 + deep - 1], np.uint32), [], np.flatnonzero
+    monkeypatch.setattr(np, "flatnonzero", lambda x: seen.append(len(x)) or found(x))
+    got = repair.expand(sequence, rules, 10)
+    assert got.tolist() == [*range(10)] * 400 + [3, *(i % 10 for i in range(deep))]
+    assert len(sequence) <= sum(seen) <= len(sequence) + 2 * deep
+    assert repair.expand(sequence[:0], rules, 10).tolist() == []
+    assert repair.expand(sequence[:7], rules[:0], 10).tolist() == sequence[:7].tolist()
+
+
 def test_places_taken_are_apart_and_leave_none_free():
     pick = np.random.default_rng(5)
     for _ in range(300):

@@ -8,13 +8,12 @@ import os
 import sys
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
-from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from markerlake.sources.folders import new_folder
+from markerlake.sources.folders import importable, new_folder
 
 #: Rows and bytes in one Arrow batch: documents may hold 100,000 characters and more.
 BATCH_ROWS, BATCH_BYTES = 512, 64 << 20
@@ -116,14 +115,6 @@ def crc32_mod(doc_id: Column, n: int) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % F.lit(n)
 
 
-def importable(spark: SparkSession) -> None:
-    """Let Python workers import this package from where the driver has it; on a cluster it is installed or shipped."""
-    root = str(Path(__file__).resolve().parents[2])
-    kept = spark.sparkContext.environment
-    if root not in kept.get("PYTHONPATH", "").split(os.pathsep):
-        kept["PYTHONPATH"] = os.pathsep.join(x for x in (kept.get("PYTHONPATH"), root) if x)
-
-
 def arrow_map(df: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     small_batches(df.sparkSession)
     importable(df.sparkSession)

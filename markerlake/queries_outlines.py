@@ -22,7 +22,7 @@ def lens() -> Column:
 def lens_inverse(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Points through a lens and back again."""
     rows = det(spark, sf_dir).select("seq", ((F.col("cx") - 960) / 1500).alias("x"), ((F.col("cy") - 540) / 1500).alias("y"), F.when(F.col("seq") % 2 == 0, "kannala_brandt").otherwise("brown_conrady").alias("m"))
-    bent = rows.select("seq", "m", g.distort_point(F.col("x"), F.col("y"), F.col("m"), lens()).alias("d"))
+    bent = rows.select("seq", "m", F.array(*g.distort(F.col("x"), F.col("y"), F.col("m"), lens())).alias("d"))
     back = bent.select("seq", g.undistort(F.col("d")[0], F.col("d")[1], F.col("m"), lens()).alias("u"))
     return rounded(back.select("seq", "u.x", "u.y", (F.col("u.residual") < 1e-12).alias("exact")))
 

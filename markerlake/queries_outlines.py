@@ -12,6 +12,7 @@ from markerlake.functions.frames import hold, mat, vec, with_camera_pose, with_r
 from markerlake.operators import points, runs
 from markerlake.plans.adapter import SQL
 from markerlake.queries import det, query, read, rounded
+from markerlake.sources.folders import spread
 
 
 def lens() -> Column:
@@ -33,7 +34,7 @@ def spherical_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Equidistant lenses: the farthest edge ray is the corner's, at its radius over the focal length."""
     f, zero = 300.0 + F.col("s_suppkey") % 400, F.lit(0.0)
     k = [[F.col("f"), zero, F.lit(320.0)], [zero, F.col("f"), F.lit(240.0)], [zero, zero, F.lit(1.0)]]
-    rows = read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), f.alias("f"), F.array(F.lit(1e-9), zero, zero, zero).alias("c"))
+    rows = spread(read(spark, sf_dir, "supplier").select("s_suppkey")).select(F.col("s_suppkey").alias("id"), f.alias("f"), F.array(F.lit(1e-9), zero, zero, zero).alias("c"))
     rays = rows.select("id", "f", g.edge_rays(k, F.lit(640), F.lit(480), F.lit("kannala_brandt"), F.col("c")).alias("rays"))
     return rays.select("id", g.spherical_overscan(F.col("rays"), k).alias("s")).select("id", F.round("s.fov", 5).alias("fov"), "s.size")
 

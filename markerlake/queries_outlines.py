@@ -96,14 +96,13 @@ def pose_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def dense_outlines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Outlines under a fisheye lens: closed, of the area that finer ones have, and with all corners among their points."""
     key, model = F.col("p_partkey"), F.lit("kannala_brandt")
-    rows = read(spark, sf_dir, "part").select(key.alias("id"), F.array(key % 9 / 10.0 - 0.4, key % 5 / 10.0 - 0.2, 0.6 + key % 4 / 10.0).alias("p"), F.array(F.lit(1.0), F.lit(0.0), F.lit(0.0), F.lit(0.0)).alias("q"))
+    rows = spread(read(spark, sf_dir, "part").select("p_partkey")).select(key.alias("id"), F.array(key % 9 / 10.0 - 0.4, key % 5 / 10.0 - 0.2, 0.6 + key % 4 / 10.0).alias("p"), F.array(F.lit(1.0), F.lit(0.0), F.lit(0.0), F.lit(0.0)).alias("q"))
     rows = rows.select("id", outlines.clip_near(outlines.square(F.col("p"), F.col("q"), F.lit(0.4))).alias("points"))
     found = outlines.with_dense(rows, "d", F.col("points"), camera(), model, lens())
     found = outlines.with_dense(found, "finer", F.col("points"), camera(), model, lens(), most=0.02)
-    area = lambda name: F.abs(g.polygon_area(F.col(name)))
-    near = F.abs(area("d") - area("finer")) < 0.001 * area("finer")
     corner = F.transform("points", lambda p: outlines.pixel(p, camera(), model, lens()))
-    found = found.withColumn("corner", corner)
+    found = found.withColumns({"corner": corner, "area": F.abs(g.polygon_area(F.col("d"))), "finer_area": F.abs(g.polygon_area(F.col("finer")))})
+    near = F.abs(F.col("area") - F.col("finer_area")) < 0.001 * F.col("finer_area")
     off = F.transform("corner", lambda c: F.array_min(F.transform("d", lambda p: F.abs(p[0] - c[0]) + F.abs(p[1] - c[1]))))
     return found.select("id", (F.get("d", F.lit(0)) == F.get("d", F.size("d") - 1)).alias("closed"), near.alias("near"), (F.array_max(off) < 1e-6).alias("holds_corners"))
 

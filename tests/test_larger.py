@@ -32,7 +32,7 @@ def test_images_of_long_user_ids(spark, small, folder):
     same_rows(spark, folder, "sink_images", ["events"])
 
 
-@pytest.mark.parametrize("name", ["board_checks"])
+@pytest.mark.parametrize("name", ["board_checks", "broken_boards"])
 def test_boards_of_any_number_meet_their_squares(spark, small, name):
     """A table of boards is never sent whole through the driver, whatever its size is taken for."""
     found = queries.QUERIES[name](spark, small)

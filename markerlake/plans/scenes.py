@@ -2,24 +2,42 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from markerlake.sources.folders import spread
 
-def recipes(orders: DataFrame, lineitem: DataFrame) -> DataFrame:
-    """A scene for each order: a marker for each line, a board for every third, none to two cameras that look down."""
-    key, number = F.col("l_orderkey"), F.col("l_linenumber")
-    place = lambda c, m: (F.col(c) % m) / 20.0 - 1
-    tag = F.struct(
-        F.lit("TAG").alias("type"), F.concat_ws("_", F.lit("t"), number.cast("string"), F.col("l_partkey").cast("string"), F.col("l_suppkey").cast("string")).alias("name"),
-        F.array(place("l_partkey", 40), place("l_suppkey", 40), F.when(number % 4 == 0, 0.5).otherwise(0.0)).alias("location"),
-        F.array(F.when(number % 5 == 0, 3.14159265).otherwise(0.0), F.lit(0.0), F.lit(0.0)).alias("rotation_euler"),
-        F.array(F.lit(1.0), F.lit(1.0), F.lit(1.0)).alias("scale"),
-        F.when(key % 11 == 0, F.concat(F.lit("cache/"), number.cast("string"))).when(key % 13 == 0, "lost.png").otherwise("known.png").alias("texture_path"),
-        F.struct(F.lit("tag36h11").alias("tag_family"), (F.lit(0.1) + number / 50.0).alias("tag_size"), F.lit(None).cast("int").alias("cols"), F.lit(None).cast("int").alias("rows"), F.lit(None).cast("double").alias("square_size")).alias("properties"),
-    )
-    each = lineitem.select(key.alias("scene_id"), number.alias("i"), tag.alias("o")).groupBy("scene_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "o"))), lambda x: x["o"]).alias("tags"))
+
+def recipes(orders: DataFrame, lineitem: DataFrame, shard: Column | None = None) -> DataFrame:
+    """A scene for each order: a marker for each line, a board for every third, none to two cameras that look down.
+
+    Orders and lines are dealt as the few numbers that scenes are made of. With `shard`, an expression of scene_id, all
+    scenes of a shard lie in one partition, and it is a column.
+    """
+    number, part, supplier = "l_linenumber", "l_partkey", "l_suppkey"
+    lines = lineitem.where("l_orderkey is not null").select(F.col("l_orderkey").alias("scene_id"), F.struct(number, part, supplier).alias("line"), F.lit(None).cast("struct<price:bigint>").alias("head"))
+    heads = orders.select(F.col("o_orderkey").alias("scene_id"), F.lit(None).cast(lines.schema["line"].dataType).alias("line"), F.struct(F.floor("o_totalprice").alias("price")).alias("head"))
+    dealt, keys = lines.union(heads), ["scene_id"]
+    if shard is not None:
+        keys = ["shard", "scene_id"]
+        dealt = spread(dealt.withColumn("shard", shard), "shard")
+    each = dealt.groupBy(*keys).agg(F.collect_list("head").alias("heads"), F.collect_list("line").alias("lines"))
     scene = F.col("scene_id")
+    place = lambda c, m: (c % m) / 20.0 - 1
+
+    def tag(line: Column) -> Column:
+        n = line[number]
+        return F.struct(
+            F.lit("TAG").alias("type"), F.concat_ws("_", F.lit("t"), n.cast("string"), line[part].cast("string"), line[supplier].cast("string")).alias("name"),
+            F.array(place(line[part], 40), place(line[supplier], 40), F.when(n % 4 == 0, 0.5).otherwise(0.0)).alias("location"),
+            F.array(F.when(n % 5 == 0, 3.14159265).otherwise(0.0), F.lit(0.0), F.lit(0.0)).alias("rotation_euler"),
+            F.array(F.lit(1.0), F.lit(1.0), F.lit(1.0)).alias("scale"),
+            F.when(scene % 11 == 0, F.concat(F.lit("cache/"), n.cast("string"))).when(scene % 13 == 0, "lost.png").otherwise("known.png").alias("texture_path"),
+            F.struct(F.lit("tag36h11").alias("tag_family"), (F.lit(0.1) + n / 50.0).alias("tag_size"), F.lit(None).cast("int").alias("cols"), F.lit(None).cast("int").alias("rows"), F.lit(None).cast("double").alias("square_size")).alias("properties"),
+        )
+
+    each = each.withColumn("tags", F.transform("lines", lambda x: F.struct(x[number].alias("i"), tag(x).alias("o"))))
+    found = F.transform(F.array_sort("tags"), lambda x: x["o"])
     board = F.struct(
         F.lit("BOARD").alias("type"), F.lit("b").alias("name"), F.array(F.lit(0.0), F.lit(0.0), F.lit(0.0)).alias("location"), F.array(F.lit(0.0), F.lit(0.0), F.lit(0.0)).alias("rotation_euler"),
         F.array(F.lit(1.0), F.lit(1.0), F.lit(1.0)).alias("scale"), F.lit(None).cast("string").alias("texture_path"),
@@ -33,12 +51,11 @@ def recipes(orders: DataFrame, lineitem: DataFrame) -> DataFrame:
         k = F.array(F.array(F.lit(500.0), zero, F.lit(320.0)), F.array(zero, F.lit(500.0), F.lit(240.0)), F.array(zero, zero, one))
         return F.struct(down.alias("transform_matrix"), F.struct(F.array(wide, F.lit(480)).alias("resolution"), k.alias("k_matrix")).alias("intrinsics"), F.lit(None).cast("double").alias("min_tag_pixels"), F.when(scene % 2 == 0, 950.0).alias("max_tag_pixels"))
 
-    rows = orders.select(F.col("o_orderkey").alias("scene_id"), F.floor(F.col("o_totalprice")).alias("price")).join(each, "scene_id", "left")
-    found = F.coalesce("tags", F.array().cast(each.schema["tags"].dataType))
+    rows = each.select(*keys, F.explode("heads").alias("head"), found.alias("tags")).withColumn("price", F.col("head.price"))
     light = lambda x: F.struct(F.lit("SUN").alias("type"), x.cast("double").alias("intensity"))
     world = F.struct(F.when(scene % 7 == 0, "sky.hdr").alias("background_hdri"), F.lit(None).cast("string").alias("texture_path"), F.array(light(F.col("price") % 100), light(F.lit(1.5))).alias("lights"))
     cameras = F.slice(F.array(camera(0), camera(1)), F.lit(1), (scene % 3).cast("int"))
-    return rows.select("scene_id", world.alias("world"), F.when(scene % 3 == 1, F.concat(F.array(board), found)).otherwise(found).alias("objects"), cameras.alias("cameras"))
+    return rows.select(*keys, world.alias("world"), F.when(scene % 3 == 1, F.concat(F.array(board), F.col("tags"))).otherwise(F.col("tags")).alias("objects"), cameras.alias("cameras"))
 
 
 #: The same objects and cameras in SQL, as flat rows.

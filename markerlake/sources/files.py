@@ -20,14 +20,15 @@ BOARD_OF_OLD = f"struct<board_definition:{schema.BOARD}>"
 
 def documents(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """file, value: whole text files, which hold one JSON value each, of one folder or several; an empty file too has its
-    row, with an empty value."""
+    row, with an empty value. Files whose names end so (.gz, ..) are decompressed."""
     found = []
     for x in [path] if isinstance(path, str) else path:
-        rows = spark.read.format("binaryFile").load(x)
-        found.append(rows.select(F.col("path").alias("file"), F.col("content").cast("string").alias("value")))
+        rows = spark.read.text(x, wholetext=True)
+        found.append(rows.select(F.regexp_replace("_metadata.file_path", "^file:/+", "file:/").alias("file"), "value"))
         # Scans skip files without bytes; the driver has listed them all to plan the scan.
+        names = spark.read.format("binaryFile").load(x).select(F.col("path").alias("file"))
         listed = spark.createDataFrame([(re.sub("^file:/+", "file:/", f),) for f in rows.inputFiles()], "file string")
-        found.append(listed.join(rows.select(F.col("path").alias("file")), "file", "left_anti").select("file", F.lit("").alias("value")))
+        found.append(listed.join(names, "file", "left_anti").select("file", F.lit("").alias("value")))
     return reduce(DataFrame.unionByName, found)
 
 

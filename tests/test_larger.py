@@ -1,11 +1,15 @@
 """Queries on tables as larger copies have them: keys beyond those of the standard tables, repeated rows, nulls."""
 
+import gzip
+
 import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from markerlake import queries
+from markerlake import queries, queries_files
 from markerlake.operators import boards
+from markerlake.plans import scenes
+from markerlake.sources import files
 
 
 def same_rows(spark, folder, name, tables):
@@ -47,3 +51,26 @@ def test_checks_of_odd_boards(spark):
     got = {(r["board_id"], r["check"]): r["ok"] for r in boards.checks(rows, squares).collect()}
     wrong = {(3, "marker_fits"): None, (4, "marker_fits"): False, (4, "centred"): False, (4, "dimensions"): False}
     assert got == {(i, c): wrong.get((i, c), True) for i in range(1, 5) for c in ("white_border", "filling", "centred", "dimensions", "marker_fits")}
+
+
+def test_compressed_documents(spark, tmp_path):
+    """Files of recipes may be compressed; what is empty or broken in them is found as in plain ones."""
+    texts = {"a.json": '[{"scene_id": 1}, {"scene_id": 2}]', "b.json.gz": '[{"scene_id": 3},\n {"scene_id": 4}]', "c.json.gz": '{"scene_id": 5}', "d.json.gz": '[{"scene_id": 6', "e.json": "", "f.json.gz": ""}
+    for name, text in texts.items():
+        (tmp_path / name).write_bytes(gzip.compress(text.encode()) if name.endswith(".gz") else text.encode())
+    found = files.recipes(spark, str(tmp_path), broken="keep").collect()
+    assert sorted(r["scene_id"] for r in found if r["scene_id"]) == [1, 2, 3, 4, 5]
+    assert sorted(r["file"].rpartition("/")[2] for r in found if r["scene_id"] is None) == ["d.json.gz", "e.json", "f.json.gz"]
+
+
+def test_scenes_are_dealt_once(spark, small):
+    """Orders and lines of a shard meet in one exchange; what is made of them is in no other."""
+    rows = queries_files.scene_recipes(spark, small, F.floor(F.col("scene_id") / 500))
+    whole = rows.groupBy("shard").agg(F.collect_list(F.struct(*rows.columns)).alias("all"))
+    assert whole._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    orders = spark.createDataFrame([(1, 2.0), (1, 3.0), (2, None), (None, 4.0)], "o_orderkey long, o_totalprice double")
+    lines = spark.createDataFrame([(1, 2, 7, 8), (1, 1, 9, 9), (3, 1, 1, 1), (None, 1, 1, 1)], "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long")
+    got = scenes.recipes(orders, lines).collect()
+    assert sorted((r["scene_id"] or 0, r["world"]["lights"][0]["intensity"] or 0.0, [o["name"] for o in r["objects"] if o["type"] == "TAG"]) for r in got) == [
+        (0, 4.0, []), (1, 2.0, ["t_1_9_9", "t_2_7_8"]), (1, 3.0, ["t_1_9_9", "t_2_7_8"]), (2, 0.0, []),
+    ]

@@ -7,9 +7,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from markerlake import queries, queries_files
+from markerlake.generation import compiler
 from markerlake.operators import boards
 from markerlake.plans import scenes
 from markerlake.sources import files
+from markerlake.sources.folders import kept
 
 
 def same_rows(spark, folder, name, tables):
@@ -74,3 +76,11 @@ def test_scenes_are_dealt_once(spark, small):
     assert sorted((r["scene_id"] or 0, r["world"]["lights"][0]["intensity"] or 0.0, [o["name"] for o in r["objects"] if o["type"] == "TAG"]) for r in got) == [
         (0, 4.0, []), (1, 2.0, ["t_1_9_9", "t_2_7_8"]), (1, 3.0, ["t_1_9_9", "t_2_7_8"]), (2, 0.0, []),
     ]
+
+
+def test_scenes_of_a_small_table_are_dealt_over_all_cores(spark, monkeypatch):
+    """Jobs that one task reads become scenes in many: each scene's objects are drawn by far more work than its row is bytes."""
+    seen = []
+    monkeypatch.setattr(compiler, "kept", lambda df, name: seen.append(df.rdd.getNumPartitions()) or kept(df, name))
+    compiler.plain(spark.createDataFrame([("a", 3)], "job_id string, num_scenes long").coalesce(1)).collect()
+    assert seen[0] >= spark.sparkContext.defaultParallelism

@@ -84,3 +84,9 @@ def test_scenes_of_a_small_table_are_dealt_over_all_cores(spark, monkeypatch):
     monkeypatch.setattr(compiler, "kept", lambda df, name: seen.append(df.rdd.getNumPartitions()) or kept(df, name))
     compiler.plain(spark.createDataFrame([("a", 3)], "job_id string, num_scenes long").coalesce(1)).collect()
     assert seen[0] >= spark.sparkContext.defaultParallelism
+
+
+def test_records_of_a_corner_at_the_cameras_plane(spark, folder):
+    """A corner 5 mm before the camera's plane lies 10 to the power of 9 pixels out of the frame: it agrees to that."""
+    spark.createDataFrame([(36576, 3), (36577, 3)], "p_partkey long, p_size int").write.parquet(f"{folder}/part.parquet")
+    same_rows(spark, folder, "scene_records", ["part"])
